@@ -38,7 +38,12 @@ def glob_to_regex(pattern: str) -> str | None:
             return None
         else:
             out.append(re.escape(token))
-    return "(?s)^" + "".join(out) + "$"
+    regex = "(?s)^" + "".join(out) + "$"
+    try:
+        re.compile(regex)
+    except re.error:  # a range that runs backwards matches nothing
+        return None
+    return regex
 
 
 def name_matches(name: Column, patterns: list[str] | tuple[str, ...]) -> Column:
@@ -69,25 +74,36 @@ def ignore_regex(pattern: Column, anchored: Column) -> Column:
     tokens = F.regexp_extract_all(pattern, F.lit(_IGNORE_TOKEN), F.lit(0))
     numbered = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
 
+    def char_class(t: Column) -> Column:
+        core = F.regexp_extract(t, r"(?s)^\[[!^]?(.*)\]$", 1)
+        safe = F.regexp_replace(core, r"([\[\]\\&^])", r"\\$1")
+        head = F.when(t.rlike(r"^\[[!^]"), F.lit("[^/")).otherwise(F.lit("["))
+        return F.concat(head, safe, F.lit("]"))
+
     def piece(item: Column) -> Column:
         t, i = item["t"], item["i"]
         last = i == F.size(tokens) - 1
-        inside = F.regexp_replace(
-            F.regexp_replace(F.substring(t, 2, 1 << 30), r"^!", "^"), r"(?<=.)([\[&])", r"\\$1"
-        )
         return (
             F.when(t == "**/", F.lit("(?:.*/)?"))
             .when((t == "**") & last & (i == 0), F.lit(".*"))
             .when((t == "**") & last & F.endswith(pattern, F.lit("/**")), F.lit(".+"))
             .when(F.startswith(t, F.lit("*")), F.lit("[^/]*"))
             .when(t == "?", F.lit("[^/]"))
-            .when(F.startswith(t, F.lit("[")) & (F.length(t) > 2), F.concat(F.lit("["), inside))
-            .when(F.startswith(t, F.lit("\\")) & t.rlike(r"^\\[A-Za-z0-9]"), F.substring(t, 2, 2))
+            .when(F.startswith(t, F.lit("[")), char_class(t))
+            .when(t.rlike(r"^\\[A-Za-z0-9]"), F.substring(t, 2, 2))
             .when(F.startswith(t, F.lit("\\")) & (F.length(t) > 1), t)
             .otherwise(F.regexp_replace(t, r"([.+^$(){}|\[\]\\&])", r"\\$1"))
         )
 
-    broken = F.exists(tokens, lambda t: t == "[")
+    def broken_token(t: Column) -> Column:
+        spans = F.when(
+            F.startswith(t, F.lit("[")),
+            F.regexp_extract_all(t, F.lit(r"(?s)[^\[!^-]-[^\]]"), F.lit(0)),
+        )
+        backwards = F.exists(spans, lambda r: F.left(r, F.lit(1)) > F.right(r, F.lit(1)))
+        return t.isin("[", "[]", "[!]", "[^]") | F.coalesce(backwards, F.lit(False))
+
+    broken = F.exists(tokens, broken_token)
     body = F.array_join(F.transform(numbered, piece), "")
     head = F.when(anchored, F.lit("")).otherwise(F.lit("(?:.*/)?"))
     return F.when(~broken, F.concat(F.lit("(?s)^"), head, body, F.lit("$")))
