@@ -272,7 +272,7 @@ def block_rows(lines: Column, width: Column | int | None = None) -> Column:
     after = F.concat(F.slice(filled, 2, 1 << 30), nothing)
     # The shifted copy is one longer; its last element pairs with no line.
     trios = F.filter(
-        F.arrays_zip(filled.alias("m"), before.alias("p"), after.alias("n")), lambda z: z["0"].isNotNull()
+        F.arrays_zip(filled.alias("m"), before.alias("p"), after.alias("n")), lambda z: z["m"].isNotNull()
     )
     blank_type = "struct<text:string,symbol:string,indent:int>"
     blank = F.struct(
@@ -280,7 +280,7 @@ def block_rows(lines: Column, width: Column | int | None = None) -> Column:
     ).cast(blank_type)
 
     def rows(z: Column) -> Column:
-        m, p, n = z["0"], z["1"], z["2"]
+        m, p, n = z["m"], z["p"], z["n"]
         gap = m["i"] - F.coalesce(p["i"], F.lit(-1)) - 1
         previous = F.when(gap == 0, p["indent"])
         sep = needs_group_separator(m["indent"], previous, n["indent"])

@@ -20,10 +20,14 @@ from srcatlas.operators.tree import continuation_prefix, with_branch_prefix, wit
 REPORT_ORDER = ["repo", "sort_key", "seq"]
 
 
+def _step(order: int, name: Column) -> Column:
+    return F.named_struct(F.lit("o"), F.lit(order), F.lit("p"), name)
+
+
 def _key(path: Column, *end: int) -> Column:
     """Preorder key; a trailing number places a row after everything below the path."""
-    parts = F.transform(names.sort_key(path), lambda p: F.struct(F.lit(0).alias("o"), p.alias("p")))
-    tail = [F.struct(F.lit(e).alias("o"), F.lit("").alias("p")) for e in end]
+    parts = F.transform(names.sort_key(path), lambda p: _step(0, p))
+    tail = [_step(e, F.lit("")) for e in end]
     return F.concat(parts, F.array(*tail)) if tail else parts
 
 
@@ -213,7 +217,7 @@ def stats_report(stats: DataFrame, totals: DataFrame) -> DataFrame:
     has_lines = F.col("total_lines").isNotNull()
 
     def at(section: int, texts: Column) -> tuple[Column, Column]:
-        return F.array(F.struct(F.lit(section).alias("o"), F.lit("").alias("p"))).alias("sort_key"), F.posexplode(
+        return F.array(_step(section, F.lit(""))).alias("sort_key"), F.posexplode(
             texts
         ).alias("seq", "text")
 
@@ -242,7 +246,7 @@ def stats_report(stats: DataFrame, totals: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("files"), "language"))
     by_language = stats.select(
         "repo",
-        F.array(F.struct(F.lit(2).alias("o"), F.lit("").alias("p"))).alias("sort_key"),
+        F.array(_step(2, F.lit(""))).alias("sort_key"),
         rank.alias("seq"),
         row.alias("text"),
     )

@@ -34,7 +34,7 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
     def flush() -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=names)
-        frame["mtime"] = pd.to_datetime(frame["mtime"], unit="ns")
+        frame["mtime"] = pd.to_datetime(frame["mtime"], unit="us", utc=True)
         frame["size_bytes"] = frame["size_bytes"].astype("Int64")
         rows.clear()
         return frame
@@ -54,7 +54,7 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                         continue
                     rel = f"{path}/{entry.name}" if path else entry.name
                     size = 0 if folder else stat.st_size
-                    rows.append((repo, root, rel, size, stat.st_mtime_ns, link, folder))
+                    rows.append((repo, root, rel, size, stat.st_mtime_ns // 1000, link, folder))
                     if len(rows) >= BATCH_ROWS:
                         yield flush()
     if rows:
