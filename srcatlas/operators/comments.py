@@ -196,9 +196,10 @@ def header_comment(text: Column, canon_ext: Column) -> Column:
 def extract_comments(files: DataFrame, **gates: int) -> DataFrame:
     """(repo, path, comment), one row per file that has a header comment."""
     known = [ext for exts in COMMENT_RULES for ext in exts]
+    found = header_comment(F.col("text"), F.col("canon_ext"))
+    # As a generator the comment is worked out once, not again for the NULL test.
     return (
         with_text(files, **gates)
         .where(F.col("canon_ext").isin(known))
-        .select("repo", "path", header_comment(F.col("text"), F.col("canon_ext")).alias("comment"))
-        .where(F.col("comment").isNotNull())
+        .select("repo", "path", F.explode(F.array_compact(F.array(found))).alias("comment"))
     )

@@ -36,8 +36,12 @@ def with_text(files: DataFrame, max_file_size: int = text.DEFAULT_MAX_FILE_SIZE)
         gated.where(within_size_cap(F.col("size_bytes"), max_file_size))
         .select("repo", "path", "content", canon.alias("canon_ext"))
         .where(has_known_extension(F.col("canon_ext")))
-        .select("repo", "path", "canon_ext", text.decoded(F.col("content")).alias("text"))
-        .where(F.col("text").isNotNull())
+        .select(
+            "repo",
+            "path",
+            "canon_ext",
+            F.explode(F.array_compact(F.array(text.decoded(F.col("content"))))).alias("text"),
+        )
     )
 
 

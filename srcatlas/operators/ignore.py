@@ -18,6 +18,7 @@ from srcatlas.functions.globs import ignore_regex
 from srcatlas.functions.text import decoded, lines
 from srcatlas.operators.skew import spread_join
 from srcatlas.operators.stats import directories
+from srcatlas.session import materialize
 
 IGNORE_FILES = (".gitignore",)
 
@@ -91,7 +92,9 @@ def _rule_matches(rule: Column, rel: Column, name: Column, is_dir: Column) -> Co
     return (~rule["dir_only"] | is_dir) & by_text
 
 
-def ignored_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
+def ignored_entries(
+    entries: DataFrame, rules: DataFrame, key_bound: int | None = None
+) -> DataFrame:
     """(repo, path, is_dir) of entries whose own verdict is "ignored".
 
     Entries meet the rules of their ancestor directories by an equi-join on
@@ -105,7 +108,7 @@ def ignored_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
     spelled = entries.select(
         "repo", "path", "is_dir", F.explode(names.ancestors(F.col("path"))).alias("base_dir")
     )
-    met = spread_join(spelled, per_dir, ["repo", "base_dir"], ["path"], "inner")
+    met = spread_join(spelled, per_dir, ["repo", "base_dir"], ["path"], "inner", key_bound)
     base = F.col("base_dir")
     rel = F.when(base == "", F.col("path")).otherwise(F.expr("substring(path, length(base_dir) + 2)"))
     name, is_dir = names.base_name(F.col("path")), F.col("is_dir")
@@ -125,26 +128,32 @@ def ignored_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def included_entries(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo, path, is_dir) of the entries that no rule leaves out."""
-    entries = all_entries(files)
-    ignored = ignored_entries(entries, rules)
-    hit_dirs = ignored.where("is_dir").select("repo", F.col("path").alias("up"), F.lit(True).alias("hit"))
+    """(repo, path, is_dir) of the entries that no rule leaves out.
+
+    The entries (names only) and the ignored ones are written once, since both
+    are used several times; no key below can have more rows than there are
+    entries.
+    """
+    entries = materialize(all_entries(files), "entries")
+    bound = entries.count()
+    ignored = materialize(ignored_entries(entries, rules, bound), "ignored")
+    hit_dirs = ignored.where("is_dir").select("repo", F.col("path").alias("up"))
     path = F.col("path")
-    chains = directories(files).select(
+    chains = entries.where("is_dir").select(
         "repo", "path", F.explode(F.concat(names.ancestors(path, False), F.array(path))).alias("up")
     )
     lost_dirs = (
-        spread_join(chains, hit_dirs, ["repo", "up"], ["path"], "inner")
+        spread_join(chains, hit_dirs, ["repo", "up"], ["path"], "inner", bound)
         .select("repo", F.col("path").alias("parent"))
         .distinct()
         .withColumn("lost", F.lit(True))
     )
     placed = entries.withColumn("parent", names.parent_path(path))
     return (
-        spread_join(placed, lost_dirs, ["repo", "parent"], ["path"], "left")
+        spread_join(placed, lost_dirs, ["repo", "parent"], ["path"], "left", bound)
         .where(F.col("lost").isNull())
         .select("repo", "path", "is_dir")
-        .join(ignored.select("repo", "path", "is_dir"), ["repo", "path", "is_dir"], "left_anti")
+        .join(ignored, ["repo", "path", "is_dir"], "left_anti")
     )
 
 

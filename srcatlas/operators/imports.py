@@ -271,6 +271,8 @@ def imports_is_empty(imports: Column) -> Column:
 
 def file_imports(files: DataFrame, **gates: int) -> DataFrame:
     """(repo, path, imports): the wide form, built inside each file's row."""
+    items = import_items(F.col("text"), F.col("lines"), F.col("canon_ext"))
+    # As a generator the items are worked out once, not again for the size test.
     return (
         with_text(files, **gates)
         .where(F.col("canon_ext").isin(list(DISTINCT_CATEGORIES)))
@@ -279,9 +281,8 @@ def file_imports(files: DataFrame, **gates: int) -> DataFrame:
             "repo",
             "path",
             "canon_ext",
-            import_items(F.col("text"), F.col("lines"), F.col("canon_ext")).alias("items"),
+            F.explode(F.filter(F.array(items), lambda a: F.size(a) > 0)).alias("items"),
         )
-        .where(F.size("items") > 0)
         .select(
             "repo", "path", grouped_imports(F.col("items"), F.col("canon_ext")).alias("imports")
         )

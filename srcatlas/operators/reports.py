@@ -15,7 +15,7 @@ from srcatlas.functions.display import format_number, format_size
 from srcatlas.functions.text import first_line, trim, wrap_width
 from srcatlas.operators import metadata as md
 from srcatlas.operators.stats import listing_counts
-from srcatlas.operators.tree import continuation_prefix, with_branch_prefix, with_last_flag
+from srcatlas.operators.tree import continuation_prefix, drawn_nodes, with_last_flag
 
 REPORT_ORDER = ["repo", "sort_key", "seq"]
 
@@ -64,7 +64,7 @@ def text_report(
     ``lines`` comes from ``with_section_lines``. Rows: (repo, path, sort_key,
     seq, text).
     """
-    drawn = with_branch_prefix(with_last_flag(nodes))
+    drawn = drawn_nodes(nodes)
     head = F.concat("prefix", "connector", "name")
     if show_size:
         is_file = F.col("node_type") == "file"

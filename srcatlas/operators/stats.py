@@ -57,17 +57,20 @@ def language_stats(files: DataFrame, with_lines: bool = True) -> DataFrame:
     )
 
 
-def directories(files: DataFrame) -> DataFrame:
+def directories(files: DataFrame, with_root: bool = False) -> DataFrame:
     """(repo, path) of every directory: listed ones and all ancestors of any entry.
 
-    Paths shrink to distinct parents before the ancestors are spelled out.
+    One pass: paths shrink to distinct parents before the ancestors are
+    spelled out, and both steps drop repeats before they shuffle.
     """
     path = F.col("path")
-    listed = files.where(F.col("is_dir")).select("repo", "path")
-    parents = files.select("repo", names.parent_path(path).alias("path")).where(path != "")
-    own = listed.unionByName(parents).where(path != "").distinct()
-    up = own.select("repo", F.explode(names.ancestors(path, include_root=False)).alias("path"))
-    return own.unionByName(up).distinct()
+    seen = F.array(
+        F.when(F.col("is_dir"), path), names.parent_path(path), F.lit("") if with_root else F.lit(None)
+    )
+    own = files.select("repo", F.explode(F.array_distinct(F.array_compact(seen))).alias("path")).distinct()
+    spelled = F.concat(names.ancestors(path, include_root=False), F.array(path))
+    every = own.select("repo", F.explode(spelled).alias("path")).distinct()
+    return every if with_root else every.where(path != "")
 
 
 def codebase_totals(files: DataFrame, with_lines: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from srcatlas.functions import names
 from srcatlas.operators import filters, ignore
 from srcatlas.operators.skew import number_rows, spread_join
 from srcatlas.operators.stats import directories
+from srcatlas.session import materialize
 
 # Branch glyphs.
 BRANCH_OPEN = "│   "
@@ -43,22 +44,27 @@ def list_nodes(
     ``show_all`` skips the rules and the tracked set.
     """
     path = F.col("path")
+    plain_columns = ["repo", "path", "size_bytes", "mtime", "is_dir"]
     base = files.where(
         filters.not_symlink(F.col("is_symlink"))
         & filters.outside_git_dir(path)
         & filters.not_ignored_by_name(path, ignore_names)
     )
-    plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False)))
+    plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False))).select(*plain_columns)
     dirs = directories(base)
-    free_dirs = dirs
     if not show_all and rules is not None:
-        included = ignore.included_entries(base, rules)
+        # Names, sizes and times only; used for the entries and for the files.
+        base = materialize(base.select(*plain_columns), "base")
+        plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False)))
+        included = materialize(ignore.included_entries(base, rules), "included")
         passed = included.where(~F.col("is_dir")).select("repo", "path")
         plain = plain.join(passed, ["repo", "path"], "left_semi")
-        dirs = dirs.join(ignore.included_dirs(included), ["repo", "path"], "left_semi")
+        if not dirs_only or rules_hide_dirs:
+            dirs = ignore.included_dirs(included).where(path != "")
     elif not show_all and tracked is not None:
         plain = ignore.tracked_files(plain, tracked)
-        dirs = ignore.tracked_dirs(dirs, tracked)
+        if not dirs_only or rules_hide_dirs:
+            dirs = ignore.tracked_dirs(dirs, tracked)
     if newer is not None:
         plain = plain.where(filters.newer_than(F.col("mtime"), newer))
     if older is not None:
@@ -68,9 +74,6 @@ def list_nodes(
     if max_depth is not None:
         plain = plain.where(filters.within_depth(path, max_depth))
         dirs = dirs.where(filters.within_depth(path, max_depth))
-        free_dirs = free_dirs.where(filters.within_depth(path, max_depth))
-    if dirs_only and not rules_hide_dirs:
-        dirs = free_dirs
     no_size = F.lit(None).cast("bigint").alias("size_bytes")
     roots = files.select("repo").distinct().select("repo", F.lit("").alias("path"))
     nodes = roots.unionByName(dirs).select("repo", "path", F.lit("dir").alias("node_type"), no_size)
@@ -130,15 +133,25 @@ def with_preorder(nodes: DataFrame) -> DataFrame:
     return number_rows(nodes, ["repo"], [names.sort_key(F.col("path"))], "preorder")
 
 
+def drawn_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``is_last``, ``prefix`` and ``connector``, from one written copy.
+
+    Drawing uses the nodes several times and their directories twice as often.
+    """
+    flagged = materialize(with_last_flag(materialize(nodes, "nodes")), "flagged")
+    return with_branch_prefix(flagged, flagged.count())
+
+
 def in_preorder(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy("repo", names.sort_key(F.col("path")))
 
 
-def with_branch_prefix(flagged: DataFrame) -> DataFrame:
+def with_branch_prefix(flagged: DataFrame, key_bound: int | None = None) -> DataFrame:
     """Add the ``prefix`` and ``connector`` of each row of the drawn tree.
 
     The prefix of a directory's entries is put together once per directory
     from the flags of the directories on its path, then handed to the entries.
+    ``key_bound`` is the number of nodes, where it is known.
     """
     path = F.col("path")
     dirs = flagged.where((F.col("node_type") == "dir") & (F.col("depth") > 0))
@@ -149,12 +162,12 @@ def with_branch_prefix(flagged: DataFrame) -> DataFrame:
     glyph = F.when(F.col("closed"), F.lit(BRANCH_CLOSED)).otherwise(F.lit(BRANCH_OPEN))
     # One list entry per directory level of one path.
     below = (
-        spread_join(chains, flags, ["repo", "up"], ["path"], "inner")
+        spread_join(chains, flags, ["repo", "up"], ["path"], "inner", key_bound)
         .groupBy("repo", F.col("path").alias("parent"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", glyph.alias("g")))).alias("gs"))
         .select("repo", "parent", F.array_join(F.transform("gs", lambda x: x["g"]), "").alias("prefix"))
     )
-    drawn = spread_join(flagged, below, ["repo", "parent"], ["path"], "left")
+    drawn = spread_join(flagged, below, ["repo", "parent"], ["path"], "left", key_bound)
     connector = F.when(F.col("is_last"), F.lit(LAST_CONNECTOR)).otherwise(F.lit(CONNECTOR))
     return drawn.withColumn("prefix", F.coalesce("prefix", F.lit(""))).withColumn(
         "connector", F.when(F.col("depth") > 0, connector).otherwise(F.lit(""))

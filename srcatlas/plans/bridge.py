@@ -9,10 +9,12 @@ The patterns are data, so that the same files can be spelled out for Spark
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcatlas.session import materialize
 from srcatlas.sources.tables import spread_small_input
 
 # In a pattern: $x sentence, $w its first word, $i its number, $s the first
@@ -186,21 +188,34 @@ def files_of(docs: DataFrame, kind_of: Column, kinds: list[int]) -> DataFrame:
 
 
 def kind_column() -> Column:
-    return (F.col("doc_id") % len(KINDS)).cast("int")
+    """Kind of a document, so that every source holds all kinds."""
+    return ((F.col("doc_id") + F.floor(F.col("doc_id") / 20)) % len(KINDS)).cast("int")
+
+
+_WRITTEN: dict[tuple[str, str, tuple[str, ...]], DataFrame] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, exts: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """The derived corpus as a written table, made once per session.
+
+    Queries then scan it like any corpus: only the columns they use.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, exts)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(make(), "corpus")
+    return _WRITTEN[key]
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one file; the extension follows from its number."""
-    return _files(spark, sf_dir, kind_column(), list(range(len(KINDS))))
+    return _written(spark, sf_dir, (), lambda: _files(spark, sf_dir, kind_column(), list(range(len(KINDS)))))
 
 
 def language_files(spark: SparkSession, sf_dir: str, *exts: str) -> DataFrame:
     """Every document as a file of the given languages, in turn."""
     kinds = [k for k, kind in enumerate(KINDS) if kind[0] in exts]
-    if len(kinds) == 1:
-        return _files(spark, sf_dir, F.lit(kinds[0]), kinds)
     turn = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % len(kinds)).cast("int"))
-    return _files(spark, sf_dir, turn, kinds)
+    return _written(spark, sf_dir, exts, lambda: _files(spark, sf_dir, turn, kinds))
 
 
 # Ignore files of the derived repositories: at the root of every source, and

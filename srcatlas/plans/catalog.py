@@ -325,7 +325,7 @@ def import_usage(spark, sf_dir):
 def file_imports_wide(spark, sf_dir):
     imports = F.col("imports")
     return file_imports(code_files(spark, sf_dir)).select(
-        "repo", "path", *[joined(imports[c]).alias(c) for c in CATEGORIES],
+        "repo", "path", *[joined(imports[c], "\n").alias(c) for c in CATEGORIES],
         imports_total(imports).alias("total"), display.imports_summary(imports).alias("summary"),
     )
 
@@ -424,7 +424,7 @@ def tree_last_flag(spark, sf_dir):
 
 @query
 def tree_prefix(spark, sf_dir):
-    drawn = tree.with_branch_prefix(tree.with_last_flag(_nodes(spark, sf_dir)))
+    drawn = tree.drawn_nodes(_nodes(spark, sf_dir))
     return drawn.select("repo", "path", "prefix", "connector")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from srcatlas.functions.names import CANONICAL_EXTENSIONS
 from srcatlas.plans import bridge as b
 
 
@@ -55,7 +56,7 @@ code_files AS (
   FROM joined)"""
 
 
-CODE_FILES = files_sql(f"doc_id % {len(b.KINDS)}", list(range(len(b.KINDS))))
+CODE_FILES = files_sql(f"(doc_id + doc_id // 20) % {len(b.KINDS)}", list(range(len(b.KINDS))))
 
 
 def language_files_sql(*exts: str) -> str:
@@ -78,27 +79,59 @@ def lookup_sql(value: str, groups: dict[str, list[str]], default: str) -> str:
     return f"CASE {cases} ELSE {default} END"
 
 
-def lines_sql(source: str = "code_files") -> str:
-    """CTE ``ls`` (repo, path, ext, line, raw, t): one row per line, t trimmed."""
-    from srcatlas.functions.names import CANONICAL_EXTENSIONS
+def canon_sql() -> str:
+    return lookup_sql(EXT, CANONICAL_EXTENSIONS, "NULL")
 
-    canon = lookup_sql(EXT, CANONICAL_EXTENSIONS, "NULL")
+
+TRIMMED = "trim({0}, concat(' ', chr(9), chr(13), chr(10)))"
+
+
+def trimmed(value: str) -> str:
+    return TRIMMED.format(value)
+
+
+def lines_sql(source: str = "code_files", cap: int = 1_000_000) -> str:
+    """CTEs ``f`` (repo, path, ext, content) and ``ls`` (…, line, raw, t): t is trimmed."""
     return f"""
-split_files AS (
-  SELECT repo, path, {canon} AS ext, string_split(content, chr(10)) AS parts
-  FROM {source} WHERE size_bytes <= 1000000),
+f AS (SELECT * FROM (SELECT repo, path, {canon_sql()} AS ext, content FROM {source} WHERE size_bytes <= {cap})
+      WHERE ext IS NOT NULL),
+split_files AS (SELECT repo, path, ext, string_split(content, chr(10)) AS parts FROM f),
 raw_lines AS (
   SELECT repo, path, ext, unnest(parts) AS raw, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line
-  FROM split_files WHERE ext IS NOT NULL),
-ls AS (SELECT repo, path, ext, line, raw, trim(raw, concat(' ', chr(9), chr(13))) AS t FROM raw_lines)"""
+  FROM split_files),
+ls AS (SELECT repo, path, ext, line, raw, {trimmed('raw')} AS t FROM raw_lines)"""
 
 
-DIRS = """
-up AS (
+def dirs_sql(source: str, name: str = "up") -> str:
+    """CTE of (repo, path): every directory but the root."""
+    return f"""
+{name} AS (
   SELECT DISTINCT repo, array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS path
   FROM (SELECT repo, path, unnest(range(1, len(string_split(path, '/')))) AS n FROM {source}))"""
 
 
-def dirs_sql(source: str) -> str:
-    """CTE ``up`` (repo, path): every directory but the root."""
-    return DIRS.format(source=source)
+IGNORE_FILES = {"root": "\n".join(b.ROOT_RULES) + "\n", "nested": "\n".join(b.NESTED_RULES) + "\n"}
+
+# The derived repositories with hidden folders, links and ignore files.
+REPO_FILES = CODE_FILES + f""",
+repo_files AS (
+  SELECT repo, CASE WHEN doc_id % 29 = 7 THEN concat('.git/objects/', path)
+                    WHEN doc_id % 23 = 5 THEN concat('.github/', path) ELSE path END AS path,
+         size_bytes, mtime, doc_id % 31 = 3 AS is_symlink, doc_id
+  FROM code_files
+  UNION ALL SELECT DISTINCT source, '.gitignore', {len(IGNORE_FILES['root'])}, TIMESTAMP '2024-01-01 00:00:00', false,
+                   CAST(NULL AS BIGINT) FROM documents
+  UNION ALL SELECT DISTINCT source, concat(lang, '/.gitignore'), {len(IGNORE_FILES['nested'])},
+                   TIMESTAMP '2024-01-01 00:00:00', false, CAST(NULL AS BIGINT) FROM documents)"""
+
+IN_GIT = "list_contains(string_split(path, '/'), '.git')"
+LISTABLE = f"""base AS (SELECT * FROM repo_files WHERE NOT is_symlink AND NOT {IN_GIT})"""
+
+
+def nodes_sql(files: str, dirs: str, roots: str = "repo_files") -> str:
+    """CTE ``nodes`` (repo, path, depth, node_type, size_bytes)."""
+    return f"""
+nodes AS (
+  SELECT DISTINCT repo, '' AS path, CAST(0 AS BIGINT) AS depth, 'dir' AS node_type, CAST(NULL AS BIGINT) AS size_bytes FROM {roots}
+  UNION ALL SELECT repo, path, {DEPTH}, 'dir', NULL FROM {dirs}
+  UNION ALL SELECT repo, path, {DEPTH}, 'file', size_bytes FROM {files})"""
