@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ DEFAULT_MAX_FILE_SIZE = 1_000_000
 MAX_FILE_SIZE_FOR_LINES = 5_000_000
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(col: Column) -> Column:
     """Strip Unicode white space at both ends (``F.trim`` strips U+0020 only)."""
     return F.btrim(col, F.lit(WHITE_SPACE))
@@ -91,17 +98,17 @@ def wrap_text(text: Column, width: Column | int) -> Column:
     as it is. One linear scan per text.
     """
     width = F.lit(width) if isinstance(width, int) else width
-    words = F.regexp_replace(trim(text), f"[{WS}]+", " ")
     w = width.cast("string")
     step = F.concat(
         F.lit("(?s)(?:.{1,"), w, F.lit("}(?: |\\z)|[^ ]{"), w, F.lit("})")
     )
-    pieces = F.transform(F.regexp_extract_all(words, step, F.lit(0)), lambda p: F.rtrim(p))
-    return (
-        F.when(width == 0, F.array(text))
-        .when(words == "", F.array(F.lit("")))
-        .otherwise(pieces)
-    )
+
+    def pieces(words: Column) -> Column:
+        cut = F.transform(F.regexp_extract_all(words, step, F.lit(0)), lambda p: F.rtrim(p))
+        return F.when(F.length(words) <= width, F.array(words)).otherwise(cut)
+
+    words = F.regexp_replace(trim(text), f"[{WS}]+", " ")
+    return F.when(width == 0, F.array(text)).otherwise(bind(words, pieces))
 
 
 def wrap_width(width: Column, *prefix_lengths: Column | int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.display import simplify_path
-from srcatlas.functions.text import HWS, raw_lines, rtrim, trim
+from srcatlas.functions.text import HWS, bind, raw_lines, rtrim, trim
 from srcatlas.operators.corpus import with_text
 
 CATEGORIES = ["external", "std", "internal"]
@@ -60,22 +60,26 @@ def _item(category: str, module: Column) -> Column:
 
 
 def _null_if_empty(col: Column) -> Column:
-    return F.when(col != "", col)
+    return bind(col, lambda c: F.when(c != "", c))
 
 
 def _rust(lines: Column) -> Column:
-    def items(line: Column) -> Column:
-        t = trim(line)
-        path = trim(F.regexp_extract(t, RUST_USE, 1))
+    def category(path: Column) -> Column:
         root = F.substring_index(path, "::", 1)
         name = F.when(F.contains(path, F.lit("{")), trim(root)).otherwise(root)
-        return F.when(
-            F.startswith(t, F.lit("use")) & t.rlike(RUST_USE),
+        return (
             F.when(name.isin(RUST_STD_ROOTS), _item("std", simplify_path(path)))
             .when(name.isin(RUST_INTERNAL_ROOTS), _item("internal", simplify_path(path)))
-            .otherwise(_item("external", name)),
+            .otherwise(_item("external", name))
         )
 
+    def stated(t: Column) -> Column:
+        path = trim(F.regexp_extract(t, RUST_USE, 1))
+        return F.when(F.startswith(t, F.lit("use")) & t.rlike(RUST_USE), bind(path, category))
+
+    def items(line: Column) -> Column:
+        return F.when(F.contains(line, F.lit("use")), bind(trim(line), stated))
+
     return F.filter(F.transform(lines, items), lambda m: m.isNotNull())
 
 
@@ -151,20 +155,24 @@ def _js(lines: Column, with_require: bool) -> Column:
 
 
 def _python(lines: Column) -> Column:
-    def items(line: Column) -> Column:
-        t = trim(line)
-        plain = F.regexp_extract(t, PY_IMPORT, 1)
+    def category(module: Column) -> Column:
+        known = F.when(module.isin(PYTHON_MODULES), _item("std", module))
+        return F.when(module != "", known.otherwise(_item("external", module)))
+
+    def stated(t: Column) -> Column:
         dots, name = F.regexp_extract(t, PY_FROM, 1), F.regexp_extract(t, PY_FROM, 2)
-        module = F.when(F.startswith(t, F.lit("import")), plain).otherwise(name)
-        return F.when(
-            F.startswith(t, F.lit("from")) & (dots != ""), _item("internal", F.concat(dots, name))
-        ).when(
-            (F.startswith(t, F.lit("import")) | F.startswith(t, F.lit("from"))) & (module != ""),
-            F.when(module.isin(PYTHON_MODULES), _item("std", module)).otherwise(
-                _item("external", module)
-            ),
+        return (
+            F.when(F.startswith(t, F.lit("import")), bind(F.regexp_extract(t, PY_IMPORT, 1), category))
+            .when(
+                F.startswith(t, F.lit("from")) & (dots != ""), _item("internal", F.concat(dots, name))
+            )
+            .when(F.startswith(t, F.lit("from")), bind(name, category))
         )
 
+    def items(line: Column) -> Column:
+        named = F.contains(line, F.lit("import")) | F.contains(line, F.lit("from"))
+        return F.when(named, bind(trim(line), stated))
+
     return F.filter(F.transform(lines, items), lambda m: m.isNotNull())
 
 
@@ -190,19 +198,17 @@ def _go(text: Column) -> Column:
             F.startswith(t, F.lit("import")), _null_if_empty(F.regexp_extract(t, GO_SINGLE, 1))
         )
 
+    def quoted(part: Column) -> Column:
+        return F.filter(raw_lines(part), lambda s: F.contains(s, F.lit('"')))
+
     def outside(part: Column) -> Column:
-        return F.transform(raw_lines(part), lambda s: F.array(single(trim(s))))
+        return F.transform(quoted(part), lambda s: F.array(single(trim(s))))
 
     def inside(part: Column) -> Column:
-        return F.transform(
-            raw_lines(part),
-            lambda s: F.when(
-                F.contains(s, F.lit('"')),
-                F.array(
-                    single(trim(s)), _null_if_empty(F.regexp_extract(trim(s), GO_BLOCK_LINE, 1))
-                ),
-            ).otherwise(F.array().cast("array<string>")),
-        )
+        def both(t: Column) -> Column:
+            return F.array(single(t), _null_if_empty(F.regexp_extract(t, GO_BLOCK_LINE, 1)))
+
+        return F.transform(quoted(part), lambda s: bind(trim(s), both))
 
     def piece(part: Column, k: Column) -> Column:
         body = F.coalesce(F.get(F.split(part, "\n", 2), F.lit(1)), F.lit(""))

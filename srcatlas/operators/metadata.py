@@ -208,13 +208,13 @@ def _leading(order: str) -> tuple[str, str]:
 def ordered_lines(order: str = COMMENTS_FIRST) -> Column:
     """All lines: two leading sections, imports, tasks; an empty line between groups."""
     blank = F.array(_plain("separator", "comment", F.lit("")))
-
-    def joined(left: Column, right: Column) -> Column:
-        between = F.when((F.size(left) > 0) & (F.size(right) > 0), blank).otherwise(_empty_lines())
-        return F.concat(left, between, right)
-
-    first, second = (F.col(c) for c in _leading(order))
-    return joined(joined(joined(first, second), F.col("import_lines")), F.col("todo_lines"))
+    groups = [F.col(c) for c in (*_leading(order), "import_lines", "todo_lines")]
+    parts, before = [groups[0]], F.size(groups[0])
+    for group in groups[1:]:
+        parts.append(F.when((before > 0) & (F.size(group) > 0), blank).otherwise(_empty_lines()))
+        parts.append(group)
+        before = before + F.size(group)
+    return F.concat(*parts)
 
 
 def first_metadata_line(order: str = COMMENTS_FIRST) -> Column:
@@ -254,11 +254,17 @@ def needs_group_separator(indent: Column, previous: Column, next_indent: Column)
     return (indent == 0) & previous.isNotNull() & ((previous > 0) | opens)
 
 
-def block_rows(lines: Column, width: Column | int | None = None) -> Column:
-    """Rows of a metadata block: (text, symbol, indent), NULL text for a blank row.
+BLOCK_ROW = "struct<text:string,symbol:string,indent:int>"
+
+
+def with_block_rows(
+    df: DataFrame, lines: str, name: str, width: Column | int | None = None
+) -> DataFrame:
+    """Add the rows of a metadata block: (text, symbol, indent), NULL text for a blank row.
 
     Framed by blank rows, wrapped, with blank rows between groups. Neighbours
-    come from the same array shifted by one, so the cost is linear.
+    come from the same array shifted by one, so the cost is linear. The lines
+    with content are a column of their own, worked out once.
     """
     indexed = F.transform(
         lines,
@@ -266,7 +272,7 @@ def block_rows(lines: Column, width: Column | int | None = None) -> Column:
             i.alias("i"), tx.trim(m["content"]).alias("content"), m["symbol"].alias("symbol"), m["indent"].alias("indent")
         ),
     )
-    filled = F.filter(indexed, lambda m: m["content"] != "")
+    filled = F.col("__filled")
     nothing = F.array(F.lit(None).cast("struct<i:int,content:string,symbol:string,indent:int>"))
     before = F.concat(nothing, filled)
     after = F.concat(F.slice(filled, 2, 1 << 30), nothing)
@@ -274,10 +280,9 @@ def block_rows(lines: Column, width: Column | int | None = None) -> Column:
     trios = F.filter(
         F.arrays_zip(filled.alias("m"), before.alias("p"), after.alias("n")), lambda z: z["m"].isNotNull()
     )
-    blank_type = "struct<text:string,symbol:string,indent:int>"
     blank = F.struct(
         F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("symbol"), F.lit(0).alias("indent")
-    ).cast(blank_type)
+    ).cast(BLOCK_ROW)
 
     def rows(z: Column) -> Column:
         m, p, n = z["m"], z["p"], z["n"]
@@ -286,7 +291,7 @@ def block_rows(lines: Column, width: Column | int | None = None) -> Column:
         sep = needs_group_separator(m["indent"], previous, n["indent"])
         pieces = F.array(m["content"])
         if width is not None:
-            w = F.lit(width) if isinstance(width, int) else width
+            w = F.lit(width) if isinstance(width, int) else F.col("__width")
             pieces = F.when(w.isNotNull(), tx.wrap_text(m["content"], w)).otherwise(pieces)
         content = F.transform(
             pieces,
@@ -294,22 +299,32 @@ def block_rows(lines: Column, width: Column | int | None = None) -> Column:
         )
         return F.concat(F.array_repeat(blank, gap + F.when(sep, 1).otherwise(0)), content)
 
-    last = F.coalesce(F.element_at(filled, -1)["i"], F.lit(-1))
+    last = F.coalesce(F.try_element_at(filled, F.lit(-1))["i"], F.lit(-1))
     trailing = F.size(lines) - 1 - last
-    return F.concat(
+    block = F.concat(
         F.array(blank), F.flatten(F.transform(trios, rows)), F.array_repeat(blank, trailing + 1)
     )
+    own_width = width if isinstance(width, Column) else F.lit(None).cast("int")
+    return (
+        df.select(
+            "*",
+            F.filter(indexed, lambda m: m["content"] != "").alias("__filled"),
+            own_width.alias("__width"),
+        )
+        .select("*", F.when(filled.isNotNull(), block).alias(name))
+        .drop("__filled", "__width")
+    )
 
 
 LAYOUTS = ["empty", "inline", "inline_block", "block"]
 
 
-def _rest(order: str) -> Column:
+def rest_lines(order: str) -> Column:
     """Lines without the one shown inline and the separator it leaves behind."""
     every = ordered_lines(order)
     first, second = _leading(order)
     leads = (F.size(F.col(first)) > 0) | (F.size(F.col(second)) > 0)
-    skipped = F.slice(every, F.when(has_both(), 3).otherwise(2), F.size(every))
+    skipped = F.slice(every, F.when(has_both(), 3).otherwise(2), F.lit(1 << 30))
     return F.when(leads | ~has_imports() | ~has_todos(), skipped).otherwise(F.col("import_lines"))
 
 
@@ -318,24 +333,29 @@ def with_layout(
 ) -> DataFrame:
     """Add ``layout``, ``inline`` (content, symbol, indent) and ``block`` rows."""
     first = first_metadata_line(order)
-    shown = F.struct(
-        tx.first_line(first["content"]).alias("content"), first["symbol"].alias("symbol"), first["indent"].alias("indent")
-    )
-    no_rows = F.array().cast("array<struct<text:string,symbol:string,indent:int>>")
-    if not full:
-        layout = F.when(is_empty(), "empty").otherwise("inline")
-        block = no_rows
-    else:
+    if full:
         layout = (
             F.when(is_empty(), "empty")
             .when(total_lines() == 1, "inline")
             .when(first_section_is_single_line(order), "inline_block")
             .otherwise("block")
         )
-        block = (
-            F.when(F.col("layout") == "inline_block", block_rows(_rest(order), width))
-            .when(F.col("layout") == "block", block_rows(ordered_lines(order), width))
-            .otherwise(no_rows)
-        )
-    inline = F.when(F.col("layout").isin("inline", "inline_block"), shown)
-    return lines.withColumn("layout", layout).select("*", inline.alias("inline"), block.alias("block"))
+    else:
+        layout = F.when(is_empty(), "empty").otherwise("inline")
+    shown = F.struct(
+        tx.first_line(first["content"]).alias("content"), first["symbol"].alias("symbol"), first["indent"].alias("indent")
+    )
+    placed = lines.withColumn("layout", layout).withColumn(
+        "inline", F.when(F.col("layout").isin("inline", "inline_block"), shown)
+    )
+    no_rows = F.array().cast(f"array<{BLOCK_ROW}>")
+    if not full:
+        return placed.withColumn("block", no_rows)
+    below = F.when(F.col("layout") == "inline_block", rest_lines(order)).when(
+        F.col("layout") == "block", ordered_lines(order)
+    )
+    return (
+        with_block_rows(placed.withColumn("__below", below), "__below", "block", width)
+        .withColumn("block", F.coalesce("block", no_rows))
+        .drop("__below")
+    )

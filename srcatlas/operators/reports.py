@@ -39,16 +39,6 @@ def _summary_rows(nodes: DataFrame, pattern: str) -> DataFrame:
     )
 
 
-def _attach(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Bring each file's sections back to its node; keys are unique on both sides."""
-    arrays = [f"{s}_lines" for s in md.SECTIONS]
-    joined = nodes.join(lines.select("repo", "path", *arrays), ["repo", "path"], "left")
-    empty = F.array().cast(md.LINE_TYPE)
-    return joined.select(
-        *nodes.columns, *[F.coalesce(F.col(a), empty).alias(a) for a in arrays]
-    )
-
-
 def text_report(
     nodes: DataFrame,
     lines: DataFrame | None = None,
@@ -74,26 +64,53 @@ def text_report(
     if lines is None:
         rows = drawn.select("repo", "path", key, F.lit(0).alias("seq"), head.alias("text"))
     else:
-        # Every level of the prefix is four characters wide.
-        width = wrap_width(F.lit(wrap).cast("int"), F.col("depth") * 4, len(prefix))
-        laid = md.with_layout(_attach(drawn, lines), full, order, width if wrap is not None else None)
-        inline = F.col("inline")
-        beside = F.when(
-            inline.isNotNull(),
-            F.concat(F.lit("  " + prefix), F.repeat(F.lit(" "), inline["indent"]), inline["content"]),
-        ).otherwise(F.lit(""))
+        laid = _laid_out(lines, full, order, wrap, prefix)
         below = continuation_prefix(F.col("prefix"), F.col("is_last"))
-        block = F.transform(
-            F.col("block"),
-            lambda r: F.when(r["text"].isNull(), below).otherwise(
-                F.concat(below, F.lit(prefix), F.repeat(F.lit(" "), r["indent"]), r["text"])
-            ),
+        beside = F.coalesce(F.col("beside"), F.lit(""))
+        rows = (
+            drawn.join(laid, ["repo", "path"], "left")
+            .select("repo", "path", key, F.concat(head, beside).alias("head"), below.alias("below"), "block")
+            .select(
+                "repo",
+                "path",
+                "sort_key",
+                F.concat(
+                    F.array("head"),
+                    F.coalesce(
+                        F.transform("block", lambda r: F.concat(F.col("below"), r)),
+                        F.array().cast("array<string>"),
+                    ),
+                ).alias("rows"),
+            )
+            .select("repo", "path", "sort_key", F.posexplode("rows").alias("seq", "text"))
         )
-        every = F.concat(F.array(F.concat(head, beside)), block)
-        rows = laid.select("repo", "path", key, F.posexplode(every).alias("seq", "text"))
     return rows.unionByName(_summary_rows(nodes, "%d directories, %d files"))
 
 
+def _laid_out(lines: DataFrame, full: bool, order: str, wrap: int | None, prefix: str) -> DataFrame:
+    """(repo, path, beside, block): printed metadata of each file, short of the branches.
+
+    All of it follows from the file's own row and depth, so the layout is done
+    where the file was read and only its result is joined to the tree.
+    """
+    # Every level of the branches is four characters wide.
+    depth = names.path_depth(F.col("path"))
+    width = wrap_width(F.lit(wrap).cast("int"), depth * 4, len(prefix)) if wrap is not None else None
+    laid = md.with_layout(lines, full, order, width)
+
+    def printed(indent: Column, text: Column) -> Column:
+        return F.concat(F.lit(prefix), F.repeat(F.lit(" "), indent), text)
+
+    return laid.select(
+        "repo",
+        "path",
+        F.concat(F.lit("  "), printed(F.col("inline.indent"), F.col("inline.content"))).alias("beside"),
+        F.transform(
+            "block", lambda r: F.coalesce(printed(r["indent"], r["text"]), F.lit(""))
+        ).alias("block"),
+    )
+
+
 def markdown_report(
     nodes: DataFrame,
     lines: DataFrame | None = None,
@@ -103,42 +120,50 @@ def markdown_report(
     show_size: bool = False,
 ) -> DataFrame:
     """Nested Markdown list; further metadata goes into a quote below the item."""
-    if lines is None:
-        lines = nodes.limit(0).select(
-            "repo", "path", *[F.array().cast(md.LINE_TYPE).alias(f"{s}_lines") for s in md.SECTIONS]
-        )
-    joined = _attach(nodes, lines)
     indent = F.repeat(F.lit("  "), F.col("depth"))
-    nested = F.concat(indent, F.lit("  "))
     size = F.lit("")
     if show_size:
         size = F.coalesce(
             F.concat(F.lit(" ("), format_size(F.col("size_bytes")), F.lit(")")), F.lit("")
         )
-    first = md.first_metadata_line(order)
-    beside = F.coalesce(F.concat(F.lit(" - "), first_line(first["content"])), F.lit(""))
-    item = F.concat(indent, F.lit("- `"), F.col("name"), F.lit("`"), size, beside)
-    rows: Column = F.array(item)
-    if full:
-        every = md.ordered_lines(order)
-        rest = F.filter(
-            F.transform(md._rest(order), lambda m: trim(m["content"])), lambda s: s != ""
-        )
-        quoted = F.transform(
-            F.when(F.size(rest) > 0, rest).otherwise(F.array(F.lit(""))),
-            lambda s: F.concat(nested, F.lit("> "), s),
+    if lines is None:
+        joined = nodes.withColumn("beside", F.lit(None).cast("string")).withColumn(
+            "quote", F.lit(None).cast("array<string>")
         )
-        rows = F.when(
-            F.size(every) > 1, F.concat(rows, F.array(nested), quoted, F.array(F.lit("")))
-        ).otherwise(rows)
-    folder = F.array(F.concat(indent, F.lit("- **"), F.col("name"), F.lit("/**")))
-    rows = F.when(F.col("node_type") == "dir", folder).otherwise(rows)
+    else:
+        joined = nodes.join(_quoted(lines, full, order), ["repo", "path"], "left")
+    beside = F.coalesce(F.col("beside"), F.lit(""))
+    item = F.concat(indent, F.lit("- `"), F.col("name"), F.lit("`"), size, beside)
+    folder = F.concat(indent, F.lit("- **"), F.col("name"), F.lit("/**"))
+    head = F.when(F.col("node_type") == "dir", folder).otherwise(item)
+    rows = F.concat(F.array(head), F.coalesce("quote", F.array().cast("array<string>")))
     body = joined.select(
-        "repo", "path", _key(F.col("path")).alias("sort_key"), F.posexplode(rows).alias("seq", "text")
-    )
+        "repo", "path", _key(F.col("path")).alias("sort_key"), rows.alias("rows")
+    ).select("repo", "path", "sort_key", F.posexplode("rows").alias("seq", "text"))
     return body.unionByName(_summary_rows(nodes, "*%d directories, %d files*"))
 
 
+def _quoted(lines: DataFrame, full: bool, order: str) -> DataFrame:
+    """(repo, path, beside, quote): text beside the item and the rows of the quote below it."""
+    first = md.first_metadata_line(order)
+    beside = F.concat(F.lit(" - "), first_line(first["content"])).alias("beside")
+    if not full:
+        return lines.select("repo", "path", beside, F.lit(None).cast("array<string>").alias("quote"))
+    nested = F.repeat(F.lit("  "), names.path_depth(F.col("path")) + 1)
+    rest = F.filter(F.transform(md.rest_lines(order), lambda m: trim(m["content"])), lambda s: s != "")
+    quote = F.concat(
+        F.array("nested"),
+        F.transform(
+            F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.array(F.lit(""))),
+            lambda s: F.concat(F.col("nested"), F.lit("> "), s),
+        ),
+        F.array(F.lit("")),
+    )
+    return lines.select(
+        "repo", "path", beside, nested.alias("nested"), rest.alias("rest"), md.total_lines().alias("n")
+    ).select("repo", "path", "beside", F.when(F.col("n") > 1, quote).alias("quote"))
+
+
 def _node_fields(with_size: bool) -> list[Column]:
     fields = [
         F.lit("file").alias("type"),

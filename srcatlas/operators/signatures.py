@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.display import clean_signature
-from srcatlas.functions.text import indent_of, raw_lines, trim
+from srcatlas.functions.text import bind, indent_of, raw_lines, trim
 from srcatlas.operators.corpus import with_text
 
 
@@ -34,10 +34,7 @@ SIGNATURE_RULES = {
         openings=("pub",),
         declarations=(
             r"(?U)^pub\s+(?:"
-            r"(?:async\s+)?fn\s+(\w+)[^{;]*"
-            r"|struct\s+(\w+)[^{;]*"
-            r"|enum\s+(\w+)[^{;]*"
-            r"|trait\s+(\w+)[^{;]*"
+            r"(?:(?:async\s+)?fn|struct|enum|trait)\s+(\w+)[^{;]*"
             r"|type\s+(\w+)[^;]+"
             r"|const\s+(\w+):\s*[^=]+)"
         ),
@@ -46,12 +43,9 @@ SIGNATURE_RULES = {
         openings=("export",),
         declarations=(
             r"(?U)^export\s+(?:"
-            r"(?:async\s+)?function\s+(\w+)[^{]*"
-            r"|interface\s+(\w+)[^{]*"
+            r"(?:(?:async\s+)?function|interface|(?:abstract\s+)?class|(?:const\s+)?enum)\s+(\w+)[^{]*"
             r"|type\s+(\w++)[^=]*=\s*[^;{]+"
-            r"|(?:abstract\s+)?class\s+(\w+)[^{]*"
-            r"|const\s+(\w+):\s*[^=]+"
-            r"|(?:const\s+)?enum\s+(\w+)[^{]*)"
+            r"|const\s+(\w+):\s*[^=]+)"
         ),
     ),
     "js": SignatureRule(
@@ -77,8 +71,7 @@ SIGNATURE_RULES = {
         declarations=(
             r"(?U)^(?:"
             r"func\s+(?:\([^)]+\)\s*)?([A-Z]\w*)\s*\([^)]*\)[^{]*"
-            r"|type\s+([A-Z]\w*)\s+\w+"
-            r"|var\s+([A-Z]\w*)\s+\w+)"
+            r"|(?:type|var)\s+([A-Z]\w*)\s+\w+)"
         ),
         constants=r"(?U)^const\s+([A-Z]\w*+)\s*+[^=]*=",
     ),
@@ -96,34 +89,42 @@ def _groups(regex: str) -> int:
     return len(re.findall(r"(?<!\\)\((?!\?)", regex))
 
 
-def _signature(line: Column, rule: SignatureRule, pos: Column) -> Column:
-    t = trim(line)
-    # Groups of the alternatives that did not match come back empty.
-    symbol = F.concat(
-        *[F.regexp_extract(t, rule.declarations, g + 1) for g in range(_groups(rule.declarations))]
-    )
+def _contains_any(col: Column, words: tuple[str, ...]) -> Column:
+    hit = F.contains(col, F.lit(words[0]))
+    for word in words[1:]:
+        hit = hit | F.contains(col, F.lit(word))
+    return hit
+
 
-    def found(signature: Column, name: Column) -> Column:
+def _signature(line: Column, rule: SignatureRule, pos: Column) -> Column:
+    def found(signature: Column, symbol: Column) -> Column:
         return F.struct(
             (pos + 1).alias("line"),
             signature.alias("signature"),
-            name.alias("symbol"),
+            symbol.alias("symbol"),
             indent_of(line).alias("indent"),
         )
 
-    gate = _starts_with_any(t, rule.openings)
-    if rule.hidden:
-        gate = gate & ~_starts_with_any(t, rule.hidden)
-    out = F.when(
-        gate & t.rlike(rule.declarations),
-        found(clean_signature(F.regexp_extract(t, rule.declarations, 0)), symbol),
-    )
-    if rule.constants:
-        cut = trim(F.rtrim(F.regexp_extract(t, rule.constants, 0), F.lit("=")))
-        out = out.when(
-            gate & t.rlike(rule.constants), found(cut, F.regexp_extract(t, rule.constants, 1))
-        )
-    return out
+    def declaration(match: Column) -> Column:
+        # Groups of the alternatives that did not match come back empty.
+        groups = range(1, _groups(rule.declarations) + 1)
+        symbol = F.concat(*[F.regexp_extract(match, rule.declarations, g) for g in groups])
+        return F.when(match != "", found(clean_signature(match), symbol))
+
+    def constant(match: Column) -> Column:
+        symbol = F.regexp_extract(match, rule.constants, 1)
+        return F.when(match != "", found(trim(F.rtrim(match, F.lit("="))), symbol))
+
+    def tested(t: Column) -> Column:
+        gate = _starts_with_any(t, rule.openings)
+        if rule.hidden:
+            gate = gate & ~_starts_with_any(t, rule.hidden)
+        hit = bind(F.regexp_extract(t, rule.declarations, 0), declaration)
+        if rule.constants:
+            hit = F.coalesce(hit, bind(F.regexp_extract(t, rule.constants, 0), constant))
+        return F.when(gate, hit)
+
+    return F.when(_contains_any(line, rule.openings), bind(trim(line), tested))
 
 
 def signatures_array(lines: Column, canon_ext: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.functions.text import raw_lines, trim
+from srcatlas.functions.text import WS, raw_lines, trim
 from srcatlas.operators.corpus import with_text
 
 # The markers, comment openings and phrases of documentation text.
@@ -24,9 +24,9 @@ DOCUMENTATION_PHRASES = [
 # Runs of blanks are possessive: what follows them can never be a blank, so
 # nothing is lost and a line of blanks costs one pass.
 TODO_REGEX = (
-    r"(?idU)^\s*+(?://++|/?\*++|#++|--++|;++)\s*+(?:!\s*+)?+("
+    rf"(?idu)^[{WS}]*+(?://++|/?\*++|#++|--++|;++)[{WS}]*+(?:![{WS}]*+)?+("
     + "|".join(MARKERS)
-    + r")\s*+:(.+)"
+    + rf")[{WS}]*+:(.+)"
 )
 
 
@@ -53,47 +53,32 @@ def clean_comment_text(text: Column) -> Column:
     return trim(F.substring_index(F.substring_index(text, "*/", 1), "-->", 1))
 
 
-def _marker(line: Column) -> Column:
-    return F.upper(F.regexp_extract(line, TODO_REGEX, 1))
-
-
-def _task(line: Column) -> Column:
-    return clean_comment_text(trim(F.regexp_extract(line, TODO_REGEX, 2)))
-
-
-def extract_todos(files: DataFrame, **gates: int) -> DataFrame:
-    """(repo, path, line, marker, text), one row per task marker.
+def todos_array(lines: Column) -> Column:
+    """Array of (line, marker, text) inside the file's row, in file order.
 
-    A narrow stage: lines become rows, a cheap test for the colon comes before
-    the pattern, and nothing is shuffled.
+    Three passes over ever fewer lines: the text of lines with a colon, the
+    tests on the text, and only then the marker.
     """
-    content = F.col("content")
-    return (
-        with_text(files, **gates)
-        .select("repo", "path", F.posexplode(raw_lines(F.col("text"))).alias("pos", "content"))
-        .where(F.contains(content, F.lit(":")))
-        .where(content.rlike(TODO_REGEX))
-        .select(
-            "repo",
-            "path",
-            (F.col("pos") + 1).alias("line"),
-            _marker(content).alias("marker"),
-            _task(content).alias("text"),
+
+    def candidate(line: Column, pos: Column) -> Column:
+        task = clean_comment_text(trim(F.regexp_extract(line, TODO_REGEX, 2)))
+        return F.when(
+            F.contains(line, F.lit(":")),
+            F.struct((pos + 1).alias("line"), line.alias("raw"), task.alias("text")),
         )
-        .where((F.col("text") != "") & ~is_documentation_example(F.col("text")))
-    )
 
+    def wanted(t: Column) -> Column:
+        return t.isNotNull() & (t["text"] != "") & ~is_documentation_example(t["text"])
 
-def todos_array(lines: Column) -> Column:
-    """The same as an array of (line, marker, text) inside the file's row."""
+    def item(t: Column) -> Column:
+        marker = F.upper(F.regexp_extract(t["raw"], TODO_REGEX, 1))
+        return F.struct(t["line"].alias("line"), marker.alias("marker"), t["text"].alias("text"))
 
-    def item(line: Column, pos: Column) -> Column:
-        return F.when(
-            F.contains(line, F.lit(":")) & line.rlike(TODO_REGEX),
-            F.struct(
-                (pos + 1).alias("line"), _marker(line).alias("marker"), _task(line).alias("text")
-            ),
-        )
+    return F.transform(F.filter(F.transform(lines, candidate), wanted), item)
 
-    found = F.filter(F.transform(lines, item), lambda t: t.isNotNull())
-    return F.filter(found, lambda t: (t["text"] != "") & ~is_documentation_example(t["text"]))
+
+def extract_todos(files: DataFrame, **gates: int) -> DataFrame:
+    """(repo, path, line, marker, text), one row per task marker; a narrow stage."""
+    return with_text(files, **gates).select(
+        "repo", "path", F.inline(todos_array(raw_lines(F.col("text"))))
+    )
