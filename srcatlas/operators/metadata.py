@@ -154,7 +154,8 @@ def file_sections(
 def extract_with(files: DataFrame, name: str, **gates: int) -> DataFrame:
     """(repo, path, seq, content, style, symbol, indent) of a registered extractor."""
     found = file_sections(files, Sections(comments=False), [name], **gates)
-    return found.select("repo", "path", F.posexplode(name).alias("pos", "x")).select(
+    items = F.filter(name, lambda x: x.isNotNull())
+    return found.select("repo", "path", F.posexplode(items).alias("pos", "x")).select(
         "repo", "path", (F.col("pos") + 1).alias("seq"), "x.*"
     )
 
@@ -328,6 +329,14 @@ def rest_lines(order: str) -> Column:
     return F.when(leads | ~has_imports() | ~has_todos(), skipped).otherwise(F.col("import_lines"))
 
 
+def block_table(laid: DataFrame) -> DataFrame:
+    """(repo, path, seq, text, symbol, indent): the rows below each name."""
+    rows = F.filter("block", lambda r: r.isNotNull())
+    return laid.select("repo", "path", F.posexplode(rows).alias("seq", "r")).select(
+        "repo", "path", "seq", "r.*"
+    )
+
+
 def with_layout(
     lines: DataFrame, full: bool, order: str = COMMENTS_FIRST, width: Column | int | None = None
 ) -> DataFrame:

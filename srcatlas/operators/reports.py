@@ -67,22 +67,14 @@ def text_report(
         laid = _laid_out(lines, full, order, wrap, prefix)
         below = continuation_prefix(F.col("prefix"), F.col("is_last"))
         beside = F.coalesce(F.col("beside"), F.lit(""))
+        # The generator takes the expression, not a column: for a column the
+        # optimizer would test its size first and work it out twice.
+        block = F.transform("block", lambda r: F.concat(F.col("below"), r))
+        every = F.concat(F.array("head"), F.coalesce(block, F.array().cast("array<string>")))
         rows = (
             drawn.join(laid, ["repo", "path"], "left")
             .select("repo", "path", key, F.concat(head, beside).alias("head"), below.alias("below"), "block")
-            .select(
-                "repo",
-                "path",
-                "sort_key",
-                F.concat(
-                    F.array("head"),
-                    F.coalesce(
-                        F.transform("block", lambda r: F.concat(F.col("below"), r)),
-                        F.array().cast("array<string>"),
-                    ),
-                ).alias("rows"),
-            )
-            .select("repo", "path", "sort_key", F.posexplode("rows").alias("seq", "text"))
+            .select("repo", "path", "sort_key", F.posexplode(every).alias("seq", "text"))
         )
     return rows.unionByName(_summary_rows(nodes, "%d directories, %d files"))
 
@@ -136,10 +128,10 @@ def markdown_report(
     item = F.concat(indent, F.lit("- `"), F.col("name"), F.lit("`"), size, beside)
     folder = F.concat(indent, F.lit("- **"), F.col("name"), F.lit("/**"))
     head = F.when(F.col("node_type") == "dir", folder).otherwise(item)
-    rows = F.concat(F.array(head), F.coalesce("quote", F.array().cast("array<string>")))
+    rows = F.concat(F.array("head"), F.coalesce("quote", F.array().cast("array<string>")))
     body = joined.select(
-        "repo", "path", _key(F.col("path")).alias("sort_key"), rows.alias("rows")
-    ).select("repo", "path", "sort_key", F.posexplode("rows").alias("seq", "text"))
+        "repo", "path", _key(F.col("path")).alias("sort_key"), head.alias("head"), "quote"
+    ).select("repo", "path", "sort_key", F.posexplode(rows).alias("seq", "text"))
     return body.unionByName(_summary_rows(nodes, "*%d directories, %d files*"))
 
 

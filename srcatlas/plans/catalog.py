@@ -395,14 +395,12 @@ def metadata_flags(spark, sf_dir):
 def group_separators(spark, sf_dir):
     """Block rows of the signatures alone, with the blank rows between groups."""
     found = md.file_sections(code_files(spark, sf_dir), md.Sections(comments=False, types=True, full=True))
-    typed = found.where(F.size("signatures") > 0).select(
+    some = F.filter(F.array("signatures"), lambda a: F.size(a) > 0)
+    typed = found.select("repo", "path", F.explode(some).alias("signatures")).select(
         "repo", "path", md.type_lines(F.col("signatures")).alias("lines")
     )
-    return (
-        md.with_block_rows(typed, "lines", "rows")
-        .select("repo", "path", F.posexplode("rows").alias("seq", "r"))
-        .select("repo", "path", "seq", F.coalesce("r.text", F.lit("")).alias("text"), F.col("r.indent").alias("indent"))
-    )
+    rows = md.block_table(md.with_block_rows(typed, "lines", "block"))
+    return rows.select("repo", "path", "seq", F.coalesce("text", F.lit("")).alias("text"), "indent")
 
 
 @query

@@ -411,14 +411,13 @@ imports AS (
   WHERE again = 1 OR NOT (category = 'external' AND lang IN ('js', 'py', 'go') OR category = 'std' AND lang IN ('py', 'go')))"""
 WIDE = """
 wide AS (
-  SELECT repo, path, external, std, internal, total,
-         concat_ws(', ', CASE WHEN external <> '' THEN replace(external, chr(10), ', ') END,
-           CASE WHEN std <> '' THEN concat('std::{', replace(std, chr(10), ', '), '}') END,
-           CASE WHEN internal <> '' THEN concat('crate::{', replace(internal, chr(10), ', '), '}') END) AS summary
+  SELECT repo, path, coalesce(external, '') AS external, coalesce(std, '') AS std, coalesce(internal, '') AS internal, total,
+         concat_ws(', ', replace(external, chr(10), ', '), CASE WHEN std IS NOT NULL THEN concat('std::{', replace(std, chr(10), ', '), '}') END,
+           CASE WHEN internal IS NOT NULL THEN concat('crate::{', replace(internal, chr(10), ', '), '}') END) AS summary
   FROM (SELECT repo, path, count(*) AS total,
-               coalesce(string_agg(module, chr(10) ORDER BY seq) FILTER (category = 'external'), '') AS external,
-               coalesce(string_agg(module, chr(10) ORDER BY seq) FILTER (category = 'std'), '') AS std,
-               coalesce(string_agg(module, chr(10) ORDER BY seq) FILTER (category = 'internal'), '') AS internal
+               string_agg(module, chr(10) ORDER BY seq) FILTER (category = 'external') AS external,
+               string_agg(module, chr(10) ORDER BY seq) FILTER (category = 'std') AS std,
+               string_agg(module, chr(10) ORDER BY seq) FILTER (category = 'internal') AS internal
         FROM imports GROUP BY repo, path))"""
 for _name, _ext in LANGS.items():
     SQL[f"imports_{_name}"] = with_(o.language_files_sql(_ext), o.lines_sql(), IMPORTS) + "SELECT * FROM imports"

@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder of its own. A cluster without the setting is an error, because a
     machine-local folder would be lost together with its executor.
     """
-    named = spark.conf.get(CHECKPOINT_SETTING, None)
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

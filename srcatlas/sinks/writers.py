@@ -14,11 +14,17 @@ from srcatlas.operators.reports import REPORT_ORDER
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by_repo: bool = False) -> None:
     """Write a flat Parquet table.
 
-    With ``by_repo`` the rows land in one folder per repository; each task
-    writes the repositories it holds, so a large one is not gathered first.
+    With ``by_repo`` the rows land in one folder per repository. They are
+    range-sorted first, so that small repositories share a task and give one
+    file each, while a very large one is cut over many tasks.
     """
-    writer = df.write.mode(mode)
-    (writer.partitionBy("repo") if by_repo else writer).parquet(path)
+    if not by_repo:
+        df.write.mode(mode).parquet(path)
+        return
+    order = [c for c in ("repo", "path") if c in df.columns]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(
+        "repo"
+    ).parquet(path)
 
 
 def write_json_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:

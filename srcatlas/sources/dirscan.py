@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.globs import name_matches
+from srcatlas.functions.text import MAX_FILE_SIZE_FOR_LINES
 from srcatlas.operators.filters import GIT_DIR
 from srcatlas.session import materialize
 
@@ -115,17 +116,17 @@ def read_contents(entries: DataFrame) -> DataFrame:
 
 
 def scan_dirs(
-    roots: DataFrame, ignore_names: Sequence[str] = (), max_file_size: int | None = None
+    roots: DataFrame,
+    ignore_names: Sequence[str] = (),
+    max_file_size: int = MAX_FILE_SIZE_FOR_LINES,
 ) -> DataFrame:
     """Scan directory trees into a ``files`` table.
 
-    ``max_file_size`` leaves larger files listed but unread.
+    Larger files are listed but not read; by default nothing uses the content
+    of a file above the line-counting limit.
     """
     entries = list_entries(roots, ignore_names)
-    if max_file_size is None:
-        return read_contents(entries)
-    small = entries.where(F.col("size_bytes") <= max_file_size)
     large = entries.where(F.col("size_bytes") > max_file_size)
-    return read_contents(small).unionByName(
+    return read_contents(entries.where(F.col("size_bytes") <= max_file_size)).unionByName(
         large.drop("root").withColumn("content", F.lit(None).cast("binary"))
     )
