@@ -107,7 +107,8 @@ def wrap_text(text: Column, width: Column | int) -> Column:
         cut = F.transform(F.regexp_extract_all(words, step, F.lit(0)), lambda p: F.rtrim(p))
         return F.when(F.length(words) <= width, F.array(words)).otherwise(cut)
 
-    words = F.regexp_replace(trim(text), f"[{WS}]+", " ")
+    # A single blank between words is left alone, so most texts pass unchanged.
+    words = F.regexp_replace(trim(text), f" [{WS}]++|[{WS}&&[^ ]][{WS}]*+", " ")
     return F.when(width == 0, F.array(text)).otherwise(bind(words, pieces))
 
 

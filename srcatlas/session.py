@@ -18,6 +18,8 @@ def get_session(app_name: str = "srcatlas", master: str | None = None, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # A batch holds whole files; fewer rows keep it within memory.
+        .config("spark.sql.parquet.columnarReaderBatchSize", "512")
     )
     if master:
         builder = builder.master(master)
