@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def get_session(app_name: str = "srcatlas", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,9 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="srcatlas-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="srcatlas-")
+    return _OWN_FOLDERS[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

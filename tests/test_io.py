@@ -8,6 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from srcatlas import session
 from srcatlas.operators import metadata as md, reports, stats, tree
 from srcatlas.operators.todos import extract_todos
 from srcatlas.schema import FILES, require_columns
@@ -124,5 +125,12 @@ def test_incremental_sink(spark, tmp_path):
     assert seen == ["x"]
 
 
-def test_shared_folder_comes_from_the_session(spark):
+def test_shared_folder_comes_from_the_session(spark, monkeypatch):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    # Next comes the folder of the context; a local session without either gets its own.
+    monkeypatch.setattr(session, "CHECKPOINT_SETTING", "spark.srcatlas.unsetForTest")
+    assert shared_folder(spark) == spark.sparkContext.getCheckpointDir()
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    own = shared_folder(spark)
+    assert own == shared_folder(spark) != spark.conf.get("spark.checkpoint.dir") and os.path.isdir(own)
+    assert session.materialize(spark.range(3), "own").count() == 3
