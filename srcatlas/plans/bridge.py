@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.session import materialize
+from srcatlas.schema import FILES
+from srcatlas.session import write_shared
 from srcatlas.sources.tables import spread_small_input
 
 # In a pattern: $x sentence, $w its first word, $i its number, $s the first
@@ -192,18 +194,23 @@ def kind_column() -> Column:
     return ((F.col("doc_id") + F.floor(F.col("doc_id") / 20)) % len(KINDS)).cast("int")
 
 
-_WRITTEN: dict[tuple[str, str, tuple[str, ...]], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, tuple[str, ...]], str] = {}
 
 
 def _written(spark: SparkSession, sf_dir: str, exts: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
     """The derived corpus as a written table, made once per session.
 
-    Queries then scan it like any corpus: only the columns they use.
+    Queries then scan it like any corpus: only the columns they use. It is made
+    again when the folder's owner has cleared it.
     """
     key = (spark.sparkContext.applicationId, sf_dir, exts)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = materialize(make(), "corpus")
-    return _WRITTEN[key]
+    if key in _WRITTEN:
+        try:
+            return spark.read.schema(FILES).parquet(_WRITTEN[key])
+        except AnalysisException:
+            pass
+    _WRITTEN[key] = write_shared(make(), "corpus")
+    return spark.read.schema(FILES).parquet(_WRITTEN[key])
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from srcatlas.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-NEWER, OLDER = "2024-01-03 00:00:00", "2024-01-20 12:00:00"
+NEWER, OLDER = "2024-01-03T00:00:00Z", "2024-01-20T12:00:00Z"
 SIZE_CAP = 4_000
 TOP_K = 25
 WRAP_WIDTH = 40
@@ -224,6 +224,19 @@ def gitignore_listing(spark, sf_dir):
     return _listing(tree.list_nodes(files, rules=ignore.read_ignore_rules(files)))
 
 
+@query
+def show_all_listing(spark, sf_dir):
+    files = repository_files(spark, sf_dir)
+    return _listing(tree.list_nodes(files, rules=ignore.read_ignore_rules(files), show_all=True))
+
+
+@query
+def included_dirs_only(spark, sf_dir):
+    files = repository_files(spark, sf_dir)
+    rules = ignore.read_ignore_rules(files)
+    return _listing(tree.list_nodes(files, rules=rules, dirs_only=True, rules_hide_dirs=True))
+
+
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index: documents with a label; status: the others, by their quality mark."""
     files = repository_files(spark, sf_dir).withColumn(

@@ -226,6 +226,8 @@ SQL["gitignore_listing"] = (
     )
     + NODES
 )
+SQL["show_all_listing"] = SQL["list_all"]
+SQL["included_dirs_only"] = SQL["gitignore_listing"] + " WHERE node_type = 'dir'"
 TRACKED = """
 tracked AS (
   SELECT repo, path FROM repo_files JOIN labels USING (doc_id) WHERE quality = 1

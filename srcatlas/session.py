@@ -47,13 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+def write_shared(df: DataFrame, label: str) -> str:
+    """Write ``df`` as a new table in the shared folder and return its path."""
+    target = os.path.join(shared_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(target)
+    return target
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
     Used where two passes must see the very same rows (row numbers, listing
     levels): the written table survives the loss of any executor.
     """
-    spark = df.sparkSession
-    target = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, label))

@@ -48,3 +48,11 @@ def test_query(spark, other, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_derived_corpus_is_made_again_when_cleared(spark, monkeypatch):
+    from srcatlas.plans import bridge
+
+    first = bridge.code_files(spark, SF_DIR).count()
+    monkeypatch.setattr(bridge, "_WRITTEN", {k: v + "-gone" for k, v in bridge._WRITTEN.items()})
+    assert bridge.code_files(spark, SF_DIR).count() == first

@@ -20,7 +20,7 @@ def shown(df):
 
 IGNORE_CASES = [
     ({".gitignore": "*.log\ntarget/", "main.rs": "", "debug.log": ""}, {"debug.log"}),
-    ({".gitignore": "target/", "src/main.rs": "", "target/debug": "", "target/a/b": ""},
+    ({".gitignore": "target/", "app/a.rs": "", "target/debug": "", "target/a/b": ""},
      {"target", "target/debug", "target/a", "target/a/b"}),
     ({".gitignore": "*.log", "subdir/.gitignore": "*.tmp", "root.log": "", "subdir/cache.tmp": "",
       "subdir/nested.log": "", "root.tmp": ""}, {"root.log", "subdir/cache.tmp", "subdir/nested.log"}),
