@@ -7,7 +7,7 @@ import regex
 
 # The characters with Unicode's White_Space property. The pattern's ``\s`` is spelled out,
 # because the expression libraries disagree about the control characters U+001C to U+001F.
-WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Splitter:

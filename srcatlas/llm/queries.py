@@ -4,11 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from srcatlas.llm import bpe_prefix, token_count
+from srcatlas.llm import bpe_prefix, decontaminate, simhash, token_count
 from srcatlas.llm.common import read, sha256_hex
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows cover."""
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    digest = sha256_hex(F.array_join("items", ","))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -24,6 +38,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_decontamination": op3_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
 }
