@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import bpe_prefix, decontaminate, langid, neighbours, simhash, substring, token_count, toxicity
+from srcatlas.llm import bpe_prefix, decontaminate, htmltext, langid, neighbours, quality, simhash, substring, token_count, toxicity
 from srcatlas.llm.common import held_out, read, sha256_hex
 
 
@@ -34,6 +34,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", sha256_hex("kept").alias("kept_sha256"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,6 +53,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs)).select("doc_id", "score", "posterior", "keep")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -67,8 +78,10 @@ QUERIES = {
     "op2_nearest": op2_nearest,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_main_text": op5_main_text,
     "op6_token_counts": op6_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
