@@ -31,6 +31,18 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def with_others(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Key and text, and all columns but the text as one struct ``others`` (the key among them)."""
+    others = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), others.alias("others"))
+
+
+def restored(df: DataFrame, columns: list[str], text_col: str, **changed: Column) -> DataFrame:
+    """The columns as before ``with_others``, the text as in ``df``; ``changed`` ones anew, where they exist."""
+    old = {c: F.col("text") if c == text_col else F.col("others").getField(c) for c in columns}
+    return df.select(*[changed.get(c, value).alias(c) for c, value in old.items()])
+
+
 def id_field(df: DataFrame, id_col: str, name: str | None = None) -> StructField:
     """The key's field as it stands in ``df``, nullable."""
     return StructField(name or id_col, df.schema[id_col].dataType, True)

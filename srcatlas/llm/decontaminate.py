@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from srcatlas.llm.common import Batches, id_field, map_batches, texts_as_bytes, two_columns
+from srcatlas.llm.common import Batches, id_field, map_batches, restored, texts_as_bytes, two_columns, with_others
 from srcatlas.session import materialize
 
 #: Bytes of benchmark text in one pass over the documents.
@@ -141,7 +141,40 @@ def decontaminate(
     ``items`` are the keys of items with occurring windows as sorted strings, ``spans`` the [start, end) word
     positions that windows cover.
     """
+    out = _scanned(docs, benchmark, window, id_col, text_col, item_col, item_text_col, pass_bytes)
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        "spans",
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    pass_bytes: int = PASS_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that no window occurs in, with all columns."""
+    out = _scanned(docs, benchmark, window, id_col, text_col, item_col, item_text_col, pass_bytes, whole=True)
+    return restored(out.where("n_hit = 0"), docs.columns, text_col)
+
+
+def _scanned(
+    docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str, pass_bytes: int, whole: bool = False
+) -> DataFrame:
+    """All passes over the documents; ``whole`` also gives back text and other columns."""
     spark = docs.sparkSession
+    texts = with_others(docs, id_col, text_col) if whole else two_columns(docs, id_col, text_col)
+    others = [texts.schema["others"]] if whole else []
     schema = StructType(
         [
             id_field(docs, id_col, "id"),
@@ -150,25 +183,17 @@ def decontaminate(
             StructField("n_hit", LongType()),
             StructField("items", ArrayType(StringType())),
             StructField("spans", ArrayType(ArrayType(IntegerType()))),
+            *others,
         ]
     )
-    out = two_columns(docs, id_col, text_col).select(
-        "id", "text", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<array<int>>").alias("spans")
-    )
+    out = texts.withColumns({"items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast("array<array<int>>")})
     blocks = list(_sent(spark, two_columns(benchmark, item_col, item_text_col), window, pass_bytes)) or [_send(spark, [], window)]
     for number, sent in enumerate(blocks):
-        out = _one_pass(out.select("id", "text", "items", "spans"), sent, schema, last=number == len(blocks) - 1)
+        given = out.select("id", "text", "items", "spans", *[f.name for f in others])
+        out = _one_pass(given, sent, schema, with_text=whole or number < len(blocks) - 1)
         if number % PASSES_TOGETHER == PASSES_TOGETHER - 1 and number < len(blocks) - 1:
             out = materialize(out, "scanned")
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        "items",
-        "spans",
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    return out
 
 
 def _sent(spark, items: DataFrame, window: int, pass_bytes: int) -> Iterator:
@@ -183,7 +208,7 @@ def _send(spark, block: list[tuple], window: int):
     return spark.sparkContext.broadcast((window, keys, [words(text.encode()) for _, text in block]))
 
 
-def _one_pass(docs: DataFrame, sent, schema: StructType, last: bool) -> DataFrame:
+def _one_pass(docs: DataFrame, sent, schema: StructType, with_text: bool) -> DataFrame:
     def run(batches: Batches) -> Batches:
         window, keys, texts = sent.value
         searches = searchers(list(enumerate(texts)), window)
@@ -199,13 +224,13 @@ def _one_pass(docs: DataFrame, sent, schema: StructType, last: bool) -> DataFram
                 n_hit.append(sum(end - start for start, end in hit))
                 items.append(sorted({keys[i] for i in numbers if keys[i] is not None} | set(old_items or ())))
                 spans.append(hit)
-            text = pa.nulls(len(batch), pa.string()) if last else batch.column(1)
+            text = batch.column(1) if with_text else pa.nulls(len(batch), pa.string())
             arrays = [
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(spans, pa.list_(pa.list_(pa.int32()))),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, *arrays], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, *arrays, *batch.columns[4:]], names=schema.names)
 
     return map_batches(docs, run, schema)

@@ -165,3 +165,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             )
 
     return map_batches(two_columns(docs, id_col, text_col), run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``predict`` does not reject."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            keep += [vectors(part).any(axis=1) & bool(sent.value.languages) for _, part in groups(batch.column(place).to_pylist())]
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return map_batches(docs, run, docs.schema)

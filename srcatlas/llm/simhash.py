@@ -184,3 +184,19 @@ def near_duplicates(
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = joined.join(names, "component").select("fp", "component_id")
     return prints.join(labels, "fp").select(id_col, "fp", "component_id")
+
+
+def deduplicate(
+    docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` for each component, that with the smallest key, with all columns.
+
+    Rows with a null key take part in linking but all stay, since nothing tells them apart. Of rows with one key, one stays.
+    """
+    found = materialize(near_duplicates(docs, shingle, max_bits, id_col, text_col), "components")
+    named = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count()
+    repeated = not named.where("count > 1").isEmpty()
+    kept = docs.join(named.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates([id_col])
+    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

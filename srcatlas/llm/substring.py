@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     IntegerType,
     LongType,
     StringType,
@@ -41,7 +42,7 @@ from pyspark.sql.types import (
 )
 
 from srcatlas.llm import bloom
-from srcatlas.llm.common import Batches, id_field, map_batches, texts_as_bytes, two_columns
+from srcatlas.llm.common import Batches, id_field, map_batches, restored, texts_as_bytes, two_columns, with_others
 from srcatlas.session import materialize
 
 #: Words of the runs among which a window's minimizer is chosen.
@@ -311,25 +312,25 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     ``kept`` are the words left, joined by one space; ``removed`` the [start, end) word positions that went;
     ``sources`` the [start, end, copies] of the compacted paths whose first occurrence lies in the document.
     """
-    if not SEED_WORDS <= window <= SEED_WORDS + 60:
-        raise ValueError(f"a window has {SEED_WORDS} to {SEED_WORDS + 60} words")
-    spark = docs.sparkSession
-    texts = two_columns(docs, id_col, text_col)
-    seeds = materialize(_seed_counts(texts, window).where("n > 1"), "seeds")
-    total = seeds.agg(F.sum("n")).first()[0] or 0
-    # At most 1 / HOT_SHARE of them.
-    hot = [r.seed for r in seeds.where(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select("seed").collect()]
-    repeated = spark.sparkContext.broadcast(bloom.build(seeds, "seed"))
-    firsts = _stretches(_pieces(texts, window, repeated, np.array(hot, np.int64).view(_U)))
-    # Bounded by the document's own length.
-    own = firsts.groupBy("id").agg(
-        F.collect_list("origin").alias("origin"),
-        F.collect_list("copies").alias("copies"),
-        F.collect_list("path").alias("path"),
-        F.collect_list("mask").alias("mask"),
-    )
-    joined = texts.join(own.withColumnRenamed("id", "own").hint("shuffle_hash"), texts["id"].eqNullSafe(F.col("own")), "left").drop("own")
-    schema = StructType(
+    return _without_repeats(docs, two_columns(docs, id_col, text_col), window, _removed_schema(docs, id_col), _details)
+
+
+def without_repeats(
+    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars"
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, and the words left as text where words went.
+
+    A text that loses none stays as it is; ``chars_col``, if there is one, counts the characters that are left.
+    """
+    texts = with_others(docs, id_col, text_col)
+    schema = StructType([StructField("text", StringType()), StructField("changed", BooleanType()), texts.schema["others"]])
+    found = _without_repeats(docs, texts, window, schema, _changed_texts)
+    size = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("others").getField(chars_col)) if chars_col in docs.columns else None
+    return restored(found, docs.columns, text_col, **({chars_col: size} if size is not None else {}))
+
+
+def _removed_schema(docs: DataFrame, id_col: str) -> StructType:
+    return StructType(
         [
             id_field(docs, id_col),
             StructField("n_words", LongType()),
@@ -340,39 +341,54 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         ]
     )
 
+
+def _without_repeats(docs: DataFrame, texts: DataFrame, window: int, schema: StructType, finish) -> DataFrame:
+    if not SEED_WORDS <= window <= SEED_WORDS + 60:
+        raise ValueError(f"a window has {SEED_WORDS} to {SEED_WORDS + 60} words")
+    spark = docs.sparkSession
+    plain = texts.select("id", "text")
+    seeds = materialize(_seed_counts(plain, window).where("n > 1"), "seeds")
+    total = seeds.agg(F.sum("n")).first()[0] or 0
+    # At most 1 / HOT_SHARE of them.
+    hot = [r.seed for r in seeds.where(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select("seed").collect()]
+    repeated = spark.sparkContext.broadcast(bloom.build(seeds, "seed"))
+    firsts = _stretches(_pieces(plain, window, repeated, np.array(hot, np.int64).view(_U)))
+    # Bounded by the document's own length.
+    own = firsts.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("origin", "copies", "path", "mask")])
+    joined = texts.join(own.withColumnRenamed("id", "own").hint("shuffle_hash"), texts["id"].eqNullSafe(F.col("own")), "left")
+    joined = joined.select("id", "text", "origin", "copies", "path", "mask", *[c for c in texts.columns if c == "others"])
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            texts = texts_as_bytes(batch.column(1))
-            own = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
-            words, gone, kept, removed, sources = [], [], [], [], []
-            for _, part in _groups(texts):
+            rows = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True))
+            texts, sizes, spans = texts_as_bytes(batch.column(1)), [], []
+            for at, part in _groups(texts):
                 group = Group(part, window)
                 again = repeated.value.holds(group.seed)
                 bounds = np.searchsorted(group.owner, np.arange(len(part) + 1))
-                for i, text in enumerate(part):
-                    mine = slice(bounds[i], bounds[i + 1])
-                    row = next(own)
-                    spans = _spans(again[mine], row, window)
-                    words.append(int(group.sizes[i]))
-                    gone.append(sum(b - a for a, b in spans))
-                    kept.append(_without(text.split(), spans))
-                    removed.append(spans)
-                    sources.append(_paths(row, window))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(words, pa.int64()),
-                    pa.array(gone, pa.int64()),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
-                    pa.array(removed, pa.list_(pa.list_(pa.int32()))),
-                    pa.array(sources, pa.list_(pa.list_(pa.int64()))),
-                ],
-                names=schema.names,
-            )
+                sizes += group.sizes.tolist()
+                spans += [_spans(again[bounds[i] : bounds[i + 1]], rows[at + i], window) for i in range(len(part))]
+            yield pa.RecordBatch.from_arrays(finish(batch, texts, sizes, spans, rows, window), names=schema.names)
 
     return map_batches(joined, run, schema)
 
 
+def _details(batch: pa.RecordBatch, texts: list, sizes: list, spans: list, rows: list, window: int) -> list[pa.Array]:
+    return [
+        batch.column(0),
+        pa.array(sizes, pa.int64()),
+        pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+        pa.array([_without((t or b"").split(), s) for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(pa.string()),
+        pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+        pa.array([_paths(row, window) for row in rows], pa.list_(pa.list_(pa.int64()))),
+    ]
+
+
+def _changed_texts(batch: pa.RecordBatch, texts: list, sizes: list, spans: list, rows: list, window: int) -> list[pa.Array]:
+    left = [_without(t.split(), s) if s else t for t, s in zip(texts, spans, strict=True)]
+    return [pa.array(left, pa.binary()).cast(pa.string()), pa.array([bool(s) for s in spans]), batch.column(6)]
+
+
 def _firsts(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, copies, path) of a document's own first occurrences, ordered by start."""
     origin, copies, path, mask = (np.array(x or [], np.int64) for x in row)
