@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from srcatlas.llm import bpe_prefix, decontaminate, htmltext, langid, neighbours, quality, simhash, substring, token_count, toxicity
 from srcatlas.llm.common import held_out, read, sha256_hex
+from srcatlas.llm.oracle import SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
