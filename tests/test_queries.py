@@ -7,6 +7,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from srcatlas.plans.catalog import QUERIES
+from srcatlas.plans.oracle import SQL
 
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -28,14 +30,15 @@ def rows(names, values):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, other, name):
-    want = other.execute(contract.oracle_sql()[name])
+    want = other.execute(SQL[name])
     names = [c[0] for c in want.description]
-    df = contract.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     assert sorted(df.columns) == sorted(names)
     types = {"VARCHAR": "string", "BIGINT": "bigint", "BOOLEAN": "boolean"}
     assert {c[0]: types[str(c[1])] for c in want.description} == {
