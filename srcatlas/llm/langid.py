@@ -11,7 +11,7 @@ every row is predicted from its whole text.
 
 Defined cases: a text that is null or has no letters gets ``und`` with score 0 and is rejected; rows whose language or
 text is null or that have no letters are not learned from; with one language learned, every text with letters gets it; with
-none, every text gets ``und``; every input row gives one output row.
+none, every text gets ``und``, but only texts without letters are rejected; every input row gives one output row.
 """
 
 from __future__ import annotations
@@ -104,6 +104,22 @@ class Model:
         weight = np.exp(loss.min(axis=1, keepdims=True) - loss)
         return loss.argmin(axis=1), weight.max(axis=1) / weight.sum(axis=1)
 
+    def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, whether it is ambiguous, and whether the text is rejected, of each text."""
+        names: list[str] = []
+        scores, rejected = [np.zeros(0)], [np.zeros(0, bool)]
+        for _, part in groups(texts):
+            x = vectors(part)
+            some = x.any(axis=1)
+            rejected.append(~some)
+            if not self.languages:
+                some[:] = False
+            number, score = self.predict(x) if self.languages else (np.zeros(len(x), int), np.zeros(len(x)))
+            names += [self.languages[n] if s else UNKNOWN for n, s in zip(number.tolist(), some.tolist(), strict=True)]
+            scores.append(np.where(some, score, 0.0).astype(np.float64))
+        score = np.concatenate(scores)
+        return names, score, score < SURE, np.concatenate(rejected)
+
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit the classifiers on the rows for which ``learn`` holds."""
@@ -143,26 +159,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     )
 
     def run(batches: Batches) -> Batches:
-        own = sent.value
         for batch in batches:
-            names, scores = [], []
-            for _, part in groups(batch.column(1).to_pylist()):
-                x = vectors(part)
-                some = x.any(axis=1) & bool(own.languages)
-                number, score = own.predict(x) if own.languages else (np.zeros(len(x), int), np.zeros(len(x)))
-                names += [own.languages[n] if s else UNKNOWN for n, s in zip(number.tolist(), some.tolist(), strict=True)]
-                scores += np.where(some, score, 0.0).tolist()
-            score = np.array(scores, np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(names, pa.string()),
-                    pa.array(score),
-                    pa.array(score < SURE),
-                    pa.array([n == UNKNOWN for n in names], pa.bool_()),
-                ],
-                names=schema.names,
-            )
+            names, scores, ambiguous, rejected = sent.value.label(batch.column(1).to_pylist())
+            columns = [pa.array(names, pa.string()), pa.array(scores), pa.array(ambiguous), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
     return map_batches(two_columns(docs, id_col, text_col), run, schema)
 
@@ -174,8 +174,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            keep = [np.zeros(0, bool)]
-            keep += [vectors(part).any(axis=1) & bool(sent.value.languages) for _, part in groups(batch.column(place).to_pylist())]
-            yield batch.filter(pa.array(np.concatenate(keep)))
+            rejected = sent.value.label(batch.column(place).to_pylist())[3]
+            yield batch.filter(pa.array(~rejected))
 
     return map_batches(docs, run, docs.schema)
