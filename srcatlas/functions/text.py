@@ -19,9 +19,9 @@ WHITE_SPACE = "".join(
 WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 HWS = WS.replace(r"\n", "")
 
-# Extraction reads up to 1 MB, line counting up to 5 MB.
-DEFAULT_MAX_FILE_SIZE = 1_000_000
-MAX_FILE_SIZE_FOR_LINES = 5_000_000
+# Sizes that callers may name as a limit; none applies by itself.
+USUAL_EXTRACTION_LIMIT = 1_000_000
+USUAL_LINE_LIMIT = 5_000_000
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -62,18 +62,20 @@ def first_line(col: Column) -> Column:
     return F.rtrim(F.substring_index(col, "\n", 1), F.lit("\r"))
 
 
-def count_lines(content: Column, size: Column | None = None) -> Column:
-    """Newline bytes, plus one for an unterminated last line; NULL above the cap.
+def count_lines(content: Column, size: Column | None = None, max_size: int | None = None) -> Column:
+    """Newline bytes, plus one for an unterminated last line; NULL above ``max_size``, if one is given.
 
     Works on bytes, so files that are not text count as well.
     """
-    size = F.octet_length(content) if size is None else size
     text = content.cast("string")
     newlines = F.octet_length(content) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     open_end = F.when(
         (F.octet_length(content) > 0) & ~F.endswith(text, F.lit("\n")), F.lit(1)
     ).otherwise(F.lit(0))
-    return F.when(size <= MAX_FILE_SIZE_FOR_LINES, (newlines + open_end).cast("bigint"))
+    counted = (newlines + open_end).cast("bigint")
+    if max_size is None:
+        return counted
+    return F.when((F.octet_length(content) if size is None else size) <= max_size, counted)
 
 
 def decoded(content: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from srcatlas.functions import names, text
 
 
-def within_size_cap(size: Column, cap: int = text.DEFAULT_MAX_FILE_SIZE) -> Column:
+def within_size_cap(size: Column, cap: int) -> Column:
     return size <= cap
 
 
@@ -16,15 +16,12 @@ def has_known_extension(canon_ext: Column) -> Column:
     return canon_ext.isNotNull()
 
 
-def is_valid_text(content: Column) -> Column:
-    return text.decoded(content).isNotNull()
+def with_text(files: DataFrame, max_file_size: int | None = None) -> DataFrame:
+    """Files that can be extracted from: known extension, valid UTF-8.
 
-
-def with_text(files: DataFrame, max_file_size: int = text.DEFAULT_MAX_FILE_SIZE) -> DataFrame:
-    """Files that can be extracted from: small enough, known extension, valid UTF-8.
-
-    Gives (repo, path, canon_ext, text). The size and name gates stand below
-    the content read, so a columnar scan prunes on them first.
+    Gives (repo, path, canon_ext, text). Files of any size pass unless
+    ``max_file_size`` names a limit. The size and name gates stand below the
+    content read, so a columnar scan prunes on them first.
     """
     canon = names.canonical_ext(names.file_ext(F.col("path")))
     gated = files
@@ -32,9 +29,10 @@ def with_text(files: DataFrame, max_file_size: int = text.DEFAULT_MAX_FILE_SIZE)
         gated = gated.where(~F.coalesce(F.col("is_dir"), F.lit(False)))
     if "is_symlink" in files.columns:
         gated = gated.where(~F.coalesce(F.col("is_symlink"), F.lit(False)))
+    if max_file_size is not None:
+        gated = gated.where(within_size_cap(F.col("size_bytes"), max_file_size))
     return (
-        gated.where(within_size_cap(F.col("size_bytes"), max_file_size))
-        .select("repo", "path", "content", canon.alias("canon_ext"))
+        gated.select("repo", "path", "content", canon.alias("canon_ext"))
         .where(has_known_extension(F.col("canon_ext")))
         .select(
             "repo",
@@ -45,7 +43,7 @@ def with_text(files: DataFrame, max_file_size: int = text.DEFAULT_MAX_FILE_SIZE)
     )
 
 
-def source_lines(files: DataFrame, **gates: int) -> DataFrame:
+def source_lines(files: DataFrame, **gates: int | None) -> DataFrame:
     """(repo, path, canon_ext, line, content): one row per line, numbered from 1."""
     return (
         with_text(files, **gates)

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions import names
 from srcatlas.functions.globs import ignore_regex
-from srcatlas.functions.text import decoded, lines
+from srcatlas.functions.text import bind, decoded, lines
 from srcatlas.operators.skew import spread_join
 from srcatlas.operators.stats import directories
-from srcatlas.session import materialize
 
 IGNORE_FILES = (".gitignore",)
 
@@ -83,77 +82,98 @@ def all_entries(files: DataFrame) -> DataFrame:
     )
 
 
-def _rule_matches(rule: Column, rel: Column, name: Column, is_dir: Column) -> Column:
+def _rule_matches(rule: Column, rel: Column, name: Column, is_dir: Column, gate: Column) -> Column:
     by_text = (
         F.when(rule["kind"] == "name", name == rule["literal"])
         .when(rule["kind"] == "suffix", F.endswith(name, rule["literal"]))
-        .otherwise(F.regexp_like(rel, rule["regex"]))
+        .otherwise(gate & F.regexp_like(rel, rule["regex"]))
     )
     return (~rule["dir_only"] | is_dir) & by_text
 
 
-def ignored_entries(
-    entries: DataFrame, rules: DataFrame, key_bound: int | None = None
-) -> DataFrame:
-    """(repo, path, is_dir) of entries whose own verdict is "ignored".
+def effective_rules(dirs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo, parent, groups): for each directory the rules that judge its entries.
 
-    Entries meet the rules of their ancestor directories by an equi-join on
-    (repo, base_dir); a directory's rules come as one array, as long as its
-    ignore file. Only entries hit by some rule are shuffled again.
+    One group for every directory at or above that has rules, with a gate that
+    holds if any of its "path" rules does. Directories without rules are left
+    out. Only directories are spelled out into their ancestors, never files.
     """
     fields = ["source", "line", "negated", "dir_only", "kind", "literal", "regex"]
-    per_dir = rules.groupBy("repo", "base_dir").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("rules")
-    )
-    spelled = entries.select(
-        "repo", "path", "is_dir", F.explode(names.ancestors(F.col("path"))).alias("base_dir")
+    paths = F.array_compact(F.collect_list(F.when(F.col("kind") == "path", F.col("regex"))))
+    group = F.struct(
+        F.col("base_dir").alias("base"),
+        F.when(F.size("paths") > 0, F.array_join("paths", "|")).alias("gate"),
+        F.col("rules"),
     )
-    met = spread_join(spelled, per_dir, ["repo", "base_dir"], ["path"], "inner", key_bound)
-    base = F.col("base_dir")
-    rel = F.when(base == "", F.col("path")).otherwise(F.expr("substring(path, length(base_dir) + 2)"))
-    name, is_dir = names.base_name(F.col("path")), F.col("is_dir")
-    hits = F.filter(F.col("rules"), lambda r: _rule_matches(r, rel, name, is_dir))
-    judged = (
-        met.select("repo", "path", "is_dir", names.path_depth(base).alias("base_depth"), hits.alias("hits"))
-        .where(F.size("hits") > 0)
-        .withColumn("hit", F.element_at("hits", -1))
-        .groupBy("repo", "path", "is_dir")
-        .agg(
-            F.max_by(
-                F.col("hit.negated"), F.struct("hit.source", "base_depth", "hit.line")
-            ).alias("negated")
-        )
+    per_dir = (
+        rules.groupBy("repo", "base_dir")
+        .agg(F.collect_list(F.struct(*fields)).alias("rules"), paths.alias("paths"))
+        .select("repo", "base_dir", group.alias("group"))
     )
-    return judged.where(~F.col("negated")).drop("negated")
+    path = F.col("path")
+    spelled = dirs.select("repo", path.alias("parent"), F.explode(F.concat(names.ancestors(path), F.array(path))).alias("base_dir"))
+    met = spelled.join(per_dir, ["repo", "base_dir"])
+    return met.groupBy("repo", "parent").agg(F.collect_list("group").alias("groups"))
 
 
-def included_entries(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo, path, is_dir) of the entries that no rule leaves out.
+def _is_ignored(path: Column, is_dir: Column, groups: Column) -> Column:
+    """Whether the last rule that hits an entry leaves it out; deeper directories come later."""
+    name = names.base_name(path)
+
+    def hits(group: Column) -> Column:
+        base = group["base"]
+        rel = F.when(base == "", path).otherwise(F.substring(path, F.length(base) + 2, F.length(path)))
+        depth = names.path_depth(base)
+
+        def found(gate: Column) -> Column:
+            own = F.filter(group["rules"], lambda r: _rule_matches(r, rel, name, is_dir, gate))
+            return F.transform(own, lambda r: F.struct(r["source"].alias("s"), depth.alias("d"), r["line"].alias("l"), r["negated"].alias("n")))
+
+        return bind(F.coalesce(F.regexp_like(rel, group["gate"]), F.lit(False)), found)
+
+    last = F.array_max(F.flatten(F.transform(groups, hits)))
+    return F.coalesce(~last["n"], F.lit(False))
+
+
+def ignored_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo, path, is_dir) of entries whose own verdict is "ignored".
 
-    The entries (names only) and the ignored ones are written once, since both
-    are used several times; no key below can have more rows than there are
-    entries.
+    An entry meets all its rules in one equi-join, on its parent directory.
     """
-    entries = materialize(all_entries(files), "entries")
-    bound = entries.count()
-    ignored = materialize(ignored_entries(entries, rules, bound), "ignored")
-    hit_dirs = ignored.where("is_dir").select("repo", F.col("path").alias("up"))
     path = F.col("path")
-    chains = entries.where("is_dir").select(
-        "repo", "path", F.explode(F.concat(names.ancestors(path, False), F.array(path))).alias("up")
-    )
-    lost_dirs = (
-        spread_join(chains, hit_dirs, ["repo", "up"], ["path"], "inner", bound)
-        .select("repo", F.col("path").alias("parent"))
-        .distinct()
-        .withColumn("lost", F.lit(True))
-    )
-    placed = entries.withColumn("parent", names.parent_path(path))
-    return (
-        spread_join(placed, lost_dirs, ["repo", "parent"], ["path"], "left", bound)
-        .where(F.col("lost").isNull())
-        .select("repo", "path", "is_dir")
-        .join(ignored, ["repo", "path", "is_dir"], "left_anti")
+    dirs = entries.select("repo", names.parent_path(path).alias("path")).distinct()
+    placed = entries.where(path != "").withColumn("parent", names.parent_path(path))
+    met = spread_join(placed, effective_rules(dirs, rules), ["repo", "parent"], ["path"], "inner")
+    return met.where(_is_ignored(path, F.col("is_dir"), F.col("groups"))).select("repo", "path", "is_dir")
+
+
+def included(files: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of files, directories (repo, path)) that no rule leaves out.
+
+    Verdicts are handed down among directories first; a file then needs one join, on its parent, for
+    its rules and for whether that directory is lost.
+    """
+    path = F.col("path")
+    dirs = directories(files)
+    every = dirs.unionByName(files.select("repo").distinct().select("repo", F.lit("").alias("path")))
+    ruled = effective_rules(every, rules)
+    # Directories below directories: far fewer than files, and skewed joins of them are split at run time.
+    judged = dirs.withColumn("parent", names.parent_path(path)).join(ruled, ["repo", "parent"])
+    ignored = judged.where(_is_ignored(path, F.lit(True), F.col("groups"))).select("repo", path.alias("up"))
+    chains = dirs.select("repo", "path", F.explode(F.concat(names.ancestors(path, False), F.array(path))).alias("up"))
+    lost = chains.join(ignored, ["repo", "up"]).select("repo", path.alias("parent")).distinct()
+    state = ruled.join(lost.withColumn("lost", F.lit(True)), ["repo", "parent"], "full")
+    plain = files.where(~F.coalesce(F.col("is_dir"), F.lit(False))).withColumn("parent", names.parent_path(path))
+    met = spread_join(plain, state, ["repo", "parent"], ["path"], "left")
+    kept = met.where(F.col("lost").isNull() & ~_is_ignored(path, F.lit(False), F.col("groups")))
+    return kept.select(files.columns), dirs.join(lost.withColumnRenamed("parent", "path"), ["repo", "path"], "left_anti")
+
+
+def included_entries(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo, path, is_dir) of the entries that no rule leaves out."""
+    plain, dirs = included(files, rules)
+    return plain.select("repo", "path", F.lit(False).alias("is_dir")).unionByName(
+        dirs.select("repo", "path", F.lit(True).alias("is_dir"))
     )
 
 
@@ -165,10 +185,9 @@ def with_ancestor_dirs(paths: DataFrame) -> DataFrame:
     return parents.unionByName(up).distinct()
 
 
-def included_dirs(included: DataFrame) -> DataFrame:
-    """Directories that pass the rules, and those above files that pass."""
-    own = included.where("is_dir").select("repo", "path")
-    return own.unionByName(with_ancestor_dirs(included.where(~F.col("is_dir")))).distinct()
+def included_dirs(plain: DataFrame, dirs: DataFrame) -> DataFrame:
+    """Directories that pass the rules, and those above files that pass (as ``included`` gives both)."""
+    return dirs.select("repo", "path").unionByName(with_ancestor_dirs(plain)).distinct()
 
 
 def tracked_paths(index: DataFrame, status: DataFrame) -> DataFrame:

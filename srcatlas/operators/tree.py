@@ -53,14 +53,10 @@ def list_nodes(
     plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False))).select(*plain_columns)
     dirs = directories(base)
     if not show_all and rules is not None:
-        # Names, sizes and times only; used for the entries and for the files.
-        base = materialize(base.select(*plain_columns), "base")
-        plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False)))
-        included = materialize(ignore.included_entries(base, rules), "included")
-        passed = included.where(~F.col("is_dir")).select("repo", "path")
-        plain = plain.join(passed, ["repo", "path"], "left_semi")
+        # Names, sizes and times only.
+        plain, kept_dirs = ignore.included(base.select(*plain_columns), rules)
         if not dirs_only or rules_hide_dirs:
-            dirs = ignore.included_dirs(included).where(path != "")
+            dirs = ignore.included_dirs(plain, kept_dirs).where(path != "")
     elif not show_all and tracked is not None:
         plain = ignore.tracked_files(plain, tracked)
         if not dirs_only or rules_hide_dirs:

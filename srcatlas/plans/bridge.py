@@ -1,7 +1,8 @@
 """Source files derived from the ``documents`` table.
 
-Every document becomes one file: its sentences, all of them, turn into lines of
-code, comments, imports and task markers by the line patterns of a language.
+Every document becomes one file: its sentences, all of them and whole, turn into
+lines of code, comments, imports and task markers by the line patterns of a language;
+where a pattern has room for one word only, the sentence follows as a comment.
 The patterns are data, so that the same files can be spelled out for Spark
 (here) and in SQL (``oracle.py``).
 """
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 
 from srcatlas.schema import FILES
 from srcatlas.session import write_shared
-from srcatlas.sources.tables import spread_small_input
 
 # In a pattern: $x sentence, $w its first word, $i its number, $s the first
 # sentence, $l language, $o source, $d document number.
 FIELD = re.compile(r"\$([xwisold])")
 
+# How a language notes a sentence that its line pattern has no place for.
+NOTES = {"rs": "// $x", "py": "# $x", "ts": "// $x", "js": "// $x", "go": "// $x", "slash": "// $x", "hash": "# $x", "plain": "$x"}
+
 LINE_PATTERNS: dict[str, list[str]] = {
     "rs": [
         "// $x", "pub fn $w_$i(a: u32) -> $w {", "use $w::$x;", "    // TODO: $x", "pub struct $w<T> {",
@@ -64,6 +67,13 @@ LINE_PATTERNS: dict[str, list[str]] = {
     "plain": ["$x", "TODO: $x", "// TODO: $x", "# $w"],
 }
 
+
+
+def whole(family: str) -> list[str]:
+    """The patterns of a language; one without the sentence is followed by a line with it."""
+    return [p if "$x" in p else f"{p}\n{NOTES[family]}" for p in LINE_PATTERNS[family]]
+
+
 # Extension, its line patterns, and the variants of its header.
 KINDS: list[tuple[str, str, list[list[str]]]] = [
     (".rs", "rs", [
@@ -135,7 +145,7 @@ def _content(kind: tuple[str, str, list[list[str]]]) -> Column:
     }
     variants = [F.array(*[_fill(p, fields) for p in lines]) for lines in headers]
     variant = (F.floor(F.col("doc_id") / 20) % len(headers)).cast("int")
-    patterns = LINE_PATTERNS[family]
+    patterns = whole(family)
 
     def line(x: Column, i: Column) -> Column:
         own = {**fields, "x": x, "w": F.substring_index(x, " ", 1), "i": i.cast("string")}
@@ -145,7 +155,9 @@ def _content(kind: tuple[str, str, list[list[str]]]) -> Column:
 
 
 def _files(spark: SparkSession, sf_dir: str, kind_of: Column, kinds: list[int]) -> DataFrame:
-    docs = spread_small_input(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    # Dealt over all tasks, as the given table may be a single file with a single row group.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(tasks, "doc_id")
     return files_of(docs, kind_of, kinds)
 
 
@@ -263,19 +275,21 @@ def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files: the host is the repository, the rest of the address the path."""
-    pages = spread_small_input(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
+    """Pages as files: the host is the repository, the rest of the address the path.
+
+    A page at the root of its host is called ``index``.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     bare = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
     host = F.substring_index("bare", "/", 1)
     rest = F.regexp_replace(F.regexp_replace("bare", r"^[^/]*/?", ""), r"/+$", "")
     content = F.encode("html", "UTF-8")
-    return (
-        pages.select(bare.alias("bare"), content.alias("content"))
-        .select(host.alias("repo"), rest.alias("path"), "content")
-        .where(F.col("path") != "")
-        .select(
-            "repo", "path", F.octet_length("content").cast("bigint").alias("size_bytes"),
-            F.lit(None).cast("timestamp").alias("mtime"), F.lit(False).alias("is_symlink"),
-            F.lit(False).alias("is_dir"), "content",
-        )
+    return pages.select(bare.alias("bare"), content.alias("content")).select(
+        host.alias("repo"),
+        F.when(rest == "", F.lit("index")).otherwise(rest).alias("path"),
+        F.octet_length("content").cast("bigint").alias("size_bytes"),
+        F.lit(None).cast("timestamp").alias("mtime"),
+        F.lit(False).alias("is_symlink"),
+        F.lit(False).alias("is_dir"),
+        "content",
     )

@@ -16,8 +16,8 @@ from srcatlas.plans.oracle_base import CODE_FILES, DEPTH, EXT, LISTABLE, NAME, P
 W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
 LANGUAGE = o.lookup_sql("ext", LANGUAGES, "'Other'")
 LINES = (
-    "CASE WHEN size_bytes <= 5000000 THEN CAST(length(content) - length(replace(content, chr(10), ''))"
-    " + CASE WHEN content <> '' AND NOT ends_with(content, chr(10)) THEN 1 ELSE 0 END AS BIGINT) END"
+    "CAST(length(content) - length(replace(content, chr(10), ''))"
+    " + CASE WHEN content <> '' AND NOT ends_with(content, chr(10)) THEN 1 ELSE 0 END AS BIGINT)"
 )
 
 SQL: dict[str, str] = {}
@@ -94,11 +94,11 @@ SQL["directory_rollup_lines"] = (
 )
 URL_FILES = """
 bare AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS u, html FROM pages),
-url_files AS (
-  SELECT * FROM (
-    SELECT string_split(u, '/')[1] AS repo,
-           regexp_replace(CASE WHEN contains(u, '/') THEN regexp_replace(u, '^[^/]*/', '') ELSE '' END, '/+$', '') AS path,
-           CAST(strlen(html) AS BIGINT) AS size_bytes FROM bare) WHERE path <> '')"""
+url_rest AS (
+  SELECT string_split(u, '/')[1] AS repo,
+         regexp_replace(CASE WHEN contains(u, '/') THEN regexp_replace(u, '^[^/]*/', '') ELSE '' END, '/+$', '') AS rest,
+         CAST(strlen(html) AS BIGINT) AS size_bytes FROM bare),
+url_files AS (SELECT repo, CASE WHEN rest = '' THEN 'index' ELSE rest END AS path, size_bytes FROM url_rest)"""
 SQL["url_tree_rollup"] = with_(URL_FILES) + "," + rollup_sql("url_files", False)
 
 LANGUAGE_ROW = (

@@ -25,7 +25,7 @@ def _content(kind: tuple[str, str, list[list[str]]]) -> str:
     _, family, headers = kind
     fields = {"s": "coalesce(sentences[1], '')", "l": "lang", "o": "source", "d": "CAST(doc_id AS VARCHAR)"}
     variants = ["[" + ", ".join(_fill(p, fields) for p in lines) + "]" for lines in headers]
-    patterns = b.LINE_PATTERNS[family]
+    patterns = b.whole(family)
     own = {**fields, "x": "x", "w": "string_split(x, ' ')[1]", "i": "CAST(i - 1 AS VARCHAR)"}
     line = _choose(f"(i - 1) % {len(patterns)}", [_fill(p, own) for p in patterns])
     head = _choose(f"(doc_id // 20) % {len(headers)}", variants)
@@ -90,10 +90,11 @@ def trimmed(value: str) -> str:
     return TRIMMED.format(value)
 
 
-def lines_sql(source: str = "code_files", cap: int = 1_000_000) -> str:
+def lines_sql(source: str = "code_files", cap: int | None = None) -> str:
     """CTEs ``f`` (repo, path, ext, content) and ``ls`` (…, line, raw, t): t is trimmed."""
+    small = f"WHERE size_bytes <= {cap}" if cap else ""
     return f"""
-f AS (SELECT * FROM (SELECT repo, path, {canon_sql()} AS ext, content FROM {source} WHERE size_bytes <= {cap})
+f AS (SELECT * FROM (SELECT repo, path, {canon_sql()} AS ext, content FROM {source} {small})
       WHERE ext IS NOT NULL),
 split_files AS (SELECT repo, path, ext, string_split(content, chr(10)) AS parts FROM f),
 raw_lines AS (

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.globs import name_matches
-from srcatlas.functions.text import MAX_FILE_SIZE_FOR_LINES
 from srcatlas.operators.filters import GIT_DIR
 from srcatlas.session import materialize
 
@@ -118,14 +117,15 @@ def read_contents(entries: DataFrame) -> DataFrame:
 def scan_dirs(
     roots: DataFrame,
     ignore_names: Sequence[str] = (),
-    max_file_size: int = MAX_FILE_SIZE_FOR_LINES,
+    max_file_size: int | None = None,
 ) -> DataFrame:
     """Scan directory trees into a ``files`` table.
 
-    Larger files are listed but not read; by default nothing uses the content
-    of a file above the line-counting limit.
+    Every file is read; where ``max_file_size`` is given, larger ones are listed with NULL content.
     """
     entries = list_entries(roots, ignore_names)
+    if max_file_size is None:
+        return read_contents(entries)
     large = entries.where(F.col("size_bytes") > max_file_size)
     return read_contents(entries.where(F.col("size_bytes") <= max_file_size)).unionByName(
         large.drop("root").withColumn("content", F.lit(None).cast("binary"))

@@ -47,21 +47,3 @@ def from_binary_files(found: DataFrame, root: str, repo: str) -> DataFrame:
         F.lit(False).alias("is_dir"),
         F.col("content"),
     )
-
-
-SMALL_INPUT_SETTING = "spark.sql.files.maxPartitionBytes"
-
-
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small input over all cores.
-
-    A small Parquet file is one row group and so one task, which would then do
-    all the extraction alone. Inputs that fill a split per core stay as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get(SMALL_INPUT_SETTING, "128m")
-    )
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < split * cores else df

@@ -73,7 +73,7 @@ def test_lines_and_counts(spark):
     assert over(spark, ["a\r\nb\n", "", "a\n\n", "a\r\rb"], text.lines) == [["a", "b"], [], ["a", ""], ["a\r\rb"]]
     blobs = [b"", b"\n", b"a", b"a\nb", b"\xff\n\xfe\n", b"x\r\n"]
     assert over(spark, blobs, text.count_lines, "binary") == [0, 1, 1, 2, 2, 1]
-    big = over(spark, [b"a\n"], lambda c: text.count_lines(c, F.lit(5_000_001)), "binary")
+    big = over(spark, [b"a\n"], lambda c: text.count_lines(c, F.lit(5_000_001), 5_000_000), "binary")
     assert big == [None]
     assert over(spark, ["  \tx", "x", "\t\tx", ""], text.indent_of) == [6, 0, 8, 0]
     assert over(spark, ["　 x  ", "​x"], text.trim) == ["x", "​x"]

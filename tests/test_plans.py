@@ -44,14 +44,17 @@ NARROW = {
 
 
 @pytest.mark.parametrize("name", NARROW)
-def test_extractors_are_narrow_and_native(spark, corpus, name):
+def test_extractors_are_narrow_and_native(corpus, name):
     text = plan(NARROW[name](corpus))
     assert "Exchange" not in text and "Python" not in text and "MapInPandas" not in text
-    pushed = formatted(spark, NARROW[name](corpus))
-    assert "LessThanOrEqual(size_bytes,1000000)" in pushed
     assert text.count("FileScan") == 1
 
 
+def test_a_named_size_limit_is_pushed_down(spark, corpus):
+    assert "LessThanOrEqual(size_bytes,1000000)" in formatted(spark, extract_todos(corpus, max_file_size=1_000_000))
+    assert "size_bytes," not in formatted(spark, extract_todos(corpus)).split("PushedFilters")[1].split("\n")[0]
+
+
 @pytest.mark.parametrize("name", NARROW)
 def test_text_is_decoded_once(corpus, name):
     assert plan(NARROW[name](corpus)).count("tryValidateUTF8String") == 1
