@@ -61,10 +61,6 @@ def todo_label(marker: Column, text: Column, line: Column) -> Column:
     return F.concat(marker, F.lit(": "), text, F.lit(" (line "), line.cast("string"), F.lit(")"))
 
 
-def metadata_prefix(line: Column, prefix: str | None) -> Column:
-    return F.concat(F.lit(prefix or ""), line)
-
-
 def symbol_span(signature: Column, symbol: Column) -> Column:
     """1-based start of the symbol inside its signature, 0 when absent."""
     return F.when(symbol.isNotNull(), F.instr(signature, symbol)).otherwise(F.lit(0))

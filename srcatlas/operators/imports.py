@@ -271,10 +271,6 @@ def imports_total(imports: Column) -> Column:
     return sum((F.size(imports[c]) for c in CATEGORIES[1:]), F.size(imports[CATEGORIES[0]]))
 
 
-def imports_is_empty(imports: Column) -> Column:
-    return imports_total(imports) == 0
-
-
 def file_imports(files: DataFrame, **gates: int) -> DataFrame:
     """(repo, path, imports): the wide form, built inside each file's row."""
     items = import_items(F.col("text"), F.col("lines"), F.col("canon_ext"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcatlas.functions import names
@@ -37,24 +37,36 @@ def extension_counts(files: DataFrame, with_lines: bool = True) -> DataFrame:
     )
 
 
-def language_stats(files: DataFrame, with_lines: bool = True) -> DataFrame:
-    """(repo, language, files, lines, extensions) from the counts per extension.
+def language_extensions(files: DataFrame, with_lines: bool = True) -> DataFrame:
+    """(repo, language, ext, files, lines): one row per extension, however many a language has.
 
-    The language lookup runs after the first aggregation, on few rows, and its
-    table has a fixed size. Only distinct extensions reach the list.
+    The language lookup runs after the aggregation, on few rows, and its table has a fixed size.
     """
     by_ext = extension_counts(files, with_lines)
     table = F.broadcast(names.language_table(files.sparkSession))
     named = by_ext.join(table, "ext", "left").withColumn(
         "language", F.coalesce("language", F.lit(names.UNKNOWN_LANGUAGE))
     )
-    lines = F.sum("lines") if with_lines else F.lit(None).cast("bigint")
+    lines = F.col("lines") if with_lines else F.lit(None).cast("bigint")
+    return named.select("repo", "language", "ext", "files", lines.alias("lines"))
+
+
+def language_stats(files: DataFrame, with_lines: bool = True) -> DataFrame:
+    """(repo, language, files, lines)."""
+    return _by_language(language_extensions(files, with_lines))
+
+
+def _by_language(extensions: DataFrame, *more: Column) -> DataFrame:
+    return extensions.groupBy("repo", "language").agg(F.sum("files").alias("files"), F.sum("lines").alias("lines"), *more)
+
+
+def listed_language_stats(extensions: DataFrame) -> DataFrame:
+    """(repo, language, files, lines, extensions) with a language's extensions as one list, as a printed report has it.
+
+    For output only: "Other" holds every odd ending of a repository.
+    """
     dotted = F.when(F.col("ext") != "", F.concat(F.lit("."), F.col("ext")))
-    return named.groupBy("repo", "language").agg(
-        F.sum("files").alias("files"),
-        lines.alias("lines"),
-        F.array_sort(F.collect_set(dotted)).alias("extensions"),
-    )
+    return _by_language(extensions, F.array_sort(F.collect_set(dotted)).alias("extensions"))
 
 
 def directories(files: DataFrame, with_root: bool = False) -> DataFrame:

@@ -10,8 +10,6 @@ from srcatlas.operators.corpus import with_text
 
 # The markers, comment openings and phrases of documentation text.
 MARKERS = ["TODO", "FIXME", "HACK", "XXX", "BUG", "NOTE"]
-LINE_START_MARKS = ["//", "#", "*", "/*", "--", ";", "(*", "'''", '"""']
-INLINE_MARKS = ["//", "/*", "#"]
 DOCUMENTATION_PHRASES = [
     "Tasks to be done",
     "Code that needs fixing",
@@ -30,16 +28,6 @@ TODO_REGEX = (
 )
 
 
-def looks_like_comment(line: Column) -> Column:
-    """Whether a trimmed line opens or contains a comment."""
-    hit = F.lit(False)
-    for mark in LINE_START_MARKS:
-        hit = hit | F.startswith(line, F.lit(mark))
-    for mark in INLINE_MARKS:
-        hit = hit | F.contains(line, F.lit(mark))
-    return hit
-
-
 def is_documentation_example(text: Column) -> Column:
     """Text that describes markers rather than naming a task."""
     hit = F.startswith(text, F.lit("`")) | F.contains(F.lower(text), F.lit("marker"))

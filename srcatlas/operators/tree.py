@@ -138,10 +138,6 @@ def drawn_nodes(nodes: DataFrame) -> DataFrame:
     return with_branch_prefix(flagged, flagged.count())
 
 
-def in_preorder(nodes: DataFrame) -> DataFrame:
-    return nodes.orderBy("repo", names.sort_key(F.col("path")))
-
-
 def with_branch_prefix(flagged: DataFrame, key_bound: int | None = None) -> DataFrame:
     """Add the ``prefix`` and ``connector`` of each row of the drawn tree.
 

@@ -21,7 +21,7 @@ from srcatlas.plans import bridge
 from srcatlas.plans.bridge import code_files, language_files, repository_files, url_files
 from srcatlas.session import shared_folder
 from srcatlas.sinks import writers
-from srcatlas.sources import tables
+from srcatlas.sources import dirscan, tables
 from srcatlas.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,13 +55,18 @@ def joined(items: Column, sep: str = "|") -> Column:
 
 @query
 def language_stats(spark, sf_dir):
-    found = stats.language_stats(code_files(spark, sf_dir))
+    found = stats.listed_language_stats(stats.language_extensions(code_files(spark, sf_dir)))
     return found.withColumn("extensions", joined(F.col("extensions")))
 
 
+@query
+def language_extensions(spark, sf_dir):
+    return stats.language_extensions(code_files(spark, sf_dir))
+
+
 @query
 def language_stats_no_lines(spark, sf_dir):
-    found = stats.language_stats(repository_files(spark, sf_dir), with_lines=False)
+    found = stats.listed_language_stats(stats.language_extensions(repository_files(spark, sf_dir), with_lines=False))
     return found.drop("lines").withColumn("extensions", joined(F.col("extensions")))
 
 
@@ -129,7 +134,7 @@ def stats_report(spark, sf_dir):
 @query
 def stats_json(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    return reports.stats_json(stats.language_stats(files), stats.codebase_totals(files))
+    return reports.stats_json(stats.listed_language_stats(stats.language_extensions(files)), stats.codebase_totals(files))
 
 
 # --- columns of paths, sizes and lines --------------------------------------
@@ -237,8 +242,8 @@ def included_dirs_only(spark, sf_dir):
     return _listing(tree.list_nodes(files, rules=rules, dirs_only=True, rules_hide_dirs=True))
 
 
-def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index: documents with a label; status: the others, by their quality mark."""
+def _index_and_status(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Index: documents with a label; status: all labelled ones, by their marks."""
     files = repository_files(spark, sf_dir).withColumn(
         "doc_id", F.regexp_extract("path", r"doc_(\d+)", 1).try_cast("bigint")
     )
@@ -248,7 +253,11 @@ def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = marked.select(
         "repo", "path", (F.col("toxic") == 1).alias("is_new"), (F.col("doc_id") % 2 == 0).alias("is_ignored")
     )
-    return ignore.tracked_paths(index, status)
+    return index, status
+
+
+def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ignore.tracked_paths(*_index_and_status(spark, sf_dir))
 
 
 @query
@@ -518,8 +527,13 @@ def corpus_round_trip(spark, sf_dir):
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    """The documents as files that arrive in two batches, each with a file for every core."""
+    cores = spark.sparkContext.defaultParallelism
+    source = _scratch(spark, "arriving")
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given.repartition(2 * cores, "doc_id").write.parquet(source)
+    written = spark.read.parquet(source).inputFiles()
+    docs = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", -(-len(written) // 2)).parquet(source)
     return bridge.files_of(docs, bridge.kind_column(), list(range(len(bridge.KINDS))))
 
 
@@ -537,8 +551,132 @@ for _kind in jobs.EXTRACTORS:
     query(_stream_extraction(_kind))
 
 
-@query
-def stream_extension_counts(spark, sf_dir):
+def _stream_counts(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     target = _scratch(spark, "stream-counts")
-    jobs.start_language_counts(_document_stream(spark, sf_dir), target, target + "-progress").awaitTermination()
+    jobs.start_counts(_document_stream(spark, sf_dir), target, target + "-progress", by).awaitTermination()
     return jobs.latest_counts(spark.read.parquet(target))
+
+
+@query
+def stream_extension_counts(spark, sf_dir):
+    return _stream_counts(spark, sf_dir, "ext")
+
+
+@query
+def stream_language_counts(spark, sf_dir):
+    return _stream_counts(spark, sf_dir, "language")
+
+
+def _written_files(spark: SparkSession, sf_dir: str) -> str:
+    """The derived files as real files, one folder for each repository."""
+    root = _scratch(spark, "tree")
+    writers.write_files(code_files(spark, sf_dir), root)
+    return root
+
+
+@query
+def scanned_entries(spark, sf_dir):
+    """Every file and directory of the written trees, as a directory scan finds them."""
+    root = _written_files(spark, sf_dir)
+    roots = code_files(spark, sf_dir).select("repo").distinct()
+    found = dirscan.scan_dirs(roots.withColumn("root", F.concat(F.lit(root + "/"), "repo")))
+    return found.select("repo", "path", "size_bytes", "is_dir", F.sha2("content", 256).alias("digest"))
+
+
+@query
+def stream_scanned_files(spark, sf_dir):
+    """Task markers of the written trees, read as files that arrive in a folder."""
+    root = _written_files(spark, sf_dir)
+    target = _scratch(spark, "stream-files")
+    arriving = jobs.stream_corpus(spark, root, "all")
+    jobs.start_extraction(arriving, "todos", target, target + "-progress").awaitTermination()
+    return spark.read.parquet(target)
+
+
+# --- odd bytes, unknown times, empty directories, written tables, choices --------------
+
+
+def _number() -> Column:
+    return F.regexp_extract("path", r"doc_(\d+)", 1).try_cast("bigint")
+
+
+def _odd_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code files, every ninth one with a last byte that is not UTF-8."""
+    broken = F.concat("content", F.unhex(F.lit("FF")))
+    return code_files(spark, sf_dir).withColumn("content", F.when(_number() % 9 == 4, broken).otherwise(F.col("content")))
+
+
+@query
+def valid_text_only(spark, sf_dir):
+    return with_text(_odd_bytes(spark, sf_dir)).select("repo", "path", "canon_ext", F.octet_length("text").alias("bytes"))
+
+
+@query
+def line_counts_any_bytes(spark, sf_dir):
+    return _odd_bytes(spark, sf_dir).select("repo", "path", tx.count_lines(F.col("content")).alias("lines"))
+
+
+@query
+def newer_unknown_times(spark, sf_dir):
+    unknown = F.coalesce(_number() % 6 == 2, F.lit(False))
+    files = repository_files(spark, sf_dir).withColumn("mtime", F.when(~unknown, F.col("mtime")))
+    return _listing(tree.list_nodes(files, newer=NEWER, older=OLDER))
+
+
+@query
+def empty_directories(spark, sf_dir):
+    """Directories without files: listed unless a rule leaves them or one above out."""
+    files = repository_files(spark, sf_dir)
+    named = F.explode(F.array(*[F.lit(p) for p in ("void", "void/deep", "void/m2", "void/m2/x", ".git/void")]))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    empty = docs.select(F.col("source").alias("repo")).distinct().select(
+        "repo", named.alias("path"), F.lit(0).cast("bigint").alias("size_bytes"), F.lit(None).cast("timestamp").alias("mtime"),
+        F.lit(False).alias("is_symlink"), F.lit(True).alias("is_dir"), F.lit(None).cast("binary").alias("content"),
+    )
+    nodes = tree.list_nodes(files.unionByName(empty), rules=ignore.read_ignore_rules(files))
+    return _listing(nodes.where("path LIKE '%void%'"))
+
+
+@query
+def filters_combined(spark, sf_dir):
+    files = repository_files(spark, sf_dir)
+    rules = ignore.read_ignore_rules(files)
+    return _listing(tree.list_nodes(files, rules=rules, newer=NEWER, older=OLDER, max_depth=3))
+
+
+@query
+def tracked_from_tables(spark, sf_dir):
+    """Tracked paths from a written index and a written status table."""
+    index, status = _index_and_status(spark, sf_dir)
+    at = _scratch(spark, "index")
+    writers.write_table(index, at + "-index")
+    writers.write_table(status, at + "-status")
+    return ignore.tracked_paths(tables.read_tracked(spark, at + "-index"), tables.read_status(spark, at + "-status"))
+
+
+def _long_lines(text: Column, lines: Column, canon_ext: Column) -> Column:
+    return F.transform(
+        F.filter(lines, lambda s: F.length(tx.trim(s)) > 60),
+        lambda s: F.struct(
+            F.left(tx.trim(s), F.lit(20)).alias("content"), F.lit("long").alias("style"),
+            F.lit(None).cast("string").alias("symbol"), F.lit(0).alias("indent"),
+        ),
+    )
+
+
+@query
+def own_extractor(spark, sf_dir):
+    md.register_extractor("long_lines", _long_lines)
+    return md.extract_with(code_files(spark, sf_dir), "long_lines")
+
+
+def _chosen(sections: md.Sections) -> Query:
+    return lambda spark, sf_dir: md.metadata_lines(code_files(spark, sf_dir), sections)
+
+
+for _name, _wishes in {
+    "types": {"types": True}, "todos": {"todos": True}, "imports": {"imports": True, "no_comments": True}, "default": {},
+}.items():
+    _fn = _chosen(md.select_sections(**_wishes))
+    _fn.__name__ = f"metadata_choice_{_name}"
+    query(_fn)

@@ -572,15 +572,15 @@ def metadata_sql(groups: dict[str, int]) -> str:
         "comment": """SELECT repo, path, {g} AS g, generate_subscripts(p, 1) AS k, 'comment' AS section, 'comment' AS style,
             unnest(p) AS content, CAST(NULL AS VARCHAR) AS symbol, CAST(0 AS BIGINT) AS indent
           FROM (SELECT repo, path, string_split(regexp_replace(comment, '\n$', ''), chr(10)) AS p FROM comments)""",
-        "type": "SELECT repo, path, {g}, seq, 'type', 'type_signature', signature, symbol, indent FROM sigs",
-        "import": """SELECT repo, path, {g}, 1, 'import', 'import', concat('imports: ', summary), NULL, 0 FROM wide
+        "type": "SELECT repo, path, {g}, seq, 'type', 'type_signature', signature, symbol, CAST(indent AS BIGINT) FROM sigs",
+        "import": """SELECT repo, path, {g}, 1, 'import', 'import', concat('imports: ', summary), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM wide
           WHERE summary <> ''""",
-        "todo": """SELECT repo, path, {g}, line, 'todo', 'todo', concat(marker, ': ', text, ' (line ', line, ')'), NULL, 0
+        "todo": """SELECT repo, path, {g}, line, 'todo', 'todo', concat(marker, ': ', text, ' (line ', line, ')'), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT)
           FROM todos""",
     }
     wanted = " UNION ALL ".join(parts[s].format(g=groups[s]) for s in parts if s in groups)
     return f"""
-sections AS ({wanted}),
+sections(repo, path, g, k, section, style, content, symbol, indent) AS ({wanted}),
 separated AS (
   SELECT * FROM sections
   UNION ALL SELECT repo, path, g - 1, 0, 'separator', 'comment', '', NULL, 0 FROM (
@@ -806,3 +806,35 @@ SQL["stream_signatures"] = with_(*FROM_CODE, SIGS) + "SELECT * FROM sigs"
 SQL["stream_todos"] = SQL["todos"]
 SQL["stream_imports"] = with_(*FROM_CODE, IMPORTS) + "SELECT * FROM imports"
 SQL["stream_extension_counts"] = SQL["extension_counts"]
+SQL["stream_language_counts"] = with_(CODE_FILES, BY_EXT, LANGUAGE_STATS) + "SELECT repo, language, files, lines FROM language_stats"
+SQL["scanned_entries"] = with_(CODE_FILES, o.dirs_sql("code_files")) + (
+    "SELECT repo, path, size_bytes, false AS is_dir, sha256(content) AS digest FROM code_files"
+    " UNION ALL SELECT repo, path, 0, true, NULL FROM up"
+)
+SQL["stream_scanned_files"] = with_(*FROM_CODE, TODOS) + "SELECT 'all' AS repo, concat(repo, '/', path) AS path, line, marker, text FROM todos"
+
+# --- odd bytes, unknown times, empty directories, written tables, choices --------------
+
+NUMBER = r"CAST(regexp_extract(path, 'doc_(\d+)', 1) AS BIGINT)"
+SQL["language_extensions"] = with_(CODE_FILES, BY_EXT) + f"SELECT repo, {LANGUAGE} AS language, ext, files, lines FROM by_ext"
+SQL["valid_text_only"] = with_(*FROM_CODE) + (
+    f"SELECT repo, path, ext AS canon_ext, CAST(strlen(content) AS BIGINT) AS bytes FROM f WHERE {NUMBER} % 9 <> 4"
+)
+SQL["line_counts_any_bytes"] = with_(CODE_FILES) + f"""
+SELECT repo, path, CASE WHEN {NUMBER} % 9 = 4 THEN CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT)
+  ELSE {LINES} END AS lines FROM code_files"""
+UNTIMED = """
+timed AS (SELECT * FROM base WHERE coalesce(doc_id % 6 = 2, false)
+  OR mtime >= TIMESTAMP '2024-01-03 00:00:00' AND mtime <= TIMESTAMP '2024-01-20 12:00:00')"""
+SQL["newer_unknown_times"] = with_(REPO_FILES, LISTABLE, UNTIMED, o.dirs_sql("base"), o.nodes_sql("timed", "up")) + NODES
+SQL["empty_directories"] = """
+SELECT repo, path, CAST(length(path) - length(replace(path, '/', '')) + 1 AS BIGINT) AS depth, 'dir' AS node_type
+FROM (SELECT DISTINCT source AS repo, unnest(['void', 'void/deep']) AS path FROM documents)"""
+SQL["filters_combined"] = SQL["gitignore_listing"].removesuffix(NODES) + "," + TIMED.strip() + f"""
+{NODES} WHERE depth <= 3 AND (node_type = 'dir' OR (repo, path) IN (SELECT (repo, path) FROM timed))"""
+SQL["tracked_from_tables"] = SQL["tracked_union"]
+SQL["own_extractor"] = with_(*FROM_CODE) + """
+SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS seq, left(t, 20) AS content, 'long' AS style,
+       CAST(NULL AS VARCHAR) AS symbol, CAST(0 AS BIGINT) AS indent FROM ls WHERE length(t) > 60"""
+for _name, _groups in {"types": {"type": 1}, "todos": {"todo": 1}, "imports": {"import": 1}, "default": {"comment": 1}}.items():
+    SQL[f"metadata_choice_{_name}"] = PARTS + "," + metadata_sql(_groups) + " SELECT * FROM meta"

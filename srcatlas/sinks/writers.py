@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from srcatlas.operators.reports import REPORT_ORDER
+from srcatlas.sources.stores import file_system
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by_repo: bool = False) -> None:
@@ -58,7 +59,26 @@ def write_incrementally(
     )
 
 
-def report_text(rows: DataFrame, repo: str) -> str:
-    """One small document as a string, for display and tests."""
-    picked = rows.where(F.col("repo") == repo).orderBy(*REPORT_ORDER).select("text")
-    return "\n".join(r.text for r in picked.toLocalIterator())
+def write_files(files: DataFrame, root: str) -> int:
+    """Write every file's bytes below ``root``/repo/path and return their number.
+
+    The root may be a folder that all executors reach or the address of a store.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(root)
+        made: set[str] = set()
+        for batch in batches:
+            for repo, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                target = f"{base}/{repo}/{path}"
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["written"])
+
+    plain = files.where("NOT coalesce(is_dir, false) AND NOT coalesce(is_symlink, false)")
+    counted = plain.select("repo", "path", "content").mapInArrow(run, "written bigint")
+    return counted.agg({"written": "sum"}).first()[0] or 0

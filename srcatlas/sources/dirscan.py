@@ -1,6 +1,7 @@
 """Directory scan that sees every name and never follows a link.
 
-The walk goes level by level: the directories of a level are a table, each one
+Folders are read where they are mounted on the executors, stores through Arrow's
+file systems. The walk goes level by level: the directories of a level are a table, each one
 is listed by some task, and the directories found are the next level. A
 repository with very many directories is thus spread over all tasks. Contents
 are read in a second step, only for the rows that are still wanted.
@@ -13,27 +14,54 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.globs import name_matches
 from srcatlas.operators.filters import GIT_DIR
 from srcatlas.session import materialize
+from srcatlas.sources.stores import file_system, local_path
 
 ENTRY = (
     "repo string, root string, path string, size_bytes bigint, mtime timestamp, "
-    "is_symlink boolean, is_dir boolean"
+    "is_symlink boolean, is_dir boolean, error string"
 )
+NAMES = [f.split()[0] for f in ENTRY.split(", ")]
 BATCH_ROWS = 10_000
 BATCH_BYTES = 32 << 20
 
 
+def _children(root: str, path: str) -> Iterator[tuple]:
+    """(path, size, time in microseconds, is_symlink, is_dir, error) of the entries of one directory.
+
+    Local folders are read with their links as links; stores have none.
+    """
+    local = local_path(root)
+    if local is None:
+        store, base = file_system(root)
+        for info in store.get_file_info(fs.FileSelector(f"{base}/{path}" if path else base)):
+            rel = f"{path}/{info.base_name}" if path else info.base_name
+            folder = info.type == fs.FileType.Directory
+            yield rel, 0 if folder else info.size, (info.mtime_ns or 0) // 1000 or None, False, folder, None
+        return
+    with os.scandir(os.path.join(local, path) if path else local) as listing:
+        for entry in listing:
+            rel = f"{path}/{entry.name}" if path else entry.name
+            try:
+                stat = entry.stat(follow_symlinks=False)
+                link, folder = entry.is_symlink(), entry.is_dir(follow_symlinks=False)
+            except OSError as error:
+                yield rel, None, None, False, False, str(error)
+                continue
+            yield rel, 0 if folder else stat.st_size, stat.st_mtime_ns // 1000, link, folder, None
+
+
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["repo", "root", "path", "size_bytes", "mtime", "is_symlink", "is_dir"]
     rows: list[tuple] = []
 
     def flush() -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=names)
+        frame = pd.DataFrame(rows, columns=NAMES)
         frame["mtime"] = pd.to_datetime(frame["mtime"], unit="us", utc=True)
         frame["size_bytes"] = frame["size_bytes"].astype("Int64")
         rows.clear()
@@ -42,46 +70,45 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for batch in batches:
         for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
             try:
-                listing = os.scandir(os.path.join(root, path) if path else root)
-            except OSError:
-                continue
-            with listing:
-                for entry in listing:
-                    try:
-                        stat = entry.stat(follow_symlinks=False)
-                        link, folder = entry.is_symlink(), entry.is_dir(follow_symlinks=False)
-                    except OSError:
-                        continue
-                    rel = f"{path}/{entry.name}" if path else entry.name
-                    size = 0 if folder else stat.st_size
-                    rows.append((repo, root, rel, size, stat.st_mtime_ns // 1000, link, folder))
+                for entry in _children(root, path):
+                    rows.append((repo, root, *entry))
                     if len(rows) >= BATCH_ROWS:
                         yield flush()
+            except OSError as error:
+                if not path:
+                    raise FileNotFoundError(f"root {root} can't be listed: {error}") from error
+                # The directory itself was listed by its parent; this row only tells what happened.
+                rows.append((repo, root, path, None, None, False, None, str(error)))
     if rows:
         yield flush()
 
 
 def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        start, held, contents = 0, 0, []
+        start, held, contents, errors = 0, 0, [], []
         for i, (root, path, size) in enumerate(zip(batch["root"], batch["path"], batch["size_bytes"])):
             try:
-                with open(os.path.join(root, path), "rb") as f:
+                store, base = file_system(root)
+                with store.open_input_stream(f"{base}/{path}", compression=None) as f:
                     contents.append(f.read())
-            except OSError:
+                errors.append(None)
+            except OSError as error:
                 contents.append(None)
+                errors.append(str(error))
             held += int(size or 0)
             if held >= BATCH_BYTES:
-                yield batch.iloc[start : i + 1].assign(content=contents)
-                start, held, contents = i + 1, 0, []
+                yield batch.iloc[start : i + 1].assign(error=errors, content=contents)
+                start, held, contents, errors = i + 1, 0, [], []
         if contents:
-            yield batch.iloc[start:].assign(content=contents)
+            yield batch.iloc[start:].assign(error=errors, content=contents)
 
 
 def list_entries(roots: DataFrame, ignore_names: Sequence[str] = ()) -> DataFrame:
-    """(repo, root, path, size_bytes, mtime, is_symlink, is_dir) without contents.
+    """(repo, root, path, size_bytes, mtime, is_symlink, is_dir, error) without contents.
 
-    ``roots`` holds (repo, root). ``.git`` and ignored names are pruned with
+    ``roots`` holds (repo, root): folders that all executors reach, or addresses
+    of stores. A root that can't be listed is an error; below, a path that can't be read has
+    ``error`` set. ``.git`` and ignored names are pruned with
     their subtrees while walking. Each level is written to the shared folder,
     so a lost executor never repeats the levels before.
     """
@@ -92,41 +119,37 @@ def list_entries(roots: DataFrame, ignore_names: Sequence[str] = ()) -> DataFram
     level = roots.select("repo", "root", F.lit("").alias("path"))
     levels = []
     while True:
-        found = (
-            level.repartition(tasks, "repo", "path").mapInPandas(_list_directories, ENTRY).where(wanted)
-        )
+        found = level.repartition(tasks, "repo", "path").mapInPandas(_list_directories, ENTRY).where(wanted)
         levels.append(materialize(found, "scan"))
-        level = levels[-1].where("is_dir").select("repo", "root", "path")
+        level = levels[-1].where("is_dir AND error IS NULL").select("repo", "root", "path")
         if level.isEmpty():
             return reduce(DataFrame.unionByName, levels)
 
 
 def read_contents(entries: DataFrame) -> DataFrame:
-    """The ``files`` table for the given entries; directories and links hold no content."""
+    """The ``files`` table for the given entries, with ``error``; directories and links hold no content."""
     tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    plain = entries.where(~F.col("is_dir") & ~F.col("is_symlink"))
-    read = plain.repartition(tasks, "repo", "path").mapInPandas(
-        _read_contents, ENTRY + ", content binary"
-    )
-    rest = entries.where(F.col("is_dir") | F.col("is_symlink")).withColumn(
-        "content", F.lit(None).cast("binary")
-    )
+    plain = F.coalesce(~F.col("is_dir") & ~F.col("is_symlink") & F.col("error").isNull(), F.lit(False))
+    read = entries.where(plain).repartition(tasks, "repo", "path").mapInPandas(_read_contents, ENTRY + ", content binary")
+    rest = entries.where(~plain).withColumn("content", F.lit(None).cast("binary"))
     return read.unionByName(rest).drop("root")
 
 
-def scan_dirs(
-    roots: DataFrame,
-    ignore_names: Sequence[str] = (),
-    max_file_size: int | None = None,
-) -> DataFrame:
+def scan_dirs(roots: DataFrame, ignore_names: Sequence[str] = (), max_file_size: int | None = None) -> DataFrame:
     """Scan directory trees into a ``files`` table.
 
     Every file is read; where ``max_file_size`` is given, larger ones are listed with NULL content.
+    What can't be read is left out or has NULL content; ``scan_with_errors`` tells which.
     """
+    found = scan_with_errors(roots, ignore_names, max_file_size)
+    return found.where("is_dir IS NOT NULL").drop("error")
+
+
+def scan_with_errors(roots: DataFrame, ignore_names: Sequence[str] = (), max_file_size: int | None = None) -> DataFrame:
+    """The same with a column ``error``; an unreadable directory has a second row for it, with NULL ``is_dir``."""
     entries = list_entries(roots, ignore_names)
     if max_file_size is None:
         return read_contents(entries)
-    large = entries.where(F.col("size_bytes") > max_file_size)
-    return read_contents(entries.where(F.col("size_bytes") <= max_file_size)).unionByName(
-        large.drop("root").withColumn("content", F.lit(None).cast("binary"))
-    )
+    large = F.coalesce(F.col("size_bytes") > max_file_size, F.lit(False))
+    unread = entries.where(large).drop("root").withColumn("content", F.lit(None).cast("binary"))
+    return read_contents(entries.where(~large)).unionByName(unread)

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from srcatlas.functions import names
+from srcatlas.functions.text import count_lines
 from srcatlas.operators.comments import extract_comments
 from srcatlas.operators.imports import extract_imports
 from srcatlas.operators.signatures import extract_signatures
-from srcatlas.operators.stats import extension_counts
 from srcatlas.operators.todos import extract_todos
+from srcatlas.sinks.writers import write_incrementally
 from srcatlas.sources.tables import from_binary_files
 
 BINARY_FILE = T.StructType(
@@ -64,30 +66,30 @@ def start_extraction(files: DataFrame, kind: str, target: str, checkpoint: str)
     )
 
 
-def start_language_counts(files: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Running counts per (repo, ext); each batch writes the counts it changed.
+def running_counts(files: DataFrame, by: str = "language") -> DataFrame:
+    """(repo, ``by``, files, lines) over the files so far; ``by`` is ``language`` or ``ext``."""
+    ext = names.file_ext(F.col("path"))
+    key = {"ext": ext, "language": names.language_of(ext)}[by]
+    lines = count_lines(F.col("content"), F.col("size_bytes"))
+    plain = files.where(~F.coalesce(F.col("is_dir"), F.lit(False))).select("repo", key.alias(by), lines.alias("lines"))
+    return plain.groupBy("repo", by).agg(F.count("*").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
+
+
+def start_counts(files: DataFrame, target: str, checkpoint: str, by: str = "language") -> StreamingQuery:
+    """Running counts per repository and language (or extension); a batch replaces the table of the batch before the last.
 
     Counts only grow: a file that is delivered again counts again unless the
-    caller drops repeats of (repo, path, mtime) first. A repeated batch
-    overwrites its own folder.
+    caller drops repeats of (repo, path, mtime) first. The state, and so a batch's table,
+    has a row for each repository and language, so two tables are all that is ever kept.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{target}/part={batch_id}"
-        )
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/turn={batch_id % 2}")
 
-    return (
-        extension_counts(files)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    return write_incrementally(running_counts(files, by), write, checkpoint, "complete")
 
 
 def latest_counts(written: DataFrame) -> DataFrame:
-    """The last counts of every (repo, ext) from the written batches."""
-    latest = F.max_by(F.struct("files", "lines"), "batch").alias("v")
-    return written.groupBy("repo", "ext").agg(latest).select("repo", "ext", "v.*")
+    """The counts after the last batch."""
+    last = written.agg(F.max("batch").alias("batch"))
+    return written.join(F.broadcast(last), "batch").drop("batch", "turn")

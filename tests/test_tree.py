@@ -6,12 +6,12 @@ import datetime as dt
 import json
 
 import pytest
+from conftest import report_text
 from pyspark.sql import functions as F
 
 from srcatlas.operators import filters, ignore, metadata as md, reports, stats, tree
 from srcatlas.operators.skew import number_rows, spread_join
 from srcatlas.operators.todos import extract_todos
-from srcatlas.sinks.writers import report_text
 
 
 def shown(df):
@@ -191,7 +191,7 @@ def test_stats(make_files):
         [("r", "a.rs", "x\ny"), ("r", "b/c.RS", "x\n"), ("r", "b/d.py", ""), ("r", "Makefile", "a"), ("r", "q.weird", b"\xff\n"),
          ("s", "x/y/z.js", "1\n2\n3\n")]
     )
-    got = {(r.repo, r.language): (r.files, r.lines, list(r.extensions)) for r in stats.language_stats(files).collect()}
+    got = {(r.repo, r.language): (r.files, r.lines, list(r.extensions)) for r in stats.listed_language_stats(stats.language_extensions(files)).collect()}
     assert got == {
         ("r", "Rust"): (2, 3, [".rs"]), ("r", "Python"): (1, 0, [".py"]), ("r", "No Extension"): (1, 1, []),
         ("r", "Other"): (1, 1, [".weird"]), ("s", "JavaScript"): (1, 3, [".js"]),
@@ -210,7 +210,7 @@ def test_stats(make_files):
     text = report_text(out, "s").split("\n")
     assert text == ["Codebase Statistics", "───────────────────", "Files:        1 total", "Directories:  2", "",
                     "By Language:", "  JavaScript       1 files         3 lines", "", "Total:       3 lines of code"]
-    js = {r.repo: json.loads(r.json) for r in reports.stats_json(stats.language_stats(files, False), stats.codebase_totals(files, False)).collect()}
+    js = {r.repo: json.loads(r.json) for r in reports.stats_json(stats.listed_language_stats(stats.language_extensions(files, False)), stats.codebase_totals(files, False)).collect()}
     assert js["s"] == {"files": 1, "directories": 2, "total_lines": None,
                        "by_language": [{"language": "JavaScript", "files": 1, "extensions": [".js"]}]}
 
