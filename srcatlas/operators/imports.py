@@ -14,30 +14,35 @@ CATEGORIES = ["external", "std", "internal"]
 # Roots, built-in modules and library modules per language.
 RUST_STD_ROOTS = ["std", "core", "alloc"]
 RUST_INTERNAL_ROOTS = ["crate", "self", "super"]
-NODE_MODULES = (
-    "assert buffer child_process cluster console constants crypto dgram dns domain events fs "
-    "http https module net os path process punycode querystring readline repl stream "
-    "string_decoder timers tls tty url util v8 vm zlib"
-).split()
-PYTHON_MODULES = (
-    "abc aifc argparse array ast asynchat asyncio asyncore atexit audioop base64 bdb binascii "
-    "bisect builtins bz2 calendar cgi cgitb chunk cmath cmd code codecs codeop collections "
-    "colorsys compileall concurrent configparser contextlib contextvars copy copyreg cProfile "
-    "crypt csv ctypes curses dataclasses datetime dbm decimal difflib dis distutils doctest "
-    "email encodings enum errno faulthandler fcntl filecmp fileinput fnmatch fractions ftplib "
-    "functools gc getopt getpass gettext glob graphlib grp gzip hashlib heapq hmac html http "
-    "imaplib imghdr importlib inspect io ipaddress itertools json keyword linecache locale "
-    "logging lzma mailbox mailcap marshal math mimetypes mmap modulefinder multiprocessing "
-    "netrc nntplib numbers operator optparse os pathlib pdb pickle pickletools pipes pkgutil "
-    "platform plistlib poplib posix pprint profile pstats pty pwd pyclbr pydoc queue quopri "
-    "random re readline reprlib resource rlcompleter runpy sched secrets select selectors "
-    "shelve shlex shutil signal site smtpd smtplib sndhdr socket socketserver sqlite3 ssl stat "
-    "statistics string stringprep struct subprocess sunau symtable sys sysconfig syslog "
-    "tabnanny tarfile telnetlib tempfile termios textwrap threading time timeit tkinter token "
-    "tokenize tomllib trace traceback tracemalloc tty turtle types typing unicodedata unittest "
-    "urllib uu uuid venv warnings wave weakref webbrowser winreg winsound wsgiref xdrlib xml "
-    "xmlrpc zipapp zipfile zipimport zlib zoneinfo"
-).split()
+NODE_MODULES = [
+    "assert", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "dns",
+    "domain", "events", "fs", "http", "https", "module", "net", "os", "path", "process", "punycode",
+    "querystring", "readline", "repl", "stream", "string_decoder", "timers", "tls", "tty", "url", "util",
+    "v8", "vm", "zlib",
+]
+PYTHON_MODULES = [
+    "abc", "aifc", "argparse", "array", "ast", "asynchat", "asyncio", "asyncore", "atexit", "audioop",
+    "base64", "bdb", "binascii", "bisect", "builtins", "bz2", "calendar", "cgi", "cgitb", "chunk", "cmath",
+    "cmd", "code", "codecs", "codeop", "collections", "colorsys", "compileall", "concurrent",
+    "configparser", "contextlib", "contextvars", "copy", "copyreg", "cProfile", "crypt", "csv", "ctypes",
+    "curses", "dataclasses", "datetime", "dbm", "decimal", "difflib", "dis", "distutils", "doctest",
+    "email", "encodings", "enum", "errno", "faulthandler", "fcntl", "filecmp", "fileinput", "fnmatch",
+    "fractions", "ftplib", "functools", "gc", "getopt", "getpass", "gettext", "glob", "graphlib", "grp",
+    "gzip", "hashlib", "heapq", "hmac", "html", "http", "imaplib", "imghdr", "importlib", "inspect", "io",
+    "ipaddress", "itertools", "json", "keyword", "linecache", "locale", "logging", "lzma", "mailbox",
+    "mailcap", "marshal", "math", "mimetypes", "mmap", "modulefinder", "multiprocessing", "netrc",
+    "nntplib", "numbers", "operator", "optparse", "os", "pathlib", "pdb", "pickle", "pickletools", "pipes",
+    "pkgutil", "platform", "plistlib", "poplib", "posix", "pprint", "profile", "pstats", "pty", "pwd",
+    "pyclbr", "pydoc", "queue", "quopri", "random", "re", "readline", "reprlib", "resource", "rlcompleter",
+    "runpy", "sched", "secrets", "select", "selectors", "shelve", "shlex", "shutil", "signal", "site",
+    "smtpd", "smtplib", "sndhdr", "socket", "socketserver", "sqlite3", "ssl", "stat", "statistics",
+    "string", "stringprep", "struct", "subprocess", "sunau", "symtable", "sys", "sysconfig", "syslog",
+    "tabnanny", "tarfile", "telnetlib", "tempfile", "termios", "textwrap", "threading", "time", "timeit",
+    "tkinter", "token", "tokenize", "tomllib", "trace", "traceback", "tracemalloc", "tty", "turtle",
+    "types", "typing", "unicodedata", "unittest", "urllib", "uu", "uuid", "venv", "warnings", "wave",
+    "weakref", "webbrowser", "winreg", "winsound", "wsgiref", "xdrlib", "xml", "xmlrpc", "zipapp",
+    "zipfile", "zipimport", "zlib", "zoneinfo",
+]
 
 # Import statements, on the trimmed line.
 RUST_USE = r"(?U)^use\s([^;]++);"

@@ -10,53 +10,61 @@ from srcatlas.operators.signatures import extract_signatures
 from srcatlas.operators.todos import extract_todos
 
 COMMENTS = [
-    ("rs", "//! This is a module doc\n\nfn main() {}", "This is a module doc"),
-    ("rs", "//! One\n//!\n// plain\n\n//! Two\nuse x;\n//! late", "One\n\nTwo"),
-    ("rs", "/// This documents the function\nfn main() {}", "This documents the function"),
-    ("rs", "#![allow(x)]\n// note\n\n/// A\n/// B\n\n/// C\nfn f() {}", "A\nB"),
-    ("rs", "/* File description */\nfn main() {}", "File description"),
-    ("rs", "//!\nfn main() {}", None),
-    ("rs", "/**\n * Decorated block\n * comment style\n */\nfn main() {}", "Decorated block\ncomment style"),
-    ("rs", "//! only line, no newline", "only line, no newline"),
-    ("rs", " //! odd 　 blanks \r\n//! 🎉 two\r\ncode", "odd 　 blanks\n🎉 two"),
-    ("py", '"""\nThis is a longer docstring.\n\nMore details here.\n"""\n', "This is a longer docstring.\n\nMore details here."),
-    ("py", '#!/usr/bin/env python\n# coding: utf-8\n"""Module with shebang."""\n', "Module with shebang."),
-    ("py", "'''Single quote docstring.'''\ndef foo(): pass", "Single quote docstring."),
-    ("py", '"""unclosed', None),
-    ("py", '""""""\n"""x"""', None),
-    ("py", 'import os\n"""late"""', None),
-    ("pyi", '\n  # c\n\n  """ stub """', "stub"),
-    ("js", "/**\n * Main application entry point\n */\nfunction main() {}\n", "Main application entry point"),
-    ("js", "// Application utilities\n\nexport function foo() {}", "Application utilities"),
-    ("ts", "// a\n\n// b\ncode\n// c", "a\n\nb".replace("\n\n", "\n")),
-    ("js", "/* plain block */\nx", None),
-    ("go", "// Comment 1\nimport \"fmt\"\n// Comment 2\npackage main", "Comment 2"),
-    ("go", "/* First comment */\n/* Second comment */\npackage main", "First comment"),
-    ("go", "/* Unclosed block comment\npackage main", None),
-    ("go", "// Kept\n\npackage main\n// not this", "Kept"),
-    ("go", "// a /* b */ c\n/* d */\npackage main", "b"),
-    ("go", "// kept\n/* */\npackage main", "kept"),
-    ("c", "/*\n * File: main.c\n * Author: Test\n */\nint main() {}", "File: main.c\nAuthor: Test"),
-    ("h", "// one\n//\n// two\nint x;", "one\n\ntwo"),
-    ("cpp", "\n\n/* lead */", "lead"),
-    ("rb", "# encoding: utf-8\n# frozen_string_literal: true\n# Real comment\nclass Foo; end", "Real comment"),
-    ("rb", "# a\n#!x\n# coding: z\n# b\n\n# c", "a\nb"),
-    ("sh", "#!/bin/bash\n# First line\n# Second line\necho hello", "First line\nSecond line"),
-    ("bash", "#!/bin/bash\n\n# encoding: kept\n", "encoding: kept"),
-    ("java", "/**\n * Service text\n * @author Test\n */\nclass A {}", "Service text"),
-    ("kt", "// line doc\nclass A", "line doc"),
-    ("swift", "/** @only tags */\n// x", None),
-    ("php", "<?php\n/**\n * User authentication service\n */\nclass A {}", "User authentication service"),
-    ("php", "<?\n# one\n// two\n#[Attr]\n# three", "one\ntwo"),
-    ("cs", "/// <summary>\n/// Main program entry point\n/// </summary>\nclass A {}", "Main program entry point"),
-    ("cs", "using System;\n[Attr]\n// text\nclass A", "text"),
-    ("cs", "/* block */ class A", "block"),
+    # Rust: module lines first, else the first run of item lines, else a block
+    ("rs", "//! Reads tide tables.\n\nmod gauge;", "Reads tide tables."),
+    ("rs", "//! Moon\n//!\n// aside\n\n//! Sun\nmod sky;\n//! below code", "Moon\n\nSun"),
+    ("rs", "/// Height over datum\npub fn height() {}", "Height over datum"),
+    ("rs", "#![deny(warnings)]\n// aside\n\n/// Ebb\n/// Flow\n\n/// Slack\nfn tide() {}", "Ebb\nFlow"),
+    ("rs", "/* Harbour list */\nmod ports;", "Harbour list"),
+    ("rs", "//!\nmod empty;", None),
+    ("rs", "/**\n * Stars at the left\n * are dropped\n */\nmod a;", "Stars at the left\nare dropped"),
+    ("rs", "//! ends without a line feed", "ends without a line feed"),
+    ("rs", " //! wide 　 gap \r\n//! 🌊 wave\r\nmod a;", "wide 　 gap\n🌊 wave"),
+    # Python: the docstring, below shebang, coding line and comments
+    ("py", '"""\nWeighs parcels.\n\nIn grams.\n"""\n', "Weighs parcels.\n\nIn grams."),
+    ("py", '#!/bin/env python3\n# coding: latin-1\n"""Below two marks."""\n', "Below two marks."),
+    ("py", "'''Three single marks.'''\nweight = 3", "Three single marks."),
+    ("py", '"""never closed', None),
+    ("py", '""""""\n"""second"""', None),
+    ("py", 'import scales\n"""too late"""', None),
+    ("pyi", '\n  # aside\n\n  """ a stub """', "a stub"),
+    # JavaScript and TypeScript: a documentation block or the leading run
+    ("js", "/**\n * Draws the map legend\n */\nlegend();\n", "Draws the map legend"),
+    ("js", "// Colour scales\n\nexport const red = 1;", "Colour scales"),
+    ("ts", "// north\n\n// south\nturn()\n// west", "north\nsouth"),
+    ("js", "/* no second star */\nturn()", None),
+    # Go: what stands right above the package clause
+    ("go", "// upper\nimport \"sort\"\n// lower\npackage reef", "lower"),
+    ("go", "/* coral */\n/* sponge */\npackage reef", "coral"),
+    ("go", "/* never closed\npackage reef", None),
+    ("go", "// above a gap\n\npackage reef\n// below", "above a gap"),
+    ("go", "// x /* inner */ y\n/* z */\npackage reef", "inner"),
+    ("go", "// stays\n/* */\npackage reef", "stays"),
+    # C family
+    ("c", "/*\n * Unit: knots\n * Since: spring\n */\nint knots;", "Unit: knots\nSince: spring"),
+    ("h", "// port\n//\n// starboard\nint side;", "port\n\nstarboard"),
+    ("cpp", "\n\n/* after gaps */", "after gaps"),
+    # Ruby and shell: magic lines are skipped, in Ruby also coding lines
+    ("rb", "# encoding: ascii\n# frozen_string_literal: true\n# Brews tea\nmodule Tea; end", "Brews tea"),
+    ("rb", "# leaf\n#!odd\n# coding: q\n# water\n\n# late", "leaf\nwater"),
+    ("sh", "#!/bin/sh\n# Fills the kettle\n# and heats it\nboil", "Fills the kettle\nand heats it"),
+    ("bash", "#!/bin/bash\n\n# encoding: stays here\n", "encoding: stays here"),
+    # Java family: tag lines go
+    ("java", "/**\n * Books a berth\n * @since spring\n */\nclass Berth {}", "Books a berth"),
+    ("kt", "// one line\nclass Berth", "one line"),
+    ("swift", "/** @tag alone */\n// x", None),
+    ("php", "<?php\n/**\n * Signs the log book\n */\nclass Log {}", "Signs the log book"),
+    ("php", "<?\n# rope\n// knot\n#[Hook]\n# sail", "rope\nknot"),
+    ("cs", "/// <summary>\n/// Rings the bell\n/// </summary>\nclass Bell {}", "Rings the bell"),
+    ("cs", "using Harbour;\n[Loud]\n// at noon\nclass Bell", "at noon"),
+    ("cs", "/* brass */ class Bell", "brass"),
+    # nothing to find
     ("rs", "", None),
-    ("go", "func main() {}", None),
-    ("js", "/**/\nx", None),
-    ("rs", "/*/\nx", None),
-    ("lua", "-- not supported", None),
-    ("xyz", "// unknown", None),
+    ("go", "var depth = 3", None),
+    ("js", "/**/\nturn()", None),
+    ("rs", "/*/\nmod a;", None),
+    ("lua", "-- a language without a rule", None),
+    ("xyz", "// no language", None),
 ]
 
 
@@ -85,37 +93,32 @@ def test_long_headers_do_not_overflow(make_files):
 
 
 SIGNATURES = [
-    ("rs", "pub fn process(x: u32) -> u32 {\n}\npub async fn async_process() {}\nfn private_fn() {}",
-     [("pub fn process(x: u32) -> u32", "process", 0), ("pub async fn async_process()", "async_process", 0)]),
-    ("rs", "pub struct Config {\npub struct Generic<T> {\nstruct Hidden;\npub trait Handler {\npub enum Status {\n",
-     [("pub struct Config", "Config", 0), ("pub struct Generic<T>", "Generic", 0),
-      ("pub trait Handler", "Handler", 0), ("pub enum Status", "Status", 0)]),
-    ("rs", "    pub const MAX: usize = 5;\n\tpub type Alias = Vec<u8>;\n/// pub fn doc()",
-     [("pub const MAX: usize", "MAX", 4), ("pub type Alias = Vec<u8>", "Alias", 4)]),
-    ("ts", "export interface User {\nexport type UserId = string;\nexport async function getUser(id: UserId): Promise<User> {\n"
-           "export function createUser() {\nfunction privateFunc() {}\nexport const API_URL: string = 'x';",
-     [("export interface User", "User", 0), ("export type UserId = string", "UserId", 0),
-      ("export async function getUser(id: UserId): Promise<User>", "getUser", 0),
-      ("export function createUser()", "createUser", 0), ("export const API_URL: string", "API_URL", 0)]),
-    ("tsx", "export class UserService {\nexport abstract class BaseHandler {\nexport const enum E {\nexport enum F {",
-     [("export class UserService", "UserService", 0), ("export abstract class BaseHandler", "BaseHandler", 0),
-      ("export const enum E", "E", 0), ("export enum F", "F", 0)]),
-    ("js", "export function calculate(a, b) {\nexport async function fetchData(u) {\nexport class Calculator {\n"
-           "export const VERSION = '1';\nfunction privateFunc() {}",
-     [("export function calculate(a, b)", "calculate", 0), ("export async function fetchData(u)", "fetchData", 0),
-      ("export class Calculator", "Calculator", 0), ("export const VERSION", "VERSION", 0)]),
-    ("py", "def process(x: int) -> str:\ndef simple_func(a):\nasync def fetch() -> bytes:\nasync def fetch_untyped():\n"
-           "def _private_func():\nclass UserService(Base):\nclass _PrivateClass:\n    def method(self):\n# def no():",
-     [("def process(x: int) -> str", "process", 0), ("def simple_func(a)", "simple_func", 0),
-      ("async def fetch() -> bytes", "fetch", 0), ("async def fetch_untyped()", "fetch_untyped", 0),
-      ("class UserService(Base)", "UserService", 0), ("def method(self)", "method", 4)]),
-    ("go", "type Config struct {\ntype privateType struct {\nfunc NewConfig() *Config {\nfunc (c *Config) Validate() error {\n"
-           "func privateFunc() {}\nconst DefaultPort = 80\nvar GlobalConfig Config",
-     [("type Config struct", "Config", 0), ("func NewConfig() *Config", "NewConfig", 0),
-      ("func (c *Config) Validate() error", "Validate", 0), ("const DefaultPort", "DefaultPort", 0),
-      ("var GlobalConfig Config", "GlobalConfig", 0)]),
-    ("rs", "pub fn größe(x: u8) {", [("pub fn größe(x: u8)", "größe", 0)]),
-    ("rb", "pub fn nope() {", []),
+    ("rs", "pub fn moor(line: u8) -> bool {\n}\npub async fn cast_off() {}\nfn drift() {}",
+     [("pub fn moor(line: u8) -> bool", "moor", 0), ("pub async fn cast_off()", "cast_off", 0)]),
+    ("rs", "pub struct Berth {\npub struct Crate<T> {\nstruct Bilge;\npub trait Floats {\npub enum Tide {\n",
+     [("pub struct Berth", "Berth", 0), ("pub struct Crate<T>", "Crate", 0), ("pub trait Floats", "Floats", 0), ("pub enum Tide", "Tide", 0)]),
+    ("rs", "    pub const DRAUGHT: f32 = 2.5;\n\tpub type Log = Vec<Tide>;\n/// pub fn quoted()",
+     [("pub const DRAUGHT: f32", "DRAUGHT", 4), ("pub type Log = Vec<Tide>", "Log", 4)]),
+    ("ts", "export interface Buoy {\nexport type Bearing = number;\nexport async function sound(b: Bearing): Promise<Buoy> {\n"
+           "export function anchor() {\nfunction inner() {}\nexport const CHANNEL: number = 16;",
+     [("export interface Buoy", "Buoy", 0), ("export type Bearing = number", "Bearing", 0),
+      ("export async function sound(b: Bearing): Promise<Buoy>", "sound", 0), ("export function anchor()", "anchor", 0),
+      ("export const CHANNEL: number", "CHANNEL", 0)]),
+    ("tsx", "export class Chart {\nexport abstract class Layer {\nexport const enum Depth {\nexport enum Light {",
+     [("export class Chart", "Chart", 0), ("export abstract class Layer", "Layer", 0), ("export const enum Depth", "Depth", 0), ("export enum Light", "Light", 0)]),
+    ("js", "export function plot(lat, lon) {\nexport async function signal(flag) {\nexport class Mast {\nexport const RIG = 'sloop';\nfunction inner() {}",
+     [("export function plot(lat, lon)", "plot", 0), ("export async function signal(flag)", "signal", 0), ("export class Mast", "Mast", 0),
+      ("export const RIG", "RIG", 0)]),
+    ("py", "def weigh(box: Box) -> float:\ndef stack(boxes):\nasync def lift() -> None:\nasync def lower():\ndef _tare():\n"
+           "class Crane(Machine):\nclass _Hook:\n    def swing(self):\n# def quoted():",
+     [("def weigh(box: Box) -> float", "weigh", 0), ("def stack(boxes)", "stack", 0), ("async def lift() -> None", "lift", 0),
+      ("async def lower()", "lower", 0), ("class Crane(Machine)", "Crane", 0), ("def swing(self)", "swing", 4)]),
+    ("go", "type Reef struct {\ntype shoal struct {\nfunc Survey() *Reef {\nfunc (r *Reef) Depth() float64 {\nfunc hidden() {}\n"
+           "const Fathom = 6\nvar Home Reef",
+     [("type Reef struct", "Reef", 0), ("func Survey() *Reef", "Survey", 0), ("func (r *Reef) Depth() float64", "Depth", 0),
+      ("const Fathom", "Fathom", 0), ("var Home Reef", "Home", 0)]),
+    ("rs", "pub fn tiefe(ß: u8) {", [("pub fn tiefe(ß: u8)", "tiefe", 0)]),
+    ("rb", "pub fn elsewhere() {", []),
 ]
 
 
@@ -129,20 +132,20 @@ def test_signatures(make_files):
 
 
 TODOS = [
-    ("rs", "\n// TODO: implement this function\nfn foo() {}\n\n// FIXME: memory leak here\nfn bar() {}",
-     [(2, "TODO", "implement this function"), (5, "FIXME", "memory leak here")]),
-    ("py", "# TODO: a\n# FIXME: b\n# HACK: c\n# XXX: d\n# BUG: e\n# NOTE: f\n",
-     [(1, "TODO", "a"), (2, "FIXME", "b"), (3, "HACK", "c"), (4, "XXX", "d"), (5, "BUG", "e"), (6, "NOTE", "f")]),
-    ("js", "// todo: x\n// Todo: y\n// TODO: z", [(1, "TODO", "x"), (2, "TODO", "y"), (3, "TODO", "z")]),
-    ("rs", "// TODO implement without colon\n// FIXME - with dash", []),
-    ("c", "/* TODO: in block comment */\n * FIXME: multi-line block", [(1, "TODO", "in block comment"), (2, "FIXME", "multi-line block")]),
-    ("rs", "// TODO:\n// TODO:    \n", []),
-    ("rs", "/// TODO: document this function\nfn foo() {}", [(1, "TODO", "document this function")]),
-    ("rs", "\n\n\n// TODO: on line 4\r\n\r\n// FIXME: on line 6", [(4, "TODO", "on line 4"), (6, "FIXME", "on line 6")]),
-    ("rs", "// TODO: `x`\n// TODO: see Marker\n// NOTE: Known bug list", []),
-    ("rs", "code(); // TODO: x", []),
-    ("lua", "-- TODO : spaced\n; BUG: semi --> tail\n//! NOTE:bang", [(1, "TODO", "spaced"), (2, "BUG", "semi"), (3, "NOTE", "bang")]),
-    ("txt", "// TODO: not a source file", []),
+    ("rs", "\n// TODO: mend the sail\nfn a() {}\n\n// FIXME: pump leaks\nfn b() {}", [(2, "TODO", "mend the sail"), (5, "FIXME", "pump leaks")]),
+    ("py", "# NOTE: oars\n# BUG: rudder\n# XXX: keel\n# HACK: mast\n# FIXME: boom\n# TODO: jib\n",
+     [(1, "NOTE", "oars"), (2, "BUG", "rudder"), (3, "XXX", "keel"), (4, "HACK", "mast"), (5, "FIXME", "boom"), (6, "TODO", "jib")]),
+    ("js", "// fixme: low\n// FixMe: mixed\n// FIXME: high", [(1, "FIXME", "low"), (2, "FIXME", "mixed"), (3, "FIXME", "high")]),
+    ("rs", "// BUG no colon\n// NOTE - a dash", []),
+    ("c", "/* HACK: inside one block */\n * NOTE: inside a longer one", [(1, "HACK", "inside one block"), (2, "NOTE", "inside a longer one")]),
+    ("rs", "// XXX:\n// XXX:    \n", []),
+    ("rs", "/// NOTE: say what it does\nfn a() {}", [(1, "NOTE", "say what it does")]),
+    ("rs", "\n\n\n// HACK: fourth\r\n\r\n// BUG: sixth", [(4, "HACK", "fourth"), (6, "BUG", "sixth")]),
+    ("rs", "// BUG: `quoted`\n// BUG: a marker by name\n// BUG: Known bug in a list", []),
+    ("rs", "sail(); // TODO: behind code", []),
+    ("lua", "-- HACK : gap before the colon\n; NOTE: until here --> not this\n//! XXX:tight",
+     [(1, "HACK", "gap before the colon"), (2, "NOTE", "until here"), (3, "XXX", "tight")]),
+    ("txt", "// TODO: prose is no source", []),
 ]
 
 
@@ -156,19 +159,23 @@ def test_todos(make_files):
 
 
 IMPORTS = [
-    ("rs", "use std::path::Path;\nuse std::io::{self, Read, Write};\nuse clap::Parser;\nuse serde::{Serialize, Deserialize};\n"
-           "use crate::git::GitFilter;\nuse super::config;\npub use a::b;\nuse a::{\n b};\nuse clap::Args;",
-     (["clap", "serde", "clap"], ["path::Path", "io::{self, Read, Write}"], ["git::GitFilter", "super::config"])),
-    ("ts", "import React from 'react';\nimport { useState } from \"react\";\nimport path from 'path';\nimport x from './components';\n"
-           "import type { N } from '@types/node/sub';\nimport fp from 'lodash/fp';\nexport * from '../up';\nexport { a, b } from 'fs';\nimport 'side';\nconst r = require('no');",
-     (["react", "@types/node", "lodash", "side"], ["path", "fs"], ["./components", "../up"])),
-    ("js", "const a = require('fs'); import('x');\nimport b from 'node:test';\nimport from 'no';\nimport   from 'yes';\nx = require( \"pkg/sub\" )\nimport '' ; import 'second'",
-     (["yes", "pkg", "second"], ["fs", "test"], [])),
-    ("py", "import os, sys\nimport sys\nfrom pathlib import Path\nfrom collections import x\nimport numpy as np\nfrom . import a\nfrom ..config import b\n# import no\nimport os\nfrom prose it came",
-     (["numpy", "prose"], ["os", "sys", "pathlib", "collections"], [".", "..config"])),
-    ("go", "package main\nimport \"fmt\"\nimport (\n\t\"os\"\n\tpf \"path/filepath\"\n\t\"github.com/spf13/cobra/doc\"\n\t\"github.com/user/repo/internal/config\"\n)\nvar x = []string{\n\"not\",\n}\nimport (\n  \"io\"\n  import \"a/internal/b\"\n",
-     (["path/filepath", "github.com/spf13/cobra"], ["fmt", "os", "io"], ["github.com/user/repo/internal/config", "a/internal/b", "a/internal/b"])),
-    ("go", "import (\"lost\")\n  \"kept\"\n\t)\t\r\n\"out\"\n", ([], ["kept"], [])),
+    ("rs", "use std::net::TcpStream;\nuse core::fmt::{self, Debug};\nuse tokio::task;\nuse rand::{Rng, random};\nuse crate::dock::Pier;\n"
+           "use super::quay;\npub use ropes::Knot;\nuse sails::{\n Jib};\nuse tokio::time;",
+     (["tokio", "rand", "tokio"], ["net::TcpStream", "fmt::{self, Debug}"], ["dock::Pier", "super::quay"])),
+    ("ts", "import Vue from 'vue';\nimport { ref } from \"vue\";\nimport os from 'os';\nimport dock from './dock';\n"
+           "import type { Mast } from '@ship/rig/sails';\nimport pick from 'ramda/pick';\nexport * from '../quay';\nexport { join } from 'path';\n"
+           "import 'polyfill';\nconst old = require('unseen');",
+     (["vue", "@ship/rig", "ramda", "polyfill"], ["os", "path"], ["./dock", "../quay"])),
+    ("js", "const zip = require('zlib'); import('later');\nimport url from 'node:url';\nimport from 'bare';\nimport   from 'wide';\n"
+           "rig = require( \"winch/drum\" )\nimport '' ; import 'tail'",
+     (["wide", "winch", "tail"], ["zlib", "url"], [])),
+    ("py", "import json, math\nimport math\nfrom shutil import copy\nfrom itertools import chain\nimport pandas as pd\nfrom . import dock\n"
+           "from ..quay import crane\n# import quoted\nimport json\nfrom harbour masters heard",
+     (["pandas", "harbour"], ["json", "math", "shutil", "itertools"], [".", "..quay"])),
+    ("go", "package reef\nimport \"sort\"\nimport (\n\t\"time\"\n\tb \"encoding/binary\"\n\t\"example.net/tides/tables/moon\"\n"
+           "\t\"example.net/tides/internal/sun\"\n)\nvar names = []string{\n\"coral\",\n}\nimport (\n  \"bufio\"\n  import \"x/internal/y\"\n",
+     (["encoding/binary", "example.net/tides/tables"], ["sort", "time", "bufio"], ["example.net/tides/internal/sun", "x/internal/y", "x/internal/y"])),
+    ("go", "import (\"same\")\n  \"inside\"\n\t)\t\r\n\"outside\"\n", ([], ["inside"], [])),
     ("rb", "import os", None),
 ]
 
@@ -182,7 +189,7 @@ def test_imports(make_files):
         assert have == want, (ext, text)
     long = extract_imports(files).where("path = 'i0.rs'").orderBy("category", "seq").collect()
     assert [(r.category, r.seq, r.module) for r in long][:3] == [
-        ("external", 1, "clap"), ("external", 2, "serde"), ("external", 3, "clap")]
+        ("external", 1, "tokio"), ("external", 2, "rand"), ("external", 3, "tokio")]
 
 
 @pytest.mark.parametrize("line", ["import " * 120_000 + "'", "export {" * 100_000, "// " + " " * 900_000, "use" + " " * 900_000 + "x", "export type " + "a" * 900_000])
@@ -207,3 +214,13 @@ def test_gates(make_files):
     )
     assert {r.path for r in extract_todos(files).collect()} == {"big.rs", "UPPER.RS"}
     assert {r.path for r in extract_todos(files, max_file_size=100_000).collect()} == {"UPPER.RS"}
+
+
+@pytest.mark.parametrize("size", [1_500_000, 6_000_000])
+def test_large_files_are_read_by_default(make_files, size):
+    from srcatlas.operators import stats
+
+    files = make_files({"large.rs": "//! Large\nuse tokio::task;\n// TODO: here\n" + "x\n" * (size // 2) + "// BUG: last\n"})
+    assert [r.marker for r in extract_todos(files).orderBy("line").collect()] == ["TODO", "BUG"]
+    assert extract_comments(files).first().comment == "Large" and extract_imports(files).first().module == "tokio"
+    assert stats.language_stats(files).first().lines == size // 2 + 4
