@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from srcatlas.functions import text as tx
 from srcatlas.functions.display import import_label, todo_label
 from srcatlas.operators.comments import header_comment
-from srcatlas.operators.corpus import with_text
+from srcatlas.operators.corpus import NAMED, with_text
 from srcatlas.operators.imports import grouped_imports, import_items
 from srcatlas.operators.signatures import signatures_array
 from srcatlas.operators.todos import todos_array
@@ -121,11 +121,13 @@ def import_lines(imports: Column) -> Column:
 
 
 def file_sections(
-    files: DataFrame, sections: Sections = Sections(), extra: list[str] | None = None, **gates: int
+    files: DataFrame, sections: Sections = Sections(), extra: list[str] | None = None, every: bool = False, **gates: int | None
 ) -> DataFrame:
     """(repo, path, comment, signatures, todos, imports, <extra>): wanted sections in one pass.
 
-    Sections that are not wanted are NULL and cost nothing.
+    Sections that are not wanted are NULL and cost nothing. With ``every`` there is a row for every
+    file, also for those without a section, with its size, time and kind; reports then draw the files
+    from these rows instead of joining sections to a listing.
     """
     text, lines, ext = F.col("text"), F.col("lines"), F.col("canon_ext")
     cols: dict[str, Column] = {
@@ -140,15 +142,16 @@ def file_sections(
             "struct<external:array<string>,std:array<string>,internal:array<string>>"
         ),
     }
-    split = with_text(files, **gates).select(
-        "repo", "path", "canon_ext", "text", tx.raw_lines(text).alias("lines")
+    named = NAMED if every else []
+    split = with_text(files, every=every, **gates).select(
+        "repo", "path", *named, "canon_ext", "text", tx.raw_lines(text).alias("lines")
     )
     if sections.imports:
         split = split.select("*", import_items(text, lines, ext).alias("items"))
         cols["imports"] = grouped_imports(F.col("items"), ext)
     for name in extra or []:
         cols[name] = _EXTRACTORS[name](text, lines, ext)
-    return split.select("repo", "path", *[c.alias(n) for n, c in cols.items()])
+    return split.select("repo", "path", *named, *[c.alias(n) for n, c in cols.items()])
 
 
 def extract_with(files: DataFrame, name: str, **gates: int) -> DataFrame:

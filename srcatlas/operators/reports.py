@@ -15,7 +15,7 @@ from srcatlas.functions.display import format_number, format_size
 from srcatlas.functions.text import first_line, trim, wrap_width
 from srcatlas.operators import metadata as md
 from srcatlas.operators.stats import listing_counts
-from srcatlas.operators.tree import continuation_prefix, drawn_nodes, with_last_flag
+from srcatlas.operators.tree import continuation_prefix, directory_frame, end_siblings, in_frame, with_places
 
 REPORT_ORDER = ["repo", "sort_key", "seq"]
 
@@ -39,6 +39,20 @@ def _summary_rows(nodes: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+def _file_rows(nodes: DataFrame, extra: DataFrame | None) -> DataFrame:
+    """File rows with their places, and with the columns of ``extra``, if given.
+
+    Rows from ``file_sections(every=True)`` have a size and are the files of the
+    listing themselves; others are joined to the listed files by path.
+    """
+    is_file = F.col("node_type") == "file"
+    if extra is None:
+        return nodes.where(is_file).drop("node_type")
+    if "size_bytes" in extra.columns:
+        return with_places(extra)
+    return nodes.where(is_file).drop("node_type").join(extra, ["repo", "path"], "left")
+
+
 def text_report(
     nodes: DataFrame,
     lines: DataFrame | None = None,
@@ -51,32 +65,33 @@ def text_report(
 ) -> DataFrame:
     """Drawn tree with metadata and closing counts, one row per printed line.
 
-    ``lines`` comes from ``with_section_lines``. Rows: (repo, path, sort_key,
+    ``lines`` comes from ``with_section_lines``; made with ``every=True`` and
+    narrowed by ``listed_files`` it holds the listed files, and no file is joined to itself. Rows: (repo, path, sort_key,
     seq, text).
     """
-    drawn = drawn_nodes(nodes)
+    frame = directory_frame(nodes)
+    key = _key(F.col("path")).alias("sort_key")
+    dirs = in_frame(nodes.where(F.col("node_type") == "dir"), frame, nodes)
     head = F.concat("prefix", "connector", "name")
+    rows = dirs.select("repo", "path", key, F.lit(0).alias("seq"), head.alias("text"))
+    laid = None if lines is None else _laid_out(lines, full, order, wrap, prefix)
+    files = in_frame(_file_rows(nodes, laid), frame, nodes)
     if show_size:
-        is_file = F.col("node_type") == "file"
         size = F.concat(F.lit("  ["), format_size(F.col("size_bytes")), F.lit("]"))
-        head = F.concat(head, F.when(is_file & size.isNotNull(), size).otherwise(F.lit("")))
-    key = _key(F.col("path")).alias("sort_key")
+        head = F.concat(head, F.coalesce(size, F.lit("")))
     if lines is None:
-        rows = drawn.select("repo", "path", key, F.lit(0).alias("seq"), head.alias("text"))
+        shown = files.select("repo", "path", key, F.lit(0).alias("seq"), head.alias("text"))
     else:
-        laid = _laid_out(lines, full, order, wrap, prefix)
         below = continuation_prefix(F.col("prefix"), F.col("is_last"))
         beside = F.coalesce(F.col("beside"), F.lit(""))
         # The generator takes the expression, not a column: for a column the
         # optimizer would test its size first and work it out twice.
         block = F.transform("block", lambda r: F.concat(F.col("below"), r))
         every = F.concat(F.array("head"), F.coalesce(block, F.array().cast("array<string>")))
-        rows = (
-            drawn.join(laid, ["repo", "path"], "left")
-            .select("repo", "path", key, F.concat(head, beside).alias("head"), below.alias("below"), "block")
-            .select("repo", "path", "sort_key", F.posexplode(every).alias("seq", "text"))
-        )
-    return rows.unionByName(_summary_rows(nodes, "%d directories, %d files"))
+        shown = files.select(
+            "repo", "path", key, F.concat(head, beside).alias("head"), below.alias("below"), "block"
+        ).select("repo", "path", "sort_key", F.posexplode(every).alias("seq", "text"))
+    return rows.unionByName(shown).unionByName(_summary_rows(nodes, "%d directories, %d files"))
 
 
 def _laid_out(lines: DataFrame, full: bool, order: str, wrap: int | None, prefix: str) -> DataFrame:
@@ -96,6 +111,7 @@ def _laid_out(lines: DataFrame, full: bool, order: str, wrap: int | None, prefix
     return laid.select(
         "repo",
         "path",
+        *_size(lines),
         F.concat(F.lit("  "), printed(F.col("inline.indent"), F.col("inline.content"))).alias("beside"),
         F.transform(
             "block", lambda r: F.coalesce(printed(r["indent"], r["text"]), F.lit(""))
@@ -118,29 +134,32 @@ def markdown_report(
         size = F.coalesce(
             F.concat(F.lit(" ("), format_size(F.col("size_bytes")), F.lit(")")), F.lit("")
         )
-    if lines is None:
-        joined = nodes.withColumn("beside", F.lit(None).cast("string")).withColumn(
-            "quote", F.lit(None).cast("array<string>")
-        )
-    else:
-        joined = nodes.join(_quoted(lines, full, order), ["repo", "path"], "left")
+    none = [F.lit(None).cast("string").alias("beside"), F.lit(None).cast("array<string>").alias("quote")]
+    files = _file_rows(nodes, None if lines is None else _quoted(lines, full, order))
+    files = files.select("*", *none) if lines is None else files
     beside = F.coalesce(F.col("beside"), F.lit(""))
     item = F.concat(indent, F.lit("- `"), F.col("name"), F.lit("`"), size, beside)
     folder = F.concat(indent, F.lit("- **"), F.col("name"), F.lit("/**"))
-    head = F.when(F.col("node_type") == "dir", folder).otherwise(item)
+    dirs = nodes.where(F.col("node_type") == "dir").select("*", *none)
+    shown = [
+        rows.select("repo", "path", _key(F.col("path")).alias("sort_key"), head.alias("head"), "quote")
+        for rows, head in ((dirs, folder), (files, item))
+    ]
     rows = F.concat(F.array("head"), F.coalesce("quote", F.array().cast("array<string>")))
-    body = joined.select(
-        "repo", "path", _key(F.col("path")).alias("sort_key"), head.alias("head"), "quote"
-    ).select("repo", "path", "sort_key", F.posexplode(rows).alias("seq", "text"))
+    body = shown[0].unionByName(shown[1]).select("repo", "path", "sort_key", F.posexplode(rows).alias("seq", "text"))
     return body.unionByName(_summary_rows(nodes, "*%d directories, %d files*"))
 
 
+def _size(rows: DataFrame) -> list[str]:
+    return ["size_bytes"] if "size_bytes" in rows.columns else []
+
+
 def _quoted(lines: DataFrame, full: bool, order: str) -> DataFrame:
     """(repo, path, beside, quote): text beside the item and the rows of the quote below it."""
     first = md.first_metadata_line(order)
     beside = F.concat(F.lit(" - "), first_line(first["content"])).alias("beside")
     if not full:
-        return lines.select("repo", "path", beside, F.lit(None).cast("array<string>").alias("quote"))
+        return lines.select("repo", "path", *_size(lines), beside, F.lit(None).cast("array<string>").alias("quote"))
     nested = F.repeat(F.lit("  "), names.path_depth(F.col("path")) + 1)
     rest = F.filter(F.transform(md.rest_lines(order), lambda m: trim(m["content"])), lambda s: s != "")
     quote = F.concat(
@@ -152,8 +171,8 @@ def _quoted(lines: DataFrame, full: bool, order: str) -> DataFrame:
         F.array(F.lit("")),
     )
     return lines.select(
-        "repo", "path", beside, nested.alias("nested"), rest.alias("rest"), md.total_lines().alias("n")
-    ).select("repo", "path", "beside", F.when(F.col("n") > 1, quote).alias("quote"))
+        "repo", "path", *_size(lines), beside, nested.alias("nested"), rest.alias("rest"), md.total_lines().alias("n")
+    ).select("repo", "path", *_size(lines), "beside", F.when(F.col("n") > 1, quote).alias("quote"))
 
 
 def _node_fields(with_size: bool) -> list[Column]:
@@ -187,8 +206,8 @@ def _none_if_empty(items: Column) -> Column:
 
 def json_records(nodes: DataFrame, sections: DataFrame, show_size: bool = False) -> DataFrame:
     """(repo, path, json): one object per file; absent fields are left out."""
-    joined = nodes.where(F.col("node_type") == "file").join(sections, ["repo", "path"], "left")
-    return joined.select("repo", "path", F.to_json(F.struct(*_node_fields(show_size))).alias("json"))
+    rows = _file_rows(nodes, sections)
+    return rows.select("repo", "path", F.to_json(F.struct(*_node_fields(show_size))).alias("json"))
 
 
 def json_tree(nodes: DataFrame, sections: DataFrame, show_size: bool = False) -> DataFrame:
@@ -198,20 +217,19 @@ def json_tree(nodes: DataFrame, sections: DataFrame, show_size: bool = False) ->
     its entries; an entry that is not the first of its siblings starts with a
     comma. In order, the rows of a repository are one JSON document.
     """
-    flagged = with_last_flag(nodes, first=True)
+    frame = end_siblings(nodes).withColumn("prefix", F.lit(""))
     comma = F.when((F.col("depth") > 0) & ~F.col("is_first"), F.lit(",")).otherwise(F.lit(""))
-    is_dir = F.col("node_type") == "dir"
     opening = F.to_json(F.struct(F.lit("dir").alias("type"), F.col("name"), F.col("path")))
     opened = F.concat(
         comma, F.left(opening, F.length(opening) - 1), F.lit(',"children":[')
     )
-    dirs = flagged.where(is_dir)
+    dirs = in_frame(nodes.where(F.col("node_type") == "dir"), frame, nodes)
     ends = F.array(
         F.struct(_key(F.col("path")).alias("sort_key"), opened.alias("text")),
         F.struct(_key(F.col("path"), 1).alias("sort_key"), F.lit("]}").alias("text")),
     )
     dir_rows = dirs.select("repo", "path", F.explode(ends).alias("e")).select("repo", "path", "e.*")
-    files = flagged.where(~is_dir).join(sections, ["repo", "path"], "left")
+    files = in_frame(_file_rows(nodes, sections), frame, nodes)
     record = F.to_json(F.struct(*_node_fields(show_size)))
     file_rows = files.select(
         "repo", "path", _key(F.col("path")).alias("sort_key"), F.concat(comma, record).alias("text")

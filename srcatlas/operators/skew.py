@@ -24,23 +24,20 @@ def spread_join(
     on: Sequence[str],
     salt_by: Sequence[str],
     how: str = "left",
-    key_bound: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a lookup table when some keys may hold a large share of the rows.
 
     Keys with more rows than the limit are counted first, with map-side
     partial counts. There are at most (rows / limit) of them, which bounds the
     broadcast. Their rows are dealt over several salts and their lookup rows
-    are copied once per salt; every other key keeps the single salt 0. When no
-    key can have more than ``key_bound`` rows and that is within the limit, a
-    plain join is enough.
+    are copied once per salt; every other key keeps the single salt 0.
+    ``counted`` may name a lighter table with the same keys to count instead.
     """
     limit = hot_key_rows(rows)
-    if key_bound is not None and key_bound <= limit:
-        return rows.join(lookup, list(on), how)
     keys = list(on)
     hot = (
-        rows.groupBy(*keys)
+        (rows if counted is None else counted).groupBy(*keys)
         .count()
         .where(F.col("count") > limit)
         .select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("__salts"))

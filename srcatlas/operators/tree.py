@@ -12,7 +12,6 @@ from srcatlas.functions import names
 from srcatlas.operators import filters, ignore
 from srcatlas.operators.skew import number_rows, spread_join
 from srcatlas.operators.stats import directories
-from srcatlas.session import materialize
 
 # Branch glyphs.
 BRANCH_OPEN = "│   "
@@ -21,7 +20,18 @@ CONNECTOR = "├── "
 LAST_CONNECTOR = "└── "
 
 
-def list_nodes(
+PLAIN_COLUMNS = ["repo", "path", "size_bytes", "mtime", "is_symlink", "is_dir"]
+
+
+def _listable(files: DataFrame, ignore_names: Sequence[str]) -> DataFrame:
+    """Entries but links, ``.git`` and those left out by name."""
+    path = F.col("path")
+    return files.where(
+        filters.not_symlink(F.col("is_symlink")) & filters.outside_git_dir(path) & filters.not_ignored_by_name(path, ignore_names)
+    )
+
+
+def listed_files(
     files: DataFrame,
     *,
     rules: DataFrame | None = None,
@@ -31,36 +41,22 @@ def list_nodes(
     newer: dt.datetime | str | None = None,
     older: dt.datetime | str | None = None,
     max_depth: int | None = None,
-    dirs_only: bool = False,
-    rules_hide_dirs: bool = False,
     with_todos: DataFrame | None = None,
 ) -> DataFrame:
-    """Nodes of the listing: (repo, path, parent, name, depth, node_type, size_bytes).
+    """The rows of ``files``, with all columns, that a listing with these wishes shows.
 
-    Links and ``.git`` are never listed. Directories stay when they pass the
-    rules or lead to a file that does, even if time or task filters empty them;
-    ``dirs_only`` lists directories whatever the rules say unless
-    ``rules_hide_dirs`` is set. ``with_todos`` keeps files found in that table.
-    ``show_all`` skips the rules and the tracked set.
+    ``files`` may carry more than the files table does, such as sections; only
+    names are compared with rules and tracked paths.
     """
     path = F.col("path")
-    plain_columns = ["repo", "path", "size_bytes", "mtime", "is_dir"]
-    base = files.where(
-        filters.not_symlink(F.col("is_symlink"))
-        & filters.outside_git_dir(path)
-        & filters.not_ignored_by_name(path, ignore_names)
-    )
-    plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False))).select(*plain_columns)
-    dirs = directories(base)
+    base = _listable(files, ignore_names)
+    plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False)))
     if not show_all and rules is not None:
-        # Names, sizes and times only.
-        plain, kept_dirs = ignore.included(base.select(*plain_columns), rules)
-        if not dirs_only or rules_hide_dirs:
-            dirs = ignore.included_dirs(plain, kept_dirs).where(path != "")
+        passed, _ = ignore.included(base.select(*PLAIN_COLUMNS), rules)
+        narrow = set(files.columns) <= set(PLAIN_COLUMNS)
+        plain = passed.select(*files.columns) if narrow else plain.join(passed.select("repo", "path"), ["repo", "path"], "left_semi")
     elif not show_all and tracked is not None:
         plain = ignore.tracked_files(plain, tracked)
-        if not dirs_only or rules_hide_dirs:
-            dirs = ignore.tracked_dirs(dirs, tracked)
     if newer is not None:
         plain = plain.where(filters.newer_than(F.col("mtime"), newer))
     if older is not None:
@@ -69,22 +65,64 @@ def list_nodes(
         plain = plain.join(with_todos.select("repo", "path"), ["repo", "path"], "left_semi")
     if max_depth is not None:
         plain = plain.where(filters.within_depth(path, max_depth))
+    return plain
+
+
+def list_nodes(
+    files: DataFrame,
+    *,
+    rules: DataFrame | None = None,
+    tracked: DataFrame | None = None,
+    show_all: bool = False,
+    ignore_names: Sequence[str] = (),
+    newer: dt.datetime | str | None = None,
+    older: dt.datetime | str | None = None,
+    max_depth: int | None = None,
+    dirs_only: bool = False,
+    rules_hide_dirs: bool = False,
+    with_todos: DataFrame | None = None,
+) -> DataFrame:
+    """Nodes of the listing: (repo, path, parent, name, depth, node_type, size_bytes).
+
+    Links and ``.git`` are never listed. Directories stay when they pass the
+    rules or lead to a file that does, even if time or task filters empty them;
+    ``dirs_only`` lists directories whatever the rules say unless
+    ``rules_hide_dirs`` is set. ``with_todos`` keeps files found in that table.
+    ``show_all`` skips the rules and the tracked set.
+    """
+    path = F.col("path")
+    names_only = files.select(*PLAIN_COLUMNS)
+    base = _listable(names_only, ignore_names)
+    dirs = directories(base)
+    hide = not show_all and (not dirs_only or rules_hide_dirs)
+    if hide and rules is not None:
+        dirs = ignore.included_dirs(*ignore.included(base, rules)).where(path != "")
+    elif hide and tracked is not None:
+        dirs = ignore.tracked_dirs(dirs, tracked)
+    if max_depth is not None:
         dirs = dirs.where(filters.within_depth(path, max_depth))
     no_size = F.lit(None).cast("bigint").alias("size_bytes")
     roots = files.select("repo").distinct().select("repo", F.lit("").alias("path"))
     nodes = roots.unionByName(dirs).select("repo", "path", F.lit("dir").alias("node_type"), no_size)
     if not dirs_only:
-        nodes = nodes.unionByName(
-            plain.select("repo", "path", F.lit("file").alias("node_type"), "size_bytes")
-        )
-    return nodes.select(
+        plain = listed_files(
+            names_only, rules=rules, tracked=tracked, show_all=show_all, ignore_names=ignore_names, newer=newer, older=older,
+            max_depth=max_depth, with_todos=with_todos,
+        )
+        nodes = nodes.unionByName(plain.select("repo", "path", F.lit("file").alias("node_type"), "size_bytes"))
+    return with_places(nodes)
+
+
+def with_places(rows: DataFrame) -> DataFrame:
+    """Add ``parent``, ``name`` and ``depth``."""
+    path = F.col("path")
+    return rows.select(
         "repo",
         "path",
         names.parent_path(path).alias("parent"),
         names.base_name(path).alias("name"),
         names.path_depth(path).alias("depth"),
-        "node_type",
-        "size_bytes",
+        *[c for c in rows.columns if c not in ("repo", "path")],
     )
 
 
@@ -129,41 +167,53 @@ def with_preorder(nodes: DataFrame) -> DataFrame:
     return number_rows(nodes, ["repo"], [names.sort_key(F.col("path"))], "preorder")
 
 
-def drawn_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``is_last``, ``prefix`` and ``connector``, from one written copy.
-
-    Drawing uses the nodes several times and their directories twice as often.
-    """
-    flagged = materialize(with_last_flag(materialize(nodes, "nodes")), "flagged")
-    return with_branch_prefix(flagged, flagged.count())
-
-
-def with_branch_prefix(flagged: DataFrame, key_bound: int | None = None) -> DataFrame:
-    """Add the ``prefix`` and ``connector`` of each row of the drawn tree.
+def directory_frame(nodes: DataFrame) -> DataFrame:
+    """(repo, parent, first, last, prefix): what the entries of a directory need to be drawn.
 
-    The prefix of a directory's entries is put together once per directory
-    from the flags of the directories on its path, then handed to the entries.
-    ``key_bound`` is the number of nodes, where it is known.
+    The prefix is put together once per directory from the last flags of the
+    directories on its path.
     """
     path = F.col("path")
-    dirs = flagged.where((F.col("node_type") == "dir") & (F.col("depth") > 0))
-    chains = dirs.select(
+    ends = end_siblings(nodes)
+    dirs = nodes.where((F.col("node_type") == "dir") & (F.col("depth") > 0))
+    closed = dirs.join(ends, ["repo", "parent"]).select("repo", "path", (F.col("name") == F.col("last")).alias("closed"))
+    chains = closed.select(
         "repo", "path", F.posexplode(F.concat(names.ancestors(path, False), F.array(path))).alias("pos", "up")
     )
-    flags = dirs.select("repo", F.col("path").alias("up"), F.col("is_last").alias("closed"))
     glyph = F.when(F.col("closed"), F.lit(BRANCH_CLOSED)).otherwise(F.lit(BRANCH_OPEN))
     # One list entry per directory level of one path.
     below = (
-        spread_join(chains, flags, ["repo", "up"], ["path"], "inner", key_bound)
+        chains.join(closed.select("repo", F.col("path").alias("up"), "closed"), ["repo", "up"])
         .groupBy("repo", F.col("path").alias("parent"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", glyph.alias("g")))).alias("gs"))
         .select("repo", "parent", F.array_join(F.transform("gs", lambda x: x["g"]), "").alias("prefix"))
     )
-    drawn = spread_join(flagged, below, ["repo", "parent"], ["path"], "left", key_bound)
-    connector = F.when(F.col("is_last"), F.lit(LAST_CONNECTOR)).otherwise(F.lit(CONNECTOR))
-    return drawn.withColumn("prefix", F.coalesce("prefix", F.lit(""))).withColumn(
-        "connector", F.when(F.col("depth") > 0, connector).otherwise(F.lit(""))
-    )
+    return ends.join(below, ["repo", "parent"], "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
+
+
+def in_frame(rows: DataFrame, frame: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add ``is_first``, ``is_last``, ``prefix`` and ``connector`` to rows with a parent, a name and a depth.
+
+    One join, on the parent; a directory with very many entries is counted
+    among the ``nodes`` and dealt over several tasks.
+    """
+    below = F.col("depth") > 0
+    placed = spread_join(rows, frame, ["repo", "parent"], ["path"], "left", nodes.where(below))
+    is_last = below & F.coalesce(F.col("name") == F.col("last"), F.lit(False))
+    connector = F.when(~below, F.lit("")).when(is_last, F.lit(LAST_CONNECTOR)).otherwise(F.lit(CONNECTOR))
+    return placed.withColumns(
+        {
+            "is_first": below & F.coalesce(F.col("name") == F.col("first"), F.lit(False)),
+            "is_last": is_last,
+            "prefix": F.coalesce("prefix", F.lit("")),
+            "connector": connector,
+        }
+    ).drop("first", "last")
+
+
+def drawn_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``is_first``, ``is_last``, ``prefix`` and ``connector``."""
+    return in_frame(nodes, directory_frame(nodes), nodes)
 
 
 def continuation_prefix(prefix: Column, is_last: Column) -> Column:

@@ -466,18 +466,22 @@ def listing_counts(spark, sf_dir):
     return stats.listing_counts(tree.list_nodes(repository_files(spark, sf_dir)))
 
 
+def _listed_sections(files: DataFrame, sections: md.Sections = md.Sections()) -> DataFrame:
+    """The listed files with their sections."""
+    return tree.listed_files(md.file_sections(files, sections, every=True))
+
+
 @query
 def text_report(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    lines = md.with_section_lines(md.file_sections(files))
-    rows = reports.text_report(tree.list_nodes(files), lines, show_size=True)
+    rows = reports.text_report(tree.list_nodes(files), md.with_section_lines(_listed_sections(files)), show_size=True)
     return rows.select("repo", "path", "seq", "text")
 
 
 @query
 def text_report_full(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    lines = md.with_section_lines(md.file_sections(files, ALL_SECTIONS))
+    lines = md.with_section_lines(_listed_sections(files, ALL_SECTIONS))
     rows = reports.text_report(tree.list_nodes(files), lines, full=True, wrap=80, prefix="# ")
     return rows.select("repo", "path", "seq", "text")
 
@@ -485,15 +489,14 @@ def text_report_full(spark, sf_dir):
 @query
 def markdown_report(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    lines = md.with_section_lines(md.file_sections(files))
-    rows = reports.markdown_report(tree.list_nodes(files), lines, show_size=True)
+    rows = reports.markdown_report(tree.list_nodes(files), md.with_section_lines(_listed_sections(files)), show_size=True)
     return rows.select("repo", "path", "seq", "text")
 
 
 @query
 def markdown_report_full(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    lines = md.with_section_lines(md.file_sections(files, ALL_SECTIONS))
+    lines = md.with_section_lines(_listed_sections(files, ALL_SECTIONS))
     rows = reports.markdown_report(tree.list_nodes(files), lines, full=True)
     return rows.select("repo", "path", "seq", "text")
 
@@ -501,13 +504,13 @@ def markdown_report_full(spark, sf_dir):
 @query
 def json_records(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    return reports.json_records(tree.list_nodes(files), md.file_sections(files, ALL_SECTIONS), show_size=True)
+    return reports.json_records(tree.list_nodes(files), _listed_sections(files, ALL_SECTIONS), show_size=True)
 
 
 @query
 def json_tree(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    rows = reports.json_tree(tree.list_nodes(files), md.file_sections(files))
+    rows = reports.json_tree(tree.list_nodes(files), _listed_sections(files))
     return rows.select("repo", "path", F.size("sort_key").alias("level"), "text")
 
 
