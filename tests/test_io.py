@@ -137,3 +137,28 @@ def test_shared_folder_comes_from_the_session(spark, monkeypatch):
     own = shared_folder(spark)
     assert own == shared_folder(spark) != spark.conf.get("spark.checkpoint.dir") and os.path.isdir(own)
     assert session.materialize(spark.range(3), "own").count() == 3
+
+
+def test_scan_of_addresses_and_errors(spark, folder):
+    import pandas as pd
+
+    roots = spark.createDataFrame([("r", folder.as_uri())], "repo string, root string")
+    found = {r.path: r for r in dirscan.scan_with_errors(roots).collect()}
+    assert bytes(found["main.rs"].content) == b"//! Main\n// TODO: one\n" and found["link.rs"].is_symlink
+    assert {r.error for r in found.values()} == {None}
+    missing = spark.createDataFrame([("r", str(folder / "nowhere"))], "repo string, root string")
+    with pytest.raises(Exception, match="can't be listed"):
+        dirscan.list_entries(missing).count()
+    gone = pd.DataFrame({"repo": ["r"], "root": [str(folder)], "path": ["lost"], "size_bytes": [1]})
+    listed = next(dirscan._list_directories(iter([gone])))
+    assert listed["path"].tolist() == ["lost"] and "lost" in listed["error"][0] and listed["is_dir"][0] is None
+    read = next(dirscan._read_contents(iter([gone])))
+    assert read["content"].tolist() == [None] and "lost" in read["error"].iloc[0]
+
+
+def test_written_files_are_found_again(spark, make_files, tmp_path):
+    files = make_files([("a", "x/y.rs", "//! One\n"), ("b", "z 日本.py", b"\xff\n"), ("b", "empty", "")])
+    assert writers.write_files(files, str(tmp_path / "out")) == 3
+    roots = spark.createDataFrame([(r, str(tmp_path / "out" / r)) for r in "ab"], "repo string, root string")
+    back = {(r.repo, r.path): bytes(r.content) for r in dirscan.scan_dirs(roots).where("not is_dir").collect()}
+    assert back == {("a", "x/y.rs"): b"//! One\n", ("b", "z 日本.py"): b"\xff\n", ("b", "empty"): b""}

@@ -97,3 +97,55 @@ def test_large_rule_tables_are_not_broadcast_by_hint(corpus):
 
 def test_top_files_take_ordered(corpus):
     assert "TakeOrderedAndProject" in plan(stats.top_files(corpus.select("repo", "path", "size_bytes"), "size_bytes", 5))
+
+
+def jobs_while(spark, build):
+    """Jobs that ran while something was built."""
+    context = spark.sparkContext
+    group = f"build-{build.__name__}"
+    context.setJobGroup(group, "building")
+    try:
+        build()
+        return len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_listings_and_reports_are_built_without_jobs(spark, corpus):
+    from srcatlas.operators import ignore, reports
+
+    rules = ignore.read_ignore_rules(corpus)
+
+    def listing():
+        return tree.list_nodes(corpus, rules=rules, max_depth=2)
+
+    def report():
+        lines = md.with_section_lines(tree.listed_files(md.file_sections(corpus, EVERY, every=True), rules=rules))
+        return reports.text_report(listing(), lines, full=True)
+
+    def drawing():
+        return tree.drawn_nodes(listing())
+
+    assert [jobs_while(spark, b) for b in (listing, report, drawing)] == [0, 0, 0]
+
+
+def test_reports_read_contents_once_and_join_no_file_with_itself(spark, corpus):
+    from srcatlas.operators import reports
+
+    nodes = tree.list_nodes(corpus)
+    sections = tree.listed_files(md.file_sections(corpus, EVERY, every=True))
+    lines = md.with_section_lines(sections)
+    for df in (reports.text_report(nodes, lines, full=True), reports.markdown_report(nodes, lines, full=True),
+               reports.json_records(nodes, sections), reports.json_tree(nodes, sections)):
+        assert sum("content" in schema for schema in re.findall(r"ReadSchema: (\S+)", formatted(spark, df))) == 1
+    assert "Join" not in plan(reports.json_records(nodes, sections))
+    assert "Exchange" not in plan(reports.json_records(nodes, sections))
+
+
+def test_files_never_meet_rules_once_per_level(spark, corpus):
+    from srcatlas.operators import ignore
+
+    rules = ignore.read_ignore_rules(corpus)
+    plain, _ = ignore.included(corpus.select(*tree.PLAIN_COLUMNS), rules)
+    # Ancestors are spelled out for directories only: file rows keep their number up to the join.
+    assert "size_bytes" not in "".join(re.findall(r"Generate[^\n]*", plan(plain)))

@@ -59,3 +59,27 @@ def test_derived_corpus_is_made_again_when_cleared(spark, monkeypatch):
     first = bridge.code_files(spark, SF_DIR).count()
     monkeypatch.setattr(bridge, "_WRITTEN", {k: v + "-gone" for k, v in bridge._WRITTEN.items()})
     assert bridge.code_files(spark, SF_DIR).count() == first
+
+
+def test_derived_files_hold_every_word(spark):
+    from pyspark.sql import functions as F
+
+    from srcatlas.plans import bridge
+
+    assert all("$x" in pattern for family in bridge.LINE_PATTERNS for pattern in bridge.whole(family))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60).collect()}
+    files = bridge.code_files(spark, SF_DIR).withColumn("doc_id", F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint"))
+    for row in files.where(F.col("doc_id").isin(list(docs))).collect():
+        text = row.content.decode()
+        words = set(docs[row.doc_id].replace(".", " ").split())
+        assert all(w in text for w in words)
+
+
+def test_streams_run_in_batches(spark, tmp_path):
+    from srcatlas.plans.catalog import _document_stream
+    from srcatlas.streaming import jobs
+
+    out = str(tmp_path / "todos")
+    stream = jobs.start_extraction(_document_stream(spark, SF_DIR), "todos", out, out + "-progress")
+    stream.awaitTermination()
+    assert len({p["batchId"] for p in stream.recentProgress if p["numInputRows"]}) >= 2
