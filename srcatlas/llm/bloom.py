@@ -77,3 +77,20 @@ def build(hashes: DataFrame, column: str) -> Bloom:
     for row in parts.toLocalIterator():
         out[row.block] |= np.frombuffer(row.data, np.uint8)
     return Bloom(out.ravel())
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be among that of ``keys``, with all columns; filtered where they are read.
+
+    A join of what is left then moves few foreign rows.
+    """
+    hashed = build(keys.select(F.xxhash64(column).alias("hash")), "hash")
+    sent = rows.sparkSession.sparkContext.broadcast(hashed)
+    marked = rows.select(F.xxhash64(column).alias("__hash"), *rows.columns)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            keep = sent.value.holds(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(keep))
+
+    return map_batches(marked, run, marked.schema).drop("__hash")

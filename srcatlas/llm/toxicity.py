@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from srcatlas.llm import bloom
 from srcatlas.llm.common import Batches, id_field, map_batches, two_columns
 from srcatlas.llm.features import Words, code_points, groups, letters, mix, smallest
 
@@ -111,29 +112,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -50, 50)))
 
 
-def _counts(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Texts with each feature, for positive and unlabelled rows (columns id, text, positive)."""
-    schema = StructType([StructField("feature", IntegerType()), StructField("p", LongType()), StructField("u", LongType())])
+def _counts(texts: DataFrame, among: np.ndarray) -> np.ndarray:
+    """Texts (columns id, text) with each feature, for those that ``among`` holds."""
+    schema = StructType([StructField("feature", IntegerType()), StructField("n", LongType())])
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(among))
 
     def run(batches: Batches) -> Batches:
-        both = np.zeros((2, 1 << FEATURE_BITS), np.int64)
+        total = np.zeros(1 << FEATURE_BITS, np.int64)
         for batch in batches:
-            for at, part in groups(batch.column(1).to_pylist()):
-                positive = batch.column(2).slice(at, len(part)).to_numpy(zero_copy_only=False).astype(np.int64)
-                owner, feature = text_features(part)
-                row = 1 - positive[owner]
-                np.add(both, np.bincount(row * both.shape[1] + feature, minlength=both.size).reshape(both.shape), out=both)
-        some = np.flatnonzero(both.any(axis=0))
+            for _, part in groups(batch.column(1).to_pylist()):
+                total += np.bincount(text_features(part)[1], minlength=len(total))
+        some = np.flatnonzero((total > 0) & np.unpackbits(sent.value).astype(bool))
         for at in range(0, len(some), 50_000):
             part = some[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(both[0, part]), pa.array(both[1, part])], names=schema.names
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=schema.names)
 
-    # Only what positive texts hold can be evidence; at most 2^FEATURE_BITS rows.
-    counted = map_batches(rows, run, schema).groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p > 1")
-    table = counted.toPandas()
-    return {c: table[c].to_numpy() for c in table.columns}
+    # At most 2^FEATURE_BITS rows.
+    table = map_batches(texts, run, schema).groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << FEATURE_BITS, np.int64)
+    out[table["feature"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    return out
 
 
 def fit(
@@ -153,24 +151,25 @@ def fit(
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     texts = two_columns(docs, id_col, text_col).where(learn)
-    rows = texts.join(known, "id", "left").select("id", "text", F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive"), F.col("label").isNotNull().alias("known"))
-    keys = two_columns(docs, id_col, text_col).select("id").where(learn).join(known, "id", "left")
-    total, labelled, toxic = keys.agg(F.count("*"), F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    keys = texts.select("id").join(known, "id", "left").select("id", "label", F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive"))
+    total, labelled, toxic = keys.agg(F.count("*"), F.count("label"), F.count_if("positive")).first()
     model = Model(np.zeros(1 << FEATURE_BITS))
     if not toxic:
         return model
     if prior is None:
         share = toxic / labelled
         prior = min(0.9, max(share * (total - labelled) / max(1, total - toxic), 0.001))
-    found = _counts(rows.select("id", "text", "positive"))
-    p, u = found["p"] / toxic, found["u"] / max(1, total - toxic)
+    confirmed = known.where("label = 1").select("id")
+    p = _counts(bloom.narrowed(texts, confirmed, "id").join(confirmed, "id", "left_semi"), np.ones(1 << FEATURE_BITS, bool))
+    # Only what two positive texts hold can be evidence.
+    again = p > 1
+    u = _counts(texts, again) - p
+    p, u = p / toxic, u / max(1, total - toxic)
     negative = np.maximum(0, (u - prior * p) / (1 - prior))
     floor = SMOOTHING / toxic
-    model.evidence[found["feature"]] = np.log((p + floor) / (negative + floor))
-    chosen = smallest(
-        keys.select("id", F.coalesce(F.col("label") == 1, F.lit(False)).alias("chosen")).where("id IS NOT NULL"), "id", "chosen", max(POSITIVES, UNLABELLED)
-    )
-    sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "positive")
+    model.evidence[:] = np.where(again, np.log((p + floor) / (negative + floor)), 0)
+    chosen = smallest(keys.where("id IS NOT NULL"), "id", "positive", max(POSITIVES, UNLABELLED))
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "positive")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([StructField("positive", IntegerType()), StructField("x", ArrayType(DoubleType()))])
 
