@@ -31,7 +31,7 @@ from srcatlas.llm.common import Batches, id_field, map_batches, two_columns
 from srcatlas.llm.pretokens import Splitter
 
 #: Encoded words, and pairs of tokens, that a worker keeps beyond a batch; others are found anew when needed.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 250_000
 KEPT_PAIRS = 1_000_000
 PAIR_PLACES = 1 << 21
 #: Longer words are encoded anew each time.
@@ -40,6 +40,12 @@ KEPT_WORD_CHARS = 64
 COLUMN_BYTES = 32
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Lines of base64 token and rank."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Vocabulary:
     """Ranks of byte strings and what follows from them."""
 
@@ -80,9 +86,7 @@ class Vocabulary:
 
     @staticmethod
     def from_file(path: str) -> Vocabulary:
-        """Read lines of base64 token and rank."""
-        with open(path, "rb") as lines:
-            return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+        return Vocabulary(read_ranks(path))
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -300,7 +304,6 @@ class Codec:
         self.splitter = Splitter(pattern)
         self.words: dict[str, bytes] = {}
         self.decimals = {rank: str(rank).encode() for rank in vocabulary.tokens}
-        self.by_decimal = {self.decimals[rank]: token for rank, token in vocabulary.tokens.items()}
 
     def _encode_parts(self, texts: list[str]) -> list[bytes]:
         split = [self.splitter.find(text) for text in texts]
@@ -327,9 +330,16 @@ class Codec:
                 del known[word]
         return out
 
+
+class Decoder:
+    """Ids in decimal to bytes; holds the tokens and nothing else."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {str(rank).encode(): token for token, rank in ranks.items()}
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids in decimal."""
-        return b"".join(map(self.by_decimal.__getitem__, ids.split()))
+        return b"".join(map(self.tokens.__getitem__, ids.split()))
 
 
 @lru_cache(maxsize=2)
@@ -338,6 +348,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(Vocabulary.from_file(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """One decoder per worker and vocabulary."""
+    return Decoder(read_ranks(path))
+
+
 def encode(
     docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -357,9 +373,7 @@ def encode(
     return map_batches(two_columns(docs, id_col, text_col), run, schema)
 
 
-def decode(
-    encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", ids_col: str = "ids"
-) -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The columns of ``encoded`` that ``encode`` made, and ``decoded``, the bytes of the ids."""
     schema = StructType(
         [
@@ -371,7 +385,7 @@ def decode(
     )
 
     def run(batches: Batches) -> Batches:
-        own = codec(path, pattern)
+        own = decoder(path)
         for batch in batches:
             plain = batch.column(1).cast(pa.binary()).to_pylist()
             data = pa.array([own.decode(ids or b"") for ids in plain], pa.binary())
