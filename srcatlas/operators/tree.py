@@ -48,7 +48,6 @@ def listed_files(
     ``files`` may carry more than the files table does, such as sections; only
     names are compared with rules and tracked paths.
     """
-    path = F.col("path")
     base = _listable(files, ignore_names)
     plain = base.where(~F.coalesce(F.col("is_dir"), F.lit(False)))
     if not show_all and rules is not None:
@@ -57,6 +56,12 @@ def listed_files(
         plain = passed.select(*files.columns) if narrow else plain.join(passed.select("repo", "path"), ["repo", "path"], "left_semi")
     elif not show_all and tracked is not None:
         plain = ignore.tracked_files(plain, tracked)
+    return _narrowed(plain, newer, older, max_depth, with_todos)
+
+
+def _narrowed(
+    plain: DataFrame, newer: dt.datetime | str | None, older: dt.datetime | str | None, max_depth: int | None, with_todos: DataFrame | None
+) -> DataFrame:
     if newer is not None:
         plain = plain.where(filters.newer_than(F.col("mtime"), newer))
     if older is not None:
@@ -64,7 +69,7 @@ def listed_files(
     if with_todos is not None:
         plain = plain.join(with_todos.select("repo", "path"), ["repo", "path"], "left_semi")
     if max_depth is not None:
-        plain = plain.where(filters.within_depth(path, max_depth))
+        plain = plain.where(filters.within_depth(F.col("path"), max_depth))
     return plain
 
 
@@ -93,22 +98,21 @@ def list_nodes(
     path = F.col("path")
     names_only = files.select(*PLAIN_COLUMNS)
     base = _listable(names_only, ignore_names)
-    dirs = directories(base)
-    hide = not show_all and (not dirs_only or rules_hide_dirs)
-    if hide and rules is not None:
-        dirs = ignore.included_dirs(*ignore.included(base, rules)).where(path != "")
-    elif hide and tracked is not None:
-        dirs = ignore.tracked_dirs(dirs, tracked)
+    plain, dirs = base.where(~F.coalesce(F.col("is_dir"), F.lit(False))), directories(base)
+    hide = not dirs_only or rules_hide_dirs
+    if not show_all and rules is not None:
+        plain, kept_dirs = ignore.included(base, rules)
+        dirs = ignore.included_dirs(plain, kept_dirs).where(path != "") if hide else dirs
+    elif not show_all and tracked is not None:
+        plain = ignore.tracked_files(plain, tracked)
+        dirs = ignore.tracked_dirs(dirs, tracked) if hide else dirs
     if max_depth is not None:
         dirs = dirs.where(filters.within_depth(path, max_depth))
     no_size = F.lit(None).cast("bigint").alias("size_bytes")
     roots = files.select("repo").distinct().select("repo", F.lit("").alias("path"))
     nodes = roots.unionByName(dirs).select("repo", "path", F.lit("dir").alias("node_type"), no_size)
     if not dirs_only:
-        plain = listed_files(
-            names_only, rules=rules, tracked=tracked, show_all=show_all, ignore_names=ignore_names, newer=newer, older=older,
-            max_depth=max_depth, with_todos=with_todos,
-        )
+        plain = _narrowed(plain, newer, older, max_depth, with_todos)
         nodes = nodes.unionByName(plain.select("repo", "path", F.lit("file").alias("node_type"), "size_bytes"))
     return with_places(nodes)
 
