@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from srcatlas.llm.common import Batches, id_field, map_batches, two_columns
 from srcatlas.llm.features import Words, code_points, groups, mix, smallest
@@ -198,10 +198,10 @@ class Scorer:
     """Linear scorer of hashed features."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
+        """Fit to rows of features, with a last column of ones, and to their probabilities."""
         self.weights = np.zeros(FEATURES + 1)
         if not len(x):
             return
-        x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
         # Both labels weigh the same, however rare bad texts are.
         weight = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
         first, second = np.zeros_like(self.weights), np.zeros_like(self.weights)
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     model = LabelModel(table["pattern"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
     keys = texts.select("id", F.lit(0).alias("one")).where("id IS NOT NULL")
     chosen = smallest(keys, "id", "one", FITTED_ROWS).select("id")
-    schema = StructType([StructField("y", DoubleType()), StructField("x", ArrayType(FloatType()))])
+    schema = StructType([StructField("y", DoubleType()), StructField("x", BinaryType())])
 
     def describe(batches: Batches) -> Batches:
         for batch in batches:
@@ -241,17 +241,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
                 cast, found = votes(part)
                 some = np.flatnonzero((cast != NONE).any(axis=1))
                 x, y = vectors(part, found)[some], model.posterior(_pattern(cast))[some]
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(y), flat], names=schema.names)
-
-    found = map_batches(texts.join(F.broadcast(chosen), "id").select("id", "text"), describe, schema).limit(FITTED_ROWS)
-    x, y = [], []
-    for row in found.toLocalIterator():
-        x.append(np.array(row.x, np.float32))
-        y.append(row.y)
-    order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes()))
-    matrix = np.stack([x[i] for i in order]) if x else np.zeros((0, FEATURES), np.float32)
-    return model, Scorer(matrix, np.array([y[i] for i in order]))
+                packed = pa.array([row.astype(np.float16).tobytes() for row in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(y), packed], names=schema.names)
+
+    # Two bytes a feature: at most 32 MB.
+    found = map_batches(texts.join(F.broadcast(chosen), "id").select("id", "text"), describe, schema).limit(FITTED_ROWS).collect()
+    found = sorted((row.y, bytes(row.x)) for row in found)
+    matrix = np.zeros((len(found), FEATURES + 1), np.float32)
+    matrix[:, FEATURES] = 1
+    for i, (_, x) in enumerate(found):
+        matrix[i, :FEATURES] = np.frombuffer(x, np.float16)
+    return model, Scorer(matrix, np.array([y for y, _ in found]))
 
 
 def score(docs: DataFrame, model: tuple[LabelModel, Scorer], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
