@@ -185,11 +185,6 @@ def with_ancestor_dirs(paths: DataFrame) -> DataFrame:
     return parents.unionByName(up).distinct()
 
 
-def included_dirs(plain: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Directories that pass the rules, and those above files that pass (as ``included`` gives both)."""
-    return dirs.select("repo", "path").unionByName(with_ancestor_dirs(plain)).distinct()
-
-
 def tracked_paths(index: DataFrame, status: DataFrame) -> DataFrame:
     """Index paths and paths with a status that is neither new nor ignored."""
     changed = status.where(~F.col("is_new") & ~F.col("is_ignored")).select("repo", "path")

@@ -71,11 +71,11 @@ def text_report(
     """
     frame = directory_frame(nodes)
     key = _key(F.col("path")).alias("sort_key")
-    dirs = in_frame(nodes.where(F.col("node_type") == "dir"), frame, nodes)
+    dirs = in_frame(nodes.where(F.col("node_type") == "dir"), frame)
     head = F.concat("prefix", "connector", "name")
     rows = dirs.select("repo", "path", key, F.lit(0).alias("seq"), head.alias("text"))
     laid = None if lines is None else _laid_out(lines, full, order, wrap, prefix)
-    files = in_frame(_file_rows(nodes, laid), frame, nodes)
+    files = in_frame(_file_rows(nodes, laid), frame)
     if show_size:
         size = F.concat(F.lit("  ["), format_size(F.col("size_bytes")), F.lit("]"))
         head = F.concat(head, F.coalesce(size, F.lit("")))
@@ -223,13 +223,13 @@ def json_tree(nodes: DataFrame, sections: DataFrame, show_size: bool = False) ->
     opened = F.concat(
         comma, F.left(opening, F.length(opening) - 1), F.lit(',"children":[')
     )
-    dirs = in_frame(nodes.where(F.col("node_type") == "dir"), frame, nodes)
+    dirs = in_frame(nodes.where(F.col("node_type") == "dir"), frame)
     ends = F.array(
         F.struct(_key(F.col("path")).alias("sort_key"), opened.alias("text")),
         F.struct(_key(F.col("path"), 1).alias("sort_key"), F.lit("]}").alias("text")),
     )
     dir_rows = dirs.select("repo", "path", F.explode(ends).alias("e")).select("repo", "path", "e.*")
-    files = in_frame(_file_rows(nodes, sections), frame, nodes)
+    files = in_frame(_file_rows(nodes, sections), frame)
     record = F.to_json(F.struct(*_node_fields(show_size)))
     file_rows = files.select(
         "repo", "path", _key(F.col("path")).alias("sort_key"), F.concat(comma, record).alias("text")

@@ -32,13 +32,12 @@ def spread_join(
     partial counts. There are at most (rows / limit) of them, which bounds the
     broadcast. Their rows are dealt over several salts and their lookup rows
     are copied once per salt; every other key keeps the single salt 0.
-    ``counted`` may name a lighter table with the same keys to count instead.
+    ``counted`` is a table of the keys and their ``count``, where that is known already.
     """
     limit = hot_key_rows(rows)
     keys = list(on)
     hot = (
-        (rows if counted is None else counted).groupBy(*keys)
-        .count()
+        (rows.groupBy(*keys).count() if counted is None else counted)
         .where(F.col("count") > limit)
         .select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("__salts"))
     )

@@ -102,7 +102,8 @@ def list_nodes(
     hide = not dirs_only or rules_hide_dirs
     if not show_all and rules is not None:
         plain, kept_dirs = ignore.included(base, rules)
-        dirs = ignore.included_dirs(plain, kept_dirs).where(path != "") if hide else dirs
+        # All directories above a file that passes have passed themselves.
+        dirs = kept_dirs if hide else dirs
     elif not show_all and tracked is not None:
         plain = ignore.tracked_files(plain, tracked)
         dirs = ignore.tracked_dirs(dirs, tracked) if hide else dirs
@@ -131,13 +132,13 @@ def with_places(rows: DataFrame) -> DataFrame:
 
 
 def end_siblings(nodes: DataFrame) -> DataFrame:
-    """(repo, parent, first, last): first and last entry of each directory.
+    """(repo, parent, first, last, entries): first and last entry of each directory, and how many there are.
 
     Smallest and largest names are found with partial aggregation, so one very
     wide directory is never gathered or sorted in a single task.
     """
     return nodes.where(F.col("depth") > 0).groupBy("repo", "parent").agg(
-        F.min("name").alias("first"), F.max("name").alias("last")
+        F.min("name").alias("first"), F.max("name").alias("last"), F.count("*").alias("entries")
     )
 
 
@@ -172,7 +173,7 @@ def with_preorder(nodes: DataFrame) -> DataFrame:
 
 
 def directory_frame(nodes: DataFrame) -> DataFrame:
-    """(repo, parent, first, last, prefix): what the entries of a directory need to be drawn.
+    """(repo, parent, first, last, entries, prefix): what the entries of a directory need to be drawn.
 
     The prefix is put together once per directory from the last flags of the
     directories on its path.
@@ -195,14 +196,15 @@ def directory_frame(nodes: DataFrame) -> DataFrame:
     return ends.join(below, ["repo", "parent"], "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
 
 
-def in_frame(rows: DataFrame, frame: DataFrame, nodes: DataFrame) -> DataFrame:
+def in_frame(rows: DataFrame, frame: DataFrame) -> DataFrame:
     """Add ``is_first``, ``is_last``, ``prefix`` and ``connector`` to rows with a parent, a name and a depth.
 
-    One join, on the parent; a directory with very many entries is counted
-    among the ``nodes`` and dealt over several tasks.
+    One join, on the parent; a directory with very many entries, as the frame
+    tells, is dealt over several tasks.
     """
     below = F.col("depth") > 0
-    placed = spread_join(rows, frame, ["repo", "parent"], ["path"], "left", nodes.where(below))
+    counted = frame.select("repo", "parent", F.col("entries").alias("count"))
+    placed = spread_join(rows, frame.drop("entries"), ["repo", "parent"], ["path"], "left", counted)
     is_last = below & F.coalesce(F.col("name") == F.col("last"), F.lit(False))
     connector = F.when(~below, F.lit("")).when(is_last, F.lit(LAST_CONNECTOR)).otherwise(F.lit(CONNECTOR))
     return placed.withColumns(
@@ -217,7 +219,7 @@ def in_frame(rows: DataFrame, frame: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def drawn_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes with ``is_first``, ``is_last``, ``prefix`` and ``connector``."""
-    return in_frame(nodes, directory_frame(nodes), nodes)
+    return in_frame(nodes, directory_frame(nodes))
 
 
 def continuation_prefix(prefix: Column, is_last: Column) -> Column:
