@@ -8,8 +8,8 @@ reaches the fifth best lower bound so far are computed again from the original v
 double precision. A heap for each query keeps the best of a task, and the tasks' heaps are merged by a
 top-k per query.
 
-Equal vectors have equal scores, so of those in a batch only the k + 1 with the smallest keys
-can matter; the others are left out before the product.
+Equal vectors have equal scores, so of those in a batch only rows of the k + 1 smallest distinct keys can matter,
+one of which may be the query's own, and k rows of each; the others are left out before the product.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part; a query is compared with vectors of its own length; ties go to the smaller key; of rows with one key
@@ -98,13 +98,17 @@ class Best:
         self.bar = np.full(len(keys), -np.inf)
 
     def _few_copies(self, keys: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-        """Rows without copies of a vector beyond the k + 1 smallest keys."""
-        order = np.argsort(keys, kind="stable")
-        rows = np.ascontiguousarray(matrix[order] + 0.0).view(np.dtype((np.void, matrix.shape[1] * 8))).ravel()
+        """Rows without copies of a vector beyond its k + 1 smallest distinct keys, k rows of each."""
+        rows = np.ascontiguousarray(matrix + 0.0).view(np.dtype((np.void, matrix.shape[1] * 8))).ravel()
         _, same = np.unique(rows, return_inverse=True)
-        by_vector = np.argsort(same, kind="stable")
-        place = np.arange(len(same)) - np.searchsorted(same[by_vector], same[by_vector])
-        return order[by_vector[place <= self.k]]
+        order = np.lexsort((keys, same))
+        vector, key = same[order], keys[order]
+        other = np.diff(vector, prepend=-1) != 0
+        new = other | np.concatenate([[True], key[1:] != key[:-1]])
+        at, number = np.arange(len(order)), np.cumsum(new)
+        of_key = at - np.flatnonzero(new)[number - 1]
+        of_vector = number - number[other][np.cumsum(other) - 1]
+        return order[(of_vector <= self.k) & (of_key < self.k)]
 
     def add(self, keys: np.ndarray, matrix: np.ndarray) -> None:
         """Take a batch of rows into account."""

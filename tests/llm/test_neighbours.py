@@ -52,6 +52,17 @@ def test_repeated_rows(spark):
     assert got == [(0, 1, 1), (0, 2, 1)]
 
 
+@pytest.mark.parametrize("times", [2, 3, 9])
+def test_repeated_rows_among_many_copies(spark, times):
+    rng = np.random.default_rng(times)
+    shared, near = rng.normal(size=8), rng.normal(size=(40, 8))
+    rows = [(i, shared.tolist()) for i in range(50, 61)] + [(100 + i, v.tolist()) for i, v in enumerate(near)]
+    rows += [(200, (shared + 1e-3).tolist())]
+    rows *= times
+    found = neighbours.nearest(table(spark, rows).coalesce(1), F.col("vec_id") % 10 == 0)
+    assert {tuple(r) for r in found.collect()} == brute(rows, 10)
+
+
 def test_query_finds_the_nearest(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     want = brute(rows, 50)
