@@ -20,6 +20,7 @@ import html
 import math
 import re
 from collections import deque
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,14 +46,24 @@ CONTAINERS = {
     "article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0,
     "header": -5.0, "fieldset": -9.0, "head": -20.0,
 }
-#: Log odds by the words in a container's class, id or role.
+#: Names of content; a container whose class, id or role begins with one, alone, is named as content.
+CONTENT = set("article content entry main post story".split())
+#: Log odds by the names in a container's class, id or role.
 NAMES = dict.fromkeys(
     ("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer "
      "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion recommended related "
      "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget "
      "alert complementary contentinfo alertdialog").split(),
     -9.0,
-) | dict.fromkeys("article content entry main post story".split(), 1.5) | {"header": -5.0}
+) | dict.fromkeys(CONTENT, 1.5) | {"header": -5.0}
+#: A token that begins with one of these tells a state or a layout.
+STATES = set("has have is no not with without show hide layout".split())
+#: Words behind a name that still mean the container of that name, or a part of it.
+PARTS = set(
+    ("area articles author bar block body box button buttons container content date field form group head heading icon icons image images inner "
+     "input item items label link links list message meta metadata outer overlay panel posts region section slot stories "
+     "text title to toggle top trail unit widgets wrap wrapper").split()
+)
 #: Log odds of a block's own element.
 BLOCKS = {"p": 1.0, "h1": 1.0, "h2": 1.0, "h3": 1.0, "h4": 0.5, "h5": 0.5, "h6": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.3}
 BIAS, PER_LOG_WORD, LINKS = -1.5, 0.8, -5.0
@@ -89,12 +100,37 @@ class Block:
         return BIAS + self.odds + BLOCKS.get(self.tag, 0.0) + PER_LOG_WORD * min(3.0, math.log(words + 1)) + LINKS * share
 
 
-def _odds(tag: str, attributes: str) -> float:
+@lru_cache(maxsize=1 << 14)
+def _token_odds(token: str) -> tuple[float, float]:
+    """Log odds for and against content of a whole token: by any of its words, and by its name.
+
+    The name is the last word, or the first one if the others are ``PARTS``.
+    """
+    words = _WORD.findall(token)
+    good = sum(NAMES[w] for w in words if w in CONTENT)
+    words = [w for w in words if len(w) > 1]
+    if not words or words[0] in STATES:
+        return good, 0.0
+    bad = min(0.0, NAMES.get(words[-1], 0.0))
+    if not bad and all(w in PARTS or NAMES.get(w, 0.0) < 0 for w in words[1:]):
+        bad = min(0.0, NAMES.get(words[0], 0.0))
+    return good, bad
+
+
+def _odds(tag: str, attributes: str, doubted: bool = False) -> float:
+    """Log odds of a container. ``doubted``: it lies in boilerplate, or is an article inside another.
+
+    Names on the page's root say nothing about a part of it. Names against content in the class or id of an article, of
+    main or of a container named as content are states or topics, unless it is doubted.
+    """
     odds = CONTAINERS.get(tag, 0.0)
     if attributes:
-        for _, a, b, c in _NAMED.findall(attributes):
-            for word in _WORD.findall((a or b or c).lower()):
-                odds += NAMES.get(word, 0.0)
+        if tag not in ("html", "body"):
+            found = [(name.lower(), (a or b or c).lower().split()) for name, a, b, c in _NAMED.findall(attributes)]
+            content = not doubted and (tag in ("article", "main") or any(tokens[:1] and tokens[0] in CONTENT for _, tokens in found))
+            for name, tokens in found:
+                for good, bad in map(_token_odds, tokens):
+                    odds += good + (0.0 if content and name != "role" else bad)
         if _HIDDEN.search(attributes):
             odds -= 9.0
     return max(odds, -20.0)
@@ -157,7 +193,7 @@ def read_blocks(page: str) -> list[Block]:
         if tag in VOID or attributes.endswith("/"):
             continue
         top = stack[-1]
-        odds = _odds(tag, attributes)
+        odds = _odds(tag, attributes, top[1] < 0 or (tag == "article" and any(e[0] == "article" for e in stack)))
         if tag == "header" and any(e[0] in ("article", "main") for e in stack):
             odds += 4.0  # the heading of the article itself
         serial += 1

@@ -44,6 +44,37 @@ def test_pages(page, want):
     assert htmltext.main_text(page)[0] == want
 
 
+LONG = "A paragraph of the text itself, with a good many words in it."
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<body class='has-sidebar'><article>", "<html class='no-js modal-open'><body class='single-post sidebar right-sidebar' id='search'><article>",
+        "<article class='post comments-open'>", "<main class='with-sidebar comments'>", "<div class='content search-result social'>",
+        "<body class='page-sidebar-left'><article class='post tag-social category-menu newsletter'>", "<div id='content' class='no-comments has-sidebar'>",
+        "<div class='layout has-sidebar'><article>", "<div class='page-wrapper sidebar-open search-results'><main>",
+    ],
+)
+def test_states_and_layouts_lose_no_text(start):
+    page = f"{start}<h1>Head of it</h1><p>{LONG}</p><p>{LONG}</p><div class='ad'><p>{LONG} Buy it.</p></div><p>Short.</p>"
+    assert htmltext.main_text(page)[0] == f"Head of it\n\n{LONG}\n\n{LONG}\n\nShort."
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<div class='sidebar'>", "<div class='left-sidebar'>", "<div id='comment-list'>", "<div class='comments-area'>", "<div class='post-comments'>", "<div class='main-sidebar'>",
+        "<div class='widget_text'>", "<div class='related-posts'>", "<div class='modal-content'>", "<div class='social-share-buttons'>", "<div class='cookie-notice'>",
+        "<div class='box ad'>", "<div class='ad-728'>", "<div role='complementary'>", "<div id='comments'><article class='comment-body'>",
+        "<div class='comments'><div class='content'>",
+    ],
+)
+def test_boilerplate_stays_out(start):
+    page = f"<body class='has-sidebar'><article class='comments-open'><p>{LONG}</p>{start}<p>{LONG} I like it.</p>"
+    assert htmltext.main_text(page)[0] == LONG
+
+
 def test_deep_and_long_pages():
     deep = "<article>" + "<div>" * 3000 + "<p>words in the deep of this page" + "</div>" * 3000
     assert htmltext.main_text(deep)[0] == "words in the deep of this page"
