@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from srcatlas.llm.common import Batches, id_field, map_batches, texts_as_bytes, two_columns
+from srcatlas.llm.common import Batches, id_field, map_batches, restored, texts_as_bytes, two_columns, with_others
 from srcatlas.llm.components import connected_components
 from srcatlas.session import materialize
 
@@ -173,17 +173,22 @@ def _dense_links(prints: DataFrame, max_bits: int) -> DataFrame:
     return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("false")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(key, fp, component_id) for every row; the component's name is the smallest key that can be reached."""
+def _labelled(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, fp, component, component_id) for every row; ``component`` is a fingerprint that tells components apart."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     found = connected_components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
     joined = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = joined.join(names, "component").select("fp", "component_id")
-    return prints.join(labels, "fp").select(id_col, "fp", "component_id")
+    labels = joined.join(names, "component").select("fp", "component", "component_id")
+    return prints.join(labels, "fp").select(id_col, "fp", "component", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(key, fp, component_id) for every row; the component's name is the smallest key that can be reached."""
+    return _labelled(docs, shingle, max_bits, id_col, text_col).select(id_col, "fp", "component_id")
 
 
 def deduplicate(
@@ -191,12 +196,32 @@ def deduplicate(
 ) -> DataFrame:
     """One row of ``docs`` for each component, that with the smallest key, with all columns.
 
-    Rows with a null key take part in linking but all stay, since nothing tells them apart. Of rows with one key, one stays.
+    Rows with a null key take part in linking but all stay, since nothing tells them apart. Of rows of a component with
+    one key, that with the least fingerprint stays, then with the least hash of its text, text and other columns; rows with
+    one key in several components may each stay for their own.
     """
-    found = materialize(near_duplicates(docs, shingle, max_bits, id_col, text_col), "components")
-    named = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count()
-    repeated = not named.where("count > 1").isEmpty()
-    kept = docs.join(named.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates([id_col])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    found = materialize(_labelled(docs, shingle, max_bits, id_col, text_col), "components")
+    own = F.col(id_col) == F.col("component_id")
+    keys = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.count_if(own).alias("named")).where("named > 0")
+    once, more = (keys.where(c).select(id_col) for c in ("rows = 1", "rows > 1"))
+    kept = docs.join(once.hint("shuffle_hash"), id_col, "left_semi").select(docs.columns)
+    if not more.isEmpty():
+        least = found.where(own).groupBy("component", F.col(id_col).alias("id")).agg(F.min("fp").alias("print")).select("id", "print")
+        kept = kept.unionByName(_one_of_each(docs.join(more.hint("shuffle_hash"), id_col, "left_semi").select(docs.columns), least, shingle, id_col, text_col))
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _one_of_each(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each (id, print) of ``wanted``, by an aggregate that combines first."""
+    rows = with_others(docs, id_col, text_col)
+    schema = StructType([*rows.schema.fields, StructField("print", LongType())])
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            found = [fingerprint(text, size) for text in texts_as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=schema.names)
+
+    printed = map_batches(rows, run, schema).join(wanted, ["id", "print"], "left_semi")
+    order = F.struct(F.xxhash64("text"), F.col("text"), F.to_json("others"))
+    one = printed.groupBy("id", "print").agg(F.min_by(F.struct("text", "others"), order).alias("row")).select("row.*")
+    return restored(one, docs.columns, text_col)

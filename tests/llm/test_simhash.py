@@ -79,6 +79,16 @@ def test_odd_rows(make_docs, odd_rows):
     assert 2 not in {r.doc_id for r in kept} and None in {r.doc_id for r in kept}
 
 
+def test_each_component_keeps_one_document_where_keys_repeat(make_docs):
+    one, two, three = "one two three four five six", "red green blue white black grey", "north east south west up down"
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, two), (7, three), (7, one), (None, three)]
+    kept = simhash.deduplicate(make_docs(rows).repartition(5))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, one), (5, two), (7, three), (None, three)]
+    rows = [(3, one), (3, two), (3, three), (4, two), (3, one)]
+    kept = simhash.deduplicate(make_docs(rows).repartition(5))
+    assert sorted((r.doc_id, r.text, r.id, r.fp, r.others) for r in kept.collect()) == [(3, t, "x", 7, "o") for t in sorted([one, two, three])]
+
+
 def test_text_keys_and_empty_table(spark, make_docs):
     docs = make_docs([("b", "x y z"), ("a", "X y z")], "doc_id STRING")
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {"a"}
