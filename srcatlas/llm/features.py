@@ -71,7 +71,13 @@ class Words:
 
 
 def smallest(rows: DataFrame, id_col: str, group: str, bound: int) -> DataFrame:
-    """(key, group): at most ``bound`` rows of each group, those whose keys have the least hash."""
+    """(key, group): at most ``bound`` distinct keys of each group, those with the least hash."""
     spread = Window.partitionBy(group).orderBy(F.xxhash64(id_col), F.col(id_col))
-    ranked = rows.select(id_col, group).withColumn("place", F.row_number().over(spread))
+    ranked = rows.select(id_col, group).distinct().withColumn("place", F.row_number().over(spread))
     return ranked.where(F.col("place") <= bound).drop("place")
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """Of rows (id, text, others) one for each value of all columns but ``text``: the text with the least hash."""
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return rows.groupBy(*[c for c in rows.columns if c != "text"]).agg(least).select(*[F.col("least.text") if c == "text" else c for c in rows.columns])

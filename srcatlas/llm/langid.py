@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from srcatlas.llm.common import Batches, id_field, map_batches, two_columns
-from srcatlas.llm.features import code_points, groups, letters, mix, smallest
+from srcatlas.llm.features import code_points, groups, letters, mix, one_text_each, smallest
 
 UNKNOWN = "und"
 #: Rows of each language that the classifiers are fitted on.
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn")
     ).where("learn AND lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     chosen = smallest(rows, "id", "lang", PER_LANGUAGE).withColumnRenamed("lang", "chosen")
-    sample = rows.join(F.broadcast(chosen), "id").where("lang = chosen").select("id", "text", "lang")
+    sample = one_text_each(rows.join(F.broadcast(chosen), "id").where("lang = chosen").select("id", "text", "lang"))
     schema = StructType([StructField("lang", StringType()), StructField("x", BinaryType())])
 
     def run(batches: Batches) -> Batches:

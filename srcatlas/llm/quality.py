@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from srcatlas.llm.common import Batches, id_field, map_batches, two_columns
-from srcatlas.llm.features import Words, code_points, groups, mix, smallest
+from srcatlas.llm.features import Words, code_points, groups, mix, one_text_each, smallest
 
 #: Rows that the scorer is fitted on.
 FITTED_ROWS = 4000
@@ -244,8 +244,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
                 packed = pa.array([row.astype(np.float16).tobytes() for row in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(y), packed], names=schema.names)
 
+    sample = one_text_each(texts.join(F.broadcast(chosen), "id").select("id", "text"))
     # Two bytes a feature: at most 32 MB.
-    found = map_batches(texts.join(F.broadcast(chosen), "id").select("id", "text"), describe, schema).limit(FITTED_ROWS).collect()
+    found = map_batches(sample, describe, schema).collect()
     found = sorted((row.y, bytes(row.x)) for row in found)
     matrix = np.zeros((len(found), FEATURES + 1), np.float32)
     matrix[:, FEATURES] = 1

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from srcatlas.llm import bloom
 from srcatlas.llm.common import Batches, id_field, map_batches, two_columns
-from srcatlas.llm.features import Words, code_points, groups, letters, mix, smallest
+from srcatlas.llm.features import Words, code_points, groups, letters, mix, one_text_each, smallest
 
 #: Rows that the classifier is fitted on.
 POSITIVES = 3000
@@ -169,7 +169,7 @@ def fit(
     floor = SMOOTHING / toxic
     model.evidence[:] = np.where(again, np.log((p + floor) / (negative + floor)), 0)
     chosen = smallest(keys.where("id IS NOT NULL"), "id", "positive", max(POSITIVES, UNLABELLED))
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "positive")
+    sample = one_text_each(texts.join(F.broadcast(chosen), "id").select("id", "text", "positive"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([StructField("positive", IntegerType()), StructField("x", ArrayType(DoubleType()))])
 

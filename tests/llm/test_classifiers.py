@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from srcatlas.llm import langid, quality, queries, toxicity
+from srcatlas.llm import features, langid, quality, queries, toxicity
 from srcatlas.llm.common import held_out
 
 
@@ -48,6 +48,42 @@ def test_language_query(spark, larger):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in apart]) > 0.97
 
 
+def test_samples_are_bounded_where_keys_repeat(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 4)
+    monkeypatch.setattr(quality, "FITTED_ROWS", 6)
+    monkeypatch.setattr(toxicity, "POSITIVES", 4)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 4)
+    sentence = "the words of a text that is long enough for the labellers to vote on, so that it counts. "
+    rows = [(k, sentence * 4 + f"copy {c}", "en") for k in range(3) for c in range(40)]
+    rows += [(k, f"der hund und die katze {k} " * 9, "de") for k in range(10, 30)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING").repartition(5)
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (11, 0)], "doc_id BIGINT, toxic INT")
+    fitted = []
+    monkeypatch.setattr(langid, "Model", lambda x, names: fitted.append(sorted(names)))
+    langid.fit(docs, F.lit(True))
+    assert fitted.pop() == ["de"] * 4 + ["en"] * 3
+    monkeypatch.setattr(quality, "Scorer", lambda x, y: fitted.append(len(x)))
+    quality.fit(docs)
+    assert fitted.pop() == 6
+    collected = []
+    monkeypatch.setattr(toxicity, "sorted", lambda found: collected.extend(found) or sorted(collected), raising=False)
+    toxicity.fit(docs, labels, F.lit(True))
+    assert sorted(r[0] for r in collected) == [0] * 4 + [1] * 2
+
+
+def test_of_rows_with_one_key_the_least_hash_is_taken(spark):
+    rows = [(k % 7, f"text {k}", k % 2) for k in range(60)] * 2 + [(1, None, 1)]
+    table = spark.createDataFrame(rows, "id BIGINT, text STRING, other INT")
+    want = {}
+    for r in table.selectExpr("*", "xxhash64(text) AS h").collect():
+        want[r.id, r.other] = min(want.get((r.id, r.other), (r.h, r.text)), (r.h, r.text))
+    for n in (1, 6):
+        got = features.one_text_each(table.repartition(n)).collect()
+        assert sorted((r.id, r.other, r.text) for r in got) == sorted((*k, t) for k, (_, t) in want.items())
+
+
 def test_many_languages():
     rng = np.random.default_rng(1)
     alphabets = ["".join(chr(97 + c) for c in rng.choice(26, 6, replace=False)) for _ in range(12)]
