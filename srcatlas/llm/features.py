@@ -9,6 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places up to this are cut in each partition before rows are shuffled for a window.
+EARLY_CUT = "spark.sql.optimizer.windowGroupLimitThreshold"
+#: Parts of a group that are cut apart.
+SALTS = 64
 #: Characters of texts that are looked at together.
 GROUP_CHARS = 1 << 19
 
@@ -71,10 +75,18 @@ class Words:
 
 
 def smallest(rows: DataFrame, id_col: str, group: str, bound: int) -> DataFrame:
-    """(key, group): at most ``bound`` distinct keys of each group, those with the least hash."""
-    spread = Window.partitionBy(group).orderBy(F.xxhash64(id_col), F.col(id_col))
-    ranked = rows.select(id_col, group).distinct().withColumn("place", F.row_number().over(spread))
-    return ranked.where(F.col("place") <= bound).drop("place")
+    """(key, group): at most ``bound`` distinct keys of each group, those with the least hash.
+
+    Each partition keeps ``bound`` keys of a group and salt, then each salt, so that no task reads a whole group.
+    """
+    conf = rows.sparkSession.conf
+    if int(conf.get(EARLY_CUT)) < bound:
+        conf.set(EARLY_CUT, str(bound))
+    least = [F.xxhash64(id_col), F.col(id_col)]
+    ranked = rows.select(id_col, group).distinct().withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+    for groups_of in ([group, "salt"], [group]):
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*groups_of).orderBy(*least))).where(F.col("place") <= bound)
+    return ranked.select(id_col, group)
 
 
 def one_text_each(rows: DataFrame) -> DataFrame:

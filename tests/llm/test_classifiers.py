@@ -73,6 +73,20 @@ def test_samples_are_bounded_where_keys_repeat(spark, monkeypatch):
     assert sorted(r[0] for r in collected) == [0] * 4 + [1] * 2
 
 
+def test_no_task_ranks_a_whole_group(spark):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("id DIV 2 AS id", "IF(id < 20, 'b', 'a') AS lang", "0 AS one")
+    keys = sorted((r.h, r.id, r.lang) for r in rows.distinct().selectExpr("*", "xxhash64(id) AS h").collect())
+    for group in ("lang", "one"):
+        for bound in (5, 4000, 6000):
+            found = features.smallest(rows, "id", group, bound)
+            name = lambda k: k[2] if group == "lang" else 0  # noqa: B023, E731
+            want = {(k[1], name(k)) for g in {name(k) for k in keys} for k in [k for k in keys if name(k) == g][:bound]}
+            assert sorted(map(tuple, found.collect())) == sorted(want)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            ranks = [line for line in plan.split("Initial Plan")[-1].splitlines() if "WindowGroupLimit" in line and "salt" in line]
+            assert len(ranks) == 2, plan
+
+
 def test_of_rows_with_one_key_the_least_hash_is_taken(spark):
     rows = [(k % 7, f"text {k}", k % 2) for k in range(60)] * 2 + [(1, None, 1)]
     table = spark.createDataFrame(rows, "id BIGINT, text STRING, other INT")
