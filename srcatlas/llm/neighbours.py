@@ -35,6 +35,8 @@ from srcatlas.session import materialize
 BLOCK_NUMBERS = 4_000_000
 #: Rows of a tile.
 TILE_ROWS = 2048
+#: Queries that are compared with a tile at once: 32 MB for each array of their pairs.
+TILE_QUERIES = 2000
 #: Columns multiplied at once: products of 8-bit numbers stay exact in single precision.
 EXACT_COLUMNS = 1024
 
@@ -67,6 +69,12 @@ class Rounded:
         self.whole = np.rint(unit / self.scale[:, None]).astype(np.int8)
         self.error = np.sqrt(((unit - self.whole * self.scale[:, None]) ** 2).sum(axis=1)) + 1e-9
 
+    def part(self, rows: slice) -> Rounded:
+        """Some of the rows."""
+        out = object.__new__(Rounded)
+        out.scale, out.whole, out.error = self.scale[rows], self.whole[rows], self.error[rows]
+        return out
+
     def product(self, other: Rounded) -> tuple[np.ndarray, np.ndarray]:
         """Cosines of all pairs and how far they may be off."""
         total = np.zeros((len(self.whole), len(other.whole)))
@@ -115,16 +123,22 @@ class Best:
         taken = self._few_copies(keys, matrix)
         keys, matrix = keys[taken], matrix[taken]
         for at in range(0, len(keys), TILE_ROWS):
-            self._tile(keys[at : at + TILE_ROWS], matrix[at : at + TILE_ROWS])
-
-    def _tile(self, keys: np.ndarray, matrix: np.ndarray) -> None:
-        cosine, off = self.rounded.product(Rounded(matrix))
-        own = self.keys[:, None] == keys[None, :]
+            tile = slice(at, at + TILE_ROWS)
+            rounded = Rounded(matrix[tile])
+            for first in range(0, len(self.keys), TILE_QUERIES):
+                self._tile(first, keys[tile], matrix[tile], rounded)
+
+    def _tile(self, first: int, keys: np.ndarray, matrix: np.ndarray, rounded: Rounded) -> None:
+        """Compare ``TILE_QUERIES`` queries from the ``first`` with the rows of a tile."""
+        some = slice(first, first + TILE_QUERIES)
+        cosine, off = self.rounded.part(some).product(rounded)
+        own = self.keys[some, None] == keys[None, :]
         low = np.where(own, -np.inf, cosine - off)
-        bar = self.bar
+        bar = self.bar[some]
         if low.shape[1] >= self.k:
             bar = np.maximum(bar, np.partition(low, -self.k, axis=1)[:, -self.k])
         query, row = np.nonzero((cosine + off >= bar[:, None]) & ~own)
+        query += first
         for part in range(0, len(query), 1 << 16):
             q, r = query[part : part + (1 << 16)], row[part : part + (1 << 16)]
             scores = cosines(self.matrix[q], matrix[r])

@@ -71,6 +71,27 @@ def test_query_finds_the_nearest(spark, sf_dir):
     assert got == want
 
 
+def test_tiles_are_bounded_on_both_sides(monkeypatch):
+    rng = np.random.default_rng(7)
+    matrix = rng.normal(size=(5000, 4))
+    keys, seen, product = np.arange(5000), [], neighbours.Rounded.product
+
+    def noted(self, other):
+        out = product(self, other)
+        seen.append(out[0].shape)
+        return out
+
+    monkeypatch.setattr(neighbours.Rounded, "product", noted)
+    best = neighbours.Best(keys, matrix, 3)
+    best.add(keys[:3000], matrix[:3000])
+    best.add(keys[3000:], matrix[3000:])
+    assert sum(a * b for a, b in seen) == 5000 * 5000 and max(a for a, _ in seen) <= 2000 and max(b for _, b in seen) <= 2048
+    for i in (0, 1999, 2000, 3999, 4000, 4999):
+        scores = neighbours.cosines(np.repeat(matrix[i : i + 1], 5000, axis=0), matrix)
+        want = sorted(((s, -k) for k, s in enumerate(scores.tolist()) if k != i), reverse=True)[:3]
+        assert sorted(best.heaps[i], reverse=True) == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     for scale in (1.0, 1e-150, 1e150):
