@@ -7,16 +7,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from srcatlas.operators.reports import REPORT_ORDER  # noqa: E402
 from srcatlas.session import get_session  # noqa: E402
 
 
-def report_text(rows, repo):
-    """One small document as a string."""
-    picked = rows.where(rows.repo == repo).orderBy(*REPORT_ORDER).select("text")
-    return "\n".join(r.text for r in picked.collect())
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = get_session(

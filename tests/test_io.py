@@ -6,7 +6,7 @@ import json
 import os
 
 import pytest
-from conftest import report_text
+from report_helpers import report_text
 from pyspark.sql import functions as F
 
 from srcatlas import session

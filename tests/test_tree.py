@@ -6,7 +6,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import report_text
+from report_helpers import report_text
 from pyspark.sql import functions as F
 
 from srcatlas.operators import filters, ignore, metadata as md, reports, stats, tree
