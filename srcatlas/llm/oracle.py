@@ -64,4 +64,42 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM docs LEFT JOIN left_over USING (rid)
 """
 
-SQL = {"op2_nearest": NEAREST, "op3_decontamination": DECONTAMINATION, "op4_substring_dedup": SUBSTRINGS}
+LEXICAL_SEARCH = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), lengths AS (
+    SELECT rid, doc_id, t, len(t) AS n FROM docs WHERE len(t) > 0
+), totals AS (
+    SELECT count(*) AS d, sum(n)::BIGINT AS l FROM lengths
+), counts AS (
+    SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM lengths) GROUP BY rid, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(d) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scores AS (
+    SELECT item_id, rid, any_value(doc_id) AS doc_id,
+        CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * d) // l)))) AS BIGINT) AS score
+    FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (rid), totals GROUP BY item_id, rid
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+EXACT_DEDUP = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+        regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size,
+    row_number() OVER best = 1 AS kept, sha256(plain) AS text_sha256
+FROM docs WINDOW best AS (PARTITION BY plain ORDER BY length(text) DESC, doc_id NULLS LAST, rid)
+"""
+
+SQL = {
+    "op2_nearest": NEAREST,
+    "op3_decontamination": DECONTAMINATION,
+    "op4_substring_dedup": SUBSTRINGS,
+    "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_exact_dedup": EXACT_DEDUP,
+}

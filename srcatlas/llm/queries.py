@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import bpe_prefix, decontaminate, htmltext, langid, neighbours, quality, simhash, substring, token_count, toxicity
+from srcatlas.llm import (
+    bpe_prefix,
+    decontaminate,
+    exact,
+    htmltext,
+    langid,
+    lexical,
+    neighbours,
+    quality,
+    runs,
+    simhash,
+    substring,
+    token_count,
+    toxicity,
+)
 from srcatlas.llm.common import held_out, read, sha256_hex
 from srcatlas.llm.oracle import SQL
 
@@ -74,6 +88,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them with repeats made by rule."""
+    found = runs.periodic_runs(runs.with_repeats(read(spark, sf_dir, "documents"))).withColumn("top", runs.longest_run(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length DIV top.period").alias("exponent_milli"),
+        runs.runs_digest(F.col("runs")).alias("runs_sha256"),
+        sha256_hex("collapsed").alias("collapsed_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    found = lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    found = exact.deduplicate(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_nearest": op2_nearest,
@@ -85,6 +126,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 __all__ = ["QUERIES", "SQL"]
