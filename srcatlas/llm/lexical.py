@@ -224,7 +224,7 @@ class Segment:
     def __init__(self, blobs: list[bytes], plan: Plan):
         types = (np.int32, np.int32, np.uint16, np.int32, np.int32, np.uint8, np.int64)
         terms, ends, place, factor, pairs, chunks, joint = (np.frombuffer(b, t) for b, t in zip(blobs, types, strict=True))
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
         self.place = place.astype(np.int64)
         self.impact = factor * np.repeat(plan.weight[terms], ends - starts)
         #: The last row is that of terms that don't occur.
