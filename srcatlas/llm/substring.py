@@ -1,36 +1,36 @@
 """Substring dedup by a compacted De Bruijn graph of word windows.
 
-A window of 20 words is an edge of the graph from its first to its last 19 words. The edges
-are dealt by minimizers: among the 5-word runs of a window, the one with the least hash. Equal
-windows have equal minimizers, and neighbouring windows mostly share one, so a document falls
-into pieces of windows with the same minimizer.
-
-1. Minimizers that occur only once can't belong to a repeated window; those that occur
-   more often go into a filter of bounded size, which only spares rows.
-2. The pieces of all other windows are shuffled by minimizer, equal pieces of a batch as one.
-   There each window finds its first occurrence, the number of its occurrences and their mark, a
-   sum of places. Neighbouring windows lie on a path without branches exactly if all occurrences
-   of one follow those of the other, that is if numbers are equal and marks differ by one step each.
-   A minimizer with very many occurrences is dealt window by window instead.
-3. Windows that are first in their piece's document go home as one compact row per stretch of such a path,
-   are joined with the document and put together by their source coordinates. A repeated window of the document
-   that isn't among them starts earlier elsewhere, and its words go.
+A window of 20 words is an edge of the graph from its first to its last 19 words. Its identity is 128 bits of the SHA-256 of
+its words, joined by blanks; weaker hashes only choose what is looked at.
+
+1. Among the 5-word runs of a window the one with the least hash is its minimizer. Minimizers that occur only once can't belong
+   to a repeated window; those that occur more often go into a filter of bounded size, which only spares rows.
+2. The windows that pass become edges with the place of their first occurrence (least key, then start), the number of
+   occurrences and two sums of places, by an aggregate that combines before it shuffles, so that a window in
+   very many documents is one row of each partition.
+3. Repeated edges are joined with their predecessors by the source coordinates. An edge goes on with the path of the one before it
+   exactly if all occurrences of one follow those of the other: numbers are equal and sums differ by one step each.
+   What has no such predecessor is the head of a path. A path has its source, its length and its edges' sum of identities.
+4. Occurrences of heads are joined with the paths and go to their documents. There the words of the whole span are compared
+   with the source through the identities of all its windows, and go if they are equal and the span isn't the source itself.
 
 Defined cases: a null text has no words; texts shorter than a window lose none; a window that overlaps its
-earlier copy in one document counts as a copy; rows with the same key are one document, so equal
-rows don't remove each other, and a start kept in one of them is kept in all; a null key
-comes before all others; every input row gives one output row.
+earlier copy in one document counts as a copy; very long texts are hashed in parts, but the places of their repeated windows are
+held at once; rows with the same key are one document: of equal windows those with the least key and start stay, in every row
+that has them there, and no other; a null key comes before all others; ties are broken by a hash of the text, which changes
+no result; every input row gives one output row; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import (
     ArrayType,
     BooleanType,
@@ -49,11 +49,6 @@ from srcatlas.session import materialize
 SEED_WORDS = 5
 #: Texts are hashed together up to this many bytes.
 GROUP_BYTES = 1 << 20
-#: Rows that are put in order together after the shuffle, whole minimizers at a time.
-ORDERED_ROWS = 50_000
-#: A minimizer with more occurrences than this, and than its share of all, is dealt by window.
-HOT_ROWS = 20_000
-HOT_SHARE = 1e-4
 
 _U = np.uint64
 _BYTE_STEP = _U(0x9FB21C651E98DF25)
@@ -180,56 +175,47 @@ def _seed_counts(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(docs, run, schema).groupBy("seed").agg(F.sum("n").alias("n"))
 
 
-def _pieces(docs: DataFrame, window: int, repeated, hot: np.ndarray) -> DataFrame:
-    """(part, id, start, copies, mark, windows): pieces of windows whose minimizer may be repeated."""
-    schema = StructType(
-        [
-            StructField("part", LongType()),
-            id_field(docs, "id"),
-            StructField("start", IntegerType()),
-            StructField("copies", LongType()),
-            StructField("mark", LongType()),
-            StructField("windows", ArrayType(LongType())),
-        ]
-    )
+#: What tells a document from all others: two hashes of its key and text.
+_DOC = ("doc", "twin")
+
+
+def _identities(words: list[bytes], starts: list[int], window: int) -> np.ndarray:
+    """128 bits of the SHA-256 of the windows that start at these words, as rows of two numbers."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begin = np.concatenate([[0], ends[:-1] + 1])[starts].tolist()
+    sha = hashlib.sha256
+    cut = [sha(joined[a:b]).digest()[:16] for a, b in zip(begin, ends[np.asarray(starts, np.int64) + window - 1].tolist(), strict=True)]
+    return np.frombuffer(b"".join(cut), "<i8").reshape(-1, 2)
+
+
+def _places(docs: DataFrame, window: int, repeated, heads=None) -> DataFrame:
+    """(e1, e2, id, start, doc, twin): the windows whose minimizer may be repeated; with ``heads`` those that may be one of them."""
+    number = [StructField(c, LongType()) for c in (*_DOC, "e1", "e2")]
+    schema = StructType([*number[2:], docs.schema["id"], StructField("start", IntegerType()), *number[:2]])
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            # In the order of keys, so that the first of equal pieces is the one that counts.
-            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
             texts = texts_as_bytes(batch.column(1))
-            for at, part in _groups([texts[i] for i in order]):
+            for at, part in _groups(texts):
                 group = Group(part, window)
                 taken = repeated.value.holds(group.seed)
-                edge, seed = group.edge[taken], group.seed[taken]
-                owner, start, place = group.owner[taken], group.start[taken], group.place[taken]
-                split = np.isin(seed, hot)
-                new = (np.diff(place, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1) | split
-                begin = np.flatnonzero(new)
-                if not len(begin):
-                    continue
-                size = np.diff(np.append(begin, len(edge)))
-                within = np.arange(len(edge)) - np.repeat(begin, size)
-                whole = np.add.reduceat(_mix(edge + within.astype(_U)), begin) + size.astype(_U)
-                _, first, same = np.unique(whole, return_index=True, return_inverse=True)
-                marks = np.array([zlib.crc32(str(ids[i]).encode()) >> 1 for i in order[at : at + len(part)]], np.int64)
-                copies = np.bincount(same, minlength=len(first))
-                mark = np.bincount(same, weights=(marks[owner[begin]] + start[begin]).astype(float)).astype(np.int64)
-                lists = pa.ListArray.from_arrays(
-                    np.append(0, np.cumsum(size[first])).astype(np.int32),
-                    edge[np.repeat(begin[first] - np.cumsum(size[first]) + size[first], size[first]) + np.arange(size[first].sum())].view(np.int64),
-                )
-                deal = np.where(split[begin[first]], edge[begin[first]], seed[begin[first]])
-                rows = pa.array([order[at + i] for i in owner[begin[first]].tolist()], pa.int64())
+                owner, start = group.owner[taken], group.start[taken]
+                cuts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(owner)]
+                found = [_identities(part[owner[a]].split(), start[a:b], window) for a, b in zip(cuts, cuts[1:], strict=False)]
+                ids = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+                if heads is not None:
+                    some = heads.value.holds(ids[:, 0].astype(np.int64).view(_U))
+                    owner, start, ids = owner[some], start[some], ids[some]
+                rows = pa.array(at + owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(deal.view(np.int64)),
+                        pa.array(np.ascontiguousarray(ids[:, 0])),
+                        pa.array(np.ascontiguousarray(ids[:, 1])),
                         batch.column(0).take(rows),
-                        pa.array(start[begin[first]].astype(np.int32)),
-                        pa.array(copies.astype(np.int64)),
-                        pa.array(mark),
-                        lists,
+                        pa.array(start.astype(np.int32)),
+                        batch.column(2).take(rows),
+                        batch.column(3).take(rows),
                     ],
                     names=schema.names,
                 )
@@ -237,73 +223,37 @@ def _pieces(docs: DataFrame, window: int, repeated, hot: np.ndarray) -> DataFram
     return map_batches(docs, run, schema)
 
 
-def _stretches(pieces: DataFrame) -> DataFrame:
-    """(id, origin, copies, path, mask): first occurrences, one row per piece and path.
+def _edges(places: DataFrame) -> DataFrame:
+    """(e1, e2, copies, m1, m2, id, start, doc, twin): repeated windows with the place of the first, by key, then start."""
+    first = F.min(F.struct("id", "start", *_DOC)).alias("first")
+    # Sums of 31 bits each, which can't overflow.
+    marks = [F.sum(F.shiftrightunsigned(d, 33) + F.col("start")).alias(m) for d, m in zip(_DOC, ("m1", "m2"), strict=True)]
+    return places.groupBy("e1", "e2").agg(F.count("*").alias("copies"), *marks, first).where("copies > 1").select("e1", "e2", "copies", "m1", "m2", "first.*")
 
-    Bit o of ``mask`` stands for the window that starts at ``origin`` + o. Windows of one document with equal
-    ``copies`` and ``path`` that follow each other are on one path without branches.
-    """
-    schema = StructType(
-        [
-            pieces.schema["id"],
-            StructField("origin", IntegerType()),
-            StructField("copies", LongType()),
-            StructField("path", LongType()),
-            StructField("mask", LongType()),
-        ]
-    )
 
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        lists = table.column("windows").combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(size)), size)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        window = lists.flatten().to_numpy()
-        part = table.column("part").to_numpy()
-        copies, mark = table.column("copies").to_numpy()[row], table.column("mark").to_numpy()[row]
-        start = table.column("start").to_numpy().astype(np.int64)
-        # Rows are in the order of keys and starts; a window's first occurrence is the first in that order, within a row too.
-        order = np.lexsort((start[row] + offset, row, window, part[row]))
-        p, w = part[row][order], window[order]
-        new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])]))
-        total = np.add.reduceat(copies[order], new)
-        summed = np.add.reduceat((mark + copies * offset)[order], new)
-        first = order[new]
-        path = summed - total * (start[row[first]] + offset[first])
-        order = np.lexsort((path, total, row[first]))
-        r, c, q, o = row[first][order], total[order], path[order], offset[first][order]
-        new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1]) | (q[1:] != q[:-1])]))
-        mask = np.bitwise_or.reduceat(np.int64(1) << o, new)
-        return pa.RecordBatch.from_arrays(
-            [
-                table.column("id").combine_chunks().take(pa.array(r[new])),
-                pa.array(start[r[new]].astype(np.int32)),
-                pa.array(c[new]),
-                pa.array(q[new]),
-                pa.array(mask),
-            ],
-            names=schema.names,
-        )
+def _paths(edges: DataFrame) -> DataFrame:
+    """(e1, e2, source, source_start, length, copies, x1, x2): paths without branches, by their first edge.
 
-    def run(batches: Batches) -> Batches:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= ORDERED_ROWS:
-                table = pa.Table.from_batches(held)
-                part = table.column("part").to_numpy()
-                cut = int(np.flatnonzero(part != part[-1])[-1]) + 1 if part[0] != part[-1] else 0
-                if cut:
-                    yield settle(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-                rows -= cut
-        if rows:
-            yield settle(pa.Table.from_batches(held))
-
-    ordered = pieces.repartition("part").sortWithinPartitions("part", "id", "start")
-    return map_batches(ordered, run, schema)
+    ``length`` counts windows, ``x1`` and ``x2`` combine the identities of all of them.
+    """
+    link = ["copies", "m1", "m2", "start", *_DOC]
+    step = edges.select("copies", *[(F.col(m) + F.col("copies")).alias(m) for m in ("m1", "m2")], (F.col("start") + 1).alias("start"), *_DOC, F.lit(True).alias("goes_on"))
+    linked = edges.join(step, link, "left")
+    # A document's own edges, bounded by its length.
+    along = Window.partitionBy(*_DOC).orderBy("start")
+    head = F.last(F.when(F.col("goes_on").isNull(), F.col("start")), ignorenulls=True).over(along)
+    own = linked.withColumn("head", head)
+    begins = F.col("start") == F.col("head")
+    return (
+        own.groupBy(*_DOC, "head")
+        .agg(
+            *[F.max(F.when(begins, F.col(c))).alias(c) for c in ("e1", "e2", "id", "copies")],
+            F.count("*").alias("length"),
+            F.bit_xor("e1").alias("x1"),
+            F.bit_xor("e2").alias("x2"),
+        )
+        .select("e1", "e2", F.col("id").alias("source"), F.col("head").alias("source_start"), "length", "copies", "x1", "x2")
+    )
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +274,7 @@ def without_repeats(
     """
     texts = with_others(docs, id_col, text_col)
     schema = StructType([StructField("text", StringType()), StructField("changed", BooleanType()), texts.schema["others"]])
-    found = _without_repeats(docs, texts, window, schema, _changed_texts)
+    found = _without_repeats(docs, texts, window, schema, _changed_text)
     size = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("others").getField(chars_col)) if chars_col in docs.columns else None
     return restored(found, docs.columns, text_col, **({chars_col: size} if size is not None else {}))
 
@@ -346,82 +296,70 @@ def _without_repeats(docs: DataFrame, texts: DataFrame, window: int, schema: Str
     if not SEED_WORDS <= window <= SEED_WORDS + 60:
         raise ValueError(f"a window has {SEED_WORDS} to {SEED_WORDS + 60} words")
     spark = docs.sparkSession
-    plain = texts.select("id", "text")
+    doc = [F.xxhash64("id", "text").alias("doc"), F.xxhash64("text", F.lit(1), "id").alias("twin")]
+    plain = texts.select("id", "text", *doc)
     seeds = materialize(_seed_counts(plain, window).where("n > 1"), "seeds")
-    total = seeds.agg(F.sum("n")).first()[0] or 0
-    # At most 1 / HOT_SHARE of them.
-    hot = [r.seed for r in seeds.where(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select("seed").collect()]
     repeated = spark.sparkContext.broadcast(bloom.build(seeds, "seed"))
-    firsts = _stretches(_pieces(plain, window, repeated, np.array(hot, np.int64).view(_U)))
-    # Bounded by the document's own length.
-    own = firsts.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("origin", "copies", "path", "mask")])
-    joined = texts.join(own.withColumnRenamed("id", "own").hint("shuffle_hash"), texts["id"].eqNullSafe(F.col("own")), "left")
-    joined = joined.select("id", "text", "origin", "copies", "path", "mask", *[c for c in texts.columns if c == "others"])
+    edges = materialize(_edges(_places(plain, window, repeated)), "edges")
+    paths = materialize(_paths(edges), "paths")
+    heads = spark.sparkContext.broadcast(bloom.build(paths, "e1"))
+    met = _places(plain, window, repeated, heads).join(paths, ["e1", "e2"])
+    first = F.col("id").eqNullSafe(F.col("source")) & (F.col("start") == F.col("source_start"))
+    span = F.struct("start", "length", first.alias("first"), "copies", "x1", "x2")
+    # Bounded by the document's own length, also where rows are equal.
+    own = met.groupBy(*[F.col(d).alias(f"own_{d}") for d in _DOC]).agg(F.collect_set(span).alias("spans"))
+    rows = texts.select("*", *doc)
+    joined = rows.join(own.hint("shuffle_hash"), (rows["doc"] == own["own_doc"]) & (rows["twin"] == own["own_twin"]), "left")
+    joined = joined.select("id", "text", "spans", *[c for c in texts.columns if c == "others"])
+
+    types = [to_arrow_type(f.dataType) for f in schema.fields if f.name != "others"][0 if "others" in schema.names else 1 :]
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True))
-            texts, sizes, spans = texts_as_bytes(batch.column(1)), [], []
-            for at, part in _groups(texts):
-                group = Group(part, window)
-                again = repeated.value.holds(group.seed)
-                bounds = np.searchsorted(group.owner, np.arange(len(part) + 1))
-                sizes += group.sizes.tolist()
-                spans += [_spans(again[bounds[i] : bounds[i + 1]], rows[at + i], window) for i in range(len(part))]
-            yield pa.RecordBatch.from_arrays(finish(batch, texts, sizes, spans, rows, window), names=schema.names)
+            # Words of one text at a time.
+            found = [finish(t, s or [], window) for t, s in zip(texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            front, back = ([], batch.columns[3:]) if "others" in schema.names else (batch.columns[:1], [])
+            made = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*front, *made, *back], names=schema.names)
 
     return map_batches(joined, run, schema)
 
 
-def _details(batch: pa.RecordBatch, texts: list, sizes: list, spans: list, rows: list, window: int) -> list[pa.Array]:
-    return [
-        batch.column(0),
-        pa.array(sizes, pa.int64()),
-        pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-        pa.array([_without((t or b"").split(), s) for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(pa.string()),
-        pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-        pa.array([_paths(row, window) for row in rows], pa.list_(pa.list_(pa.int64()))),
-    ]
-
-
-def _changed_texts(batch: pa.RecordBatch, texts: list, sizes: list, spans: list, rows: list, window: int) -> list[pa.Array]:
-    left = [_without(t.split(), s) if s else t for t, s in zip(texts, spans, strict=True)]
-    return [pa.array(left, pa.binary()).cast(pa.string()), pa.array([bool(s) for s in spans]), batch.column(6)]
-
-
-def _firsts(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, copies, path) of a document's own first occurrences, ordered by start."""
-    origin, copies, path, mask = (np.array(x or [], np.int64) for x in row)
-    bits = (mask[:, None] >> np.arange(63)) & 1 == 1
-    at, offset = np.nonzero(bits)
-    start = origin[at] + offset
-    order = np.argsort(start, kind="stable")
-    return start[order], copies[at][order], path[at][order]
-
-
-def _spans(again: np.ndarray, row: tuple, window: int) -> list[list[int]]:
-    """[start, end) word positions under windows that start earlier elsewhere."""
-    later = again.copy()
-    start = _firsts(row)[0]
-    later[start[start < len(later)]] = False
-    at = np.flatnonzero(later)
-    if not len(at):
-        return []
-    new = np.flatnonzero(np.diff(at, prepend=at[0] - window - 1) > window)
-    ends = np.append(at[new[1:] - 1], at[-1]) + window
-    return [[a, b] for a, b in zip(at[new].tolist(), ends.tolist(), strict=True)]
-
-
-def _paths(row: tuple, window: int) -> list[list[int]]:
-    """Neighbouring first occurrences put together to paths, those that occur again."""
-    start, copies, path = _firsts(row)
-    keep = copies > 1
-    start, copies, path = start[keep], copies[keep], path[keep]
-    new = np.flatnonzero((np.diff(start, prepend=-2) != 1) | (np.diff(copies, prepend=0) != 0) | (np.diff(path, prepend=0) != 0))
-    ends = np.append(new[1:], len(start)) - 1
-    if not len(new):
-        return []
-    return np.stack([start[new], start[ends] + window, copies[new]], axis=1).tolist()
+def _verified(words: list[bytes], spans: list[dict], window: int) -> tuple[list[list[int]], list[list[int]]]:
+    """(removed, sources): [start, end) of what goes, and [start, end, copies] of the paths that have their source here."""
+    gone, sources = [], []
+    spans = sorted(spans, key=lambda s: s["start"])
+    if any(not s["first"] for s in spans):
+        starts = np.concatenate([np.arange(s["start"], min(s["start"] + s["length"], len(words) - window + 1)) for s in spans if not s["first"]])
+        own = _identities(words, starts, window)
+    at = 0
+    for s in spans:
+        end = s["start"] + s["length"] + window - 1
+        if s["first"]:
+            sources.append([s["start"], end, s["copies"]])
+            continue
+        part = own[at : at + s["length"]]
+        at += len(part)
+        if len(part) == s["length"] and (np.bitwise_xor.reduce(part, axis=0) == [s["x1"], s["x2"]]).all():
+            if gone and gone[-1][1] >= s["start"]:
+                gone[-1][1] = max(gone[-1][1], end)
+            else:
+                gone.append([s["start"], end])
+    return gone, sources
+
+
+def _details(text: bytes | None, spans: list[dict], window: int) -> tuple:
+    """(n_words, n_removed, kept, removed, sources) of one text."""
+    words = (text or b"").split()
+    gone, sources = _verified(words, spans, window)
+    return len(words), sum(b - a for a, b in gone), _without(words, gone).decode(), gone, sources
+
+
+def _changed_text(text: bytes | None, spans: list[dict], window: int) -> tuple:
+    """(text, changed) of one text."""
+    words = text.split() if any(not s["first"] for s in spans) else []
+    gone = _verified(words, spans, window)[0] if words else []
+    return (_without(words, gone) if gone else text or b"").decode() if text is not None else None, bool(gone)
 
 
 def _without(words: list[bytes], spans: list[list[int]]) -> bytes:

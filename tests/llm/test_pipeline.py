@@ -49,6 +49,6 @@ def test_odd_documents(spark, sf_dir, stage):
 
 
 def test_registration():
-    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries()) and len(corpus_pipeline.STAGES) == 5
     assert set(queries.SQL) <= set(contract.oracle_sql())

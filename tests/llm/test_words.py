@@ -32,13 +32,18 @@ def brute_hits(docs, items, window=10):
 
 
 def brute_kept(docs, window=20):
-    seen, out = {}, []
-    for key, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
-        words = plain_words(text)
-        gone = set()
+    """A window stays where it starts at its least (key, start), in every row of that key."""
+    first, out = {}, []
+    place = lambda key, i: (key is not None, key or 0, i)
+    each = [(key, plain_words(text)) for key, text in docs]
+    for key, words in each:
         for i in range(len(words) - window + 1):
             w = tuple(words[i : i + window])
-            if seen.setdefault(w, (key, i)) != (key, i):
+            first[w] = min(first.get(w, place(key, i)), place(key, i))
+    for key, words in each:
+        gone = set()
+        for i in range(len(words) - window + 1):
+            if first[tuple(words[i : i + window])] != place(key, i):
                 gone.update(range(i, i + window))
         out.append((key, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
     return sorted(out, key=str)
@@ -74,10 +79,7 @@ def test_hits_of_random_texts(spark, make_docs, seed, pass_bytes):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("hot", [1, 10**6])
-def test_kept_words_of_random_texts(make_docs, monkeypatch, seed, hot):
-    monkeypatch.setattr(substring, "HOT_ROWS", hot)
-    monkeypatch.setattr(substring, "ORDERED_ROWS", 40)
+def test_kept_words_of_random_texts(make_docs, monkeypatch, seed):
     monkeypatch.setattr(substring, "GROUP_BYTES", 700)
     docs, _ = random_docs(seed + 10)
     docs.append((100, " ".join(["again"] * 70)))
@@ -85,6 +87,54 @@ def test_kept_words_of_random_texts(make_docs, monkeypatch, seed, hot):
         assert kept(substring.dedup_substrings(make_docs(docs), window)) == brute_kept(docs, window)
 
 
+@pytest.mark.parametrize("key", [1, None])
+def test_repeated_keys_keep_one_whole_copy(make_docs, key):
+    passage = [f"p{i}" for i in range(80)]
+    own = lambda name, n: [f"{name}{i}" for i in range(n)]
+    docs = [(key, " ".join(own("x", 50) + passage)), (key, " ".join(own("y", 10) + passage)), (2, " ".join(own("z", 5) + passage))]
+    found = kept(substring.dedup_substrings(make_docs(docs)))
+    assert found == brute_kept(docs) and sorted(r[2] for r in found) == [0, 80, 80]
+    whole = [r.text for r in substring.without_repeats(make_docs(docs), chars_col="n").collect()]
+    assert sum(" ".join(passage) in t for t in whole) == 1
+    # Equal rows, also of a third text, don't remove each other.
+    docs = docs[:2] + docs[:1] * 3
+    assert kept(substring.dedup_substrings(make_docs(docs))) == brute_kept(docs)
+
+
+def test_random_texts_under_few_keys(make_docs):
+    docs, _ = random_docs(77, 80)
+    docs = [(None if i % 5 == 4 else i % 5, text) for i, text in docs]
+    for window in (20, 6):
+        assert kept(substring.dedup_substrings(make_docs(docs), window)) == brute_kept(docs, window)
+
+
+def test_unequal_words_with_equal_hashes(make_docs):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert (substring.word_hashes(one.encode()) == substring.word_hashes(other.encode())).all()
+    shared = " ".join(f"s{i}" for i in range(19))
+    docs = [(1, f"{shared} {one} end"), (2, f"{shared} {other} end"), (3, f"{shared} {other} end")]
+    assert [r[2] for r in kept(substring.dedup_substrings(make_docs(docs)))] == [0, 0, 21]
+
+
+def test_spans_are_compared_before_they_go():
+    words = [f"w{i}".encode() for i in range(30)]
+    x1, x2 = (int(x) for x in substring.np.bitwise_xor.reduce(substring._identities(words, list(range(3, 8)), 20), axis=0))
+    span = {"start": 3, "length": 5, "first": False, "copies": 2, "x1": x1, "x2": x2}
+    assert substring._verified(words, [span], 20)[0] == [[3, 27]]
+    assert substring._verified(words[::-1], [span], 20)[0] == []
+    assert substring._verified(words[:20], [span], 20)[0] == []
+    assert substring._verified(words, [span | {"first": True}], 20) == ([], [[3, 27, 2]])
+
+
+def test_passage_in_a_third_of_the_documents(make_docs):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, f"a{i} b{i} {passage} c{i}" if i % 3 == 0 else f"d{i}") for i in range(300)]
+    assert kept(substring.dedup_substrings(make_docs(docs).repartition(5))) == brute_kept(docs)
+
+
 def test_odd_rows(spark, make_docs, odd_rows):
     items = spark.createDataFrame([(1, "one TWO three"), (2, None), (2, "w1x1 w2x2 w3x3")], "item_id BIGINT, text STRING")
     docs = make_docs(odd_rows)
