@@ -59,9 +59,15 @@ def any_component_matches(path: Column, patterns: list[str] | tuple[str, ...]) -
     return F.exists(F.split(path, "/"), lambda c: name_matches(c, patterns))
 
 
+# Named classes inside brackets and the classes of regular expressions.
+_POSIX = {
+    "alnum": "Alnum", "alpha": "Alpha", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
+    "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit",
+}
+
 # Pieces of an ignore pattern, tried in this order.
 _IGNORE_TOKEN = (
-    r"(?s)\\.|\[[!^]?\]?[^\]]*\]|^\*\*/|^\*\*$|(?<=/)\*\*/|(?<=/)\*\*$|\*+|\?|."
+    r"(?s)\\.|\[[!^]?\]?(?:\[:[a-z]+:\]|[^\]])*\]|^\*\*/|^\*\*$|(?<=/)\*\*/|(?<=/)\*\*$|\*+|\?|."
 )
 
 
@@ -77,6 +83,8 @@ def ignore_regex(pattern: Column, anchored: Column) -> Column:
     def char_class(t: Column) -> Column:
         core = F.regexp_extract(t, r"(?s)^\[[!^]?(.*)\]$", 1)
         safe = F.regexp_replace(core, r"([\[\]\\&^])", r"\\$1")
+        for name, java in _POSIX.items():
+            safe = F.replace(safe, F.lit(rf"\[:{name}:\]"), F.lit(rf"\p{{{java}}}"))
         head = F.when(t.rlike(r"^\[[!^]"), F.lit("[^/")).otherwise(F.lit("["))
         return F.concat(head, safe, F.lit("]"))
 
