@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.functions import display, names, text as tx
-from srcatlas.operators import filters, ignore, metadata as md, reports, stats, tree
+from srcatlas.operators import chunks, filters, ignore, metadata as md, reports, stats, tree
 from srcatlas.operators.comments import extract_comments
 from srcatlas.operators.corpus import source_lines, with_text
 from srcatlas.operators.imports import CATEGORIES, extract_imports, file_imports, imports_total
@@ -31,6 +31,7 @@ NEWER, OLDER = "2024-01-03T00:00:00Z", "2024-01-20T12:00:00Z"
 SIZE_CAP = 4_000
 TOP_K = 25
 WRAP_WIDTH = 40
+CHUNK = 700
 ALL_SECTIONS = md.Sections(comments=True, types=True, todos=True, imports=True, full=True)
 
 
@@ -87,6 +88,22 @@ def line_counts(spark, sf_dir):
     return code_files(spark, sf_dir).select("repo", "path", "size_bytes", lines.alias("lines"))
 
 
+@query
+def chunked_line_counts(spark, sf_dir):
+    return chunks.chunk_line_counts(chunks.cut_files(code_files(spark, sf_dir), CHUNK))
+
+
+@query
+def chunked_source_lines(spark, sf_dir):
+    found = chunks.chunk_source_lines(chunks.cut_files(code_files(spark, sf_dir), CHUNK))
+    return found.select("repo", "path", "line", "content", tx.indent_of(F.col("content")).alias("indent"))
+
+
+@query
+def chunked_todos(spark, sf_dir):
+    return chunks.chunk_todos(chunks.cut_files(code_files(spark, sf_dir), CHUNK))
+
+
 @query
 def codebase_totals(spark, sf_dir):
     return stats.codebase_totals(code_files(spark, sf_dir))
@@ -343,15 +360,24 @@ def import_usage(spark, sf_dir):
     return stats.import_usage(file_imports(code_files(spark, sf_dir)))
 
 
-@query
-def file_imports_wide(spark, sf_dir):
+def _wide(found: DataFrame) -> DataFrame:
     imports = F.col("imports")
-    return file_imports(code_files(spark, sf_dir)).select(
+    return found.select(
         "repo", "path", *[joined(imports[c], "\n").alias(c) for c in CATEGORIES],
         imports_total(imports).alias("total"), display.imports_summary(imports).alias("summary"),
     )
 
 
+@query
+def file_imports_wide(spark, sf_dir):
+    return _wide(file_imports(code_files(spark, sf_dir)))
+
+
+@query
+def chunked_imports(spark, sf_dir):
+    return _wide(chunks.chunk_imports(chunks.cut_files(code_files(spark, sf_dir), CHUNK)))
+
+
 # --- comments --------------------------------------------------------------
 
 

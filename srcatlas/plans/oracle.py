@@ -61,6 +61,7 @@ SQL["languages_ranked"] = with_(CODE_FILES, BY_EXT, LANGUAGE_STATS) + (
 )
 SQL["extension_counts"] = with_(CODE_FILES, BY_EXT) + "SELECT * FROM by_ext"
 SQL["line_counts"] = with_(CODE_FILES) + f"SELECT repo, path, size_bytes, {LINES} AS lines FROM code_files"
+SQL["chunked_line_counts"] = SQL["line_counts"].replace("size_bytes, ", "")
 SQL["codebase_totals"] = with_(CODE_FILES, TOTALS) + "SELECT * FROM totals"
 SQL["stats_rollup"] = with_(CODE_FILES, BY_EXT) + (
     f"SELECT repo, language, CAST(grouping(repo, language) AS BIGINT) AS level, CAST(sum(files) AS BIGINT) AS files,"
@@ -147,6 +148,7 @@ SELECT repo, path, line, content, {INDENT.format(LEAD.replace('raw', 'content'))
   SELECT ls.repo, ls.path, line, CASE WHEN ends_with(raw, chr(13)) AND line < last THEN raw[:-2] ELSE raw END AS content
   FROM (SELECT *, max(line) OVER (PARTITION BY repo, path) AS last FROM ls) ls
   WHERE NOT (line = last AND raw = ''))"""
+SQL["chunked_source_lines"] = SQL["source_line_table"]
 SQL["ancestor_dirs"] = with_(REPO_FILES, o.dirs_sql("repo_files")) + "SELECT * FROM up"
 
 # --- filters ---------------------------------------------------------------
@@ -256,6 +258,7 @@ todos AS (
   {' '.join(f"AND NOT starts_with(text, {quote(p)})" for p in DOCUMENTATION_PHRASES)})"""
 FROM_CODE = (CODE_FILES, o.lines_sql())
 SQL["todos"] = with_(*FROM_CODE, TODOS) + "SELECT * FROM todos"
+SQL["chunked_todos"] = SQL["todos"]
 SQL["todos_by_marker"] = with_(*FROM_CODE, TODOS) + (
     f"SELECT repo, {LANGUAGE} AS language, "
     + ", ".join(f'count(*) FILTER (marker = {quote(m)}) AS "{m}"' for m in MARKERS)
@@ -428,6 +431,7 @@ SQL["import_usage"] = with_(*FROM_CODE, IMPORTS) + (
     " FROM imports GROUP BY category, module"
 )
 SQL["file_imports_wide"] = with_(*FROM_CODE, IMPORTS, WIDE) + "SELECT * FROM wide"
+SQL["chunked_imports"] = SQL["file_imports_wide"]
 
 # --- comments --------------------------------------------------------------
 
