@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions import names
 from srcatlas.functions.text import count_lines
-from srcatlas.operators import filters
+from srcatlas.operators import filters, tour
 from srcatlas.operators.imports import CATEGORIES
 from srcatlas.operators.todos import MARKERS
 
@@ -111,45 +111,28 @@ def listing_counts(nodes: DataFrame) -> DataFrame:
 def directory_rollup(files: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     """(repo, path, dirs, files, bytes, …) of every directory's whole subtree.
 
-    Files are summed per parent first; only these sums are then handed up to
-    the ancestors, so a directory with very many files costs one row per
-    partition. ``extra`` maps an output name to a column to be summed too.
+    Files are summed per parent first, so a directory with very many files costs one row per partition; a
+    walk in preorder then adds the directories up (``tour``). ``extra`` maps an output name to a column of whole numbers
+    to be summed too.
     """
     path = F.col("path")
     sums = {"bytes": "size_bytes", **(extra or {})}
-    plain = files.where(~F.coalesce(F.col("is_dir"), F.lit(False)))
-    per_parent = (
-        plain.select("repo", names.parent_path(path).alias("path"), *sums.values())
+    is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
+    own = (
+        files.select("repo", F.when(is_dir, path).otherwise(names.parent_path(path)).alias("path"), is_dir.alias("is_dir"), *sums.values())
+        .where(path.isNotNull())
         .groupBy("repo", "path")
         .agg(
-            F.lit(0).cast("bigint").alias("dirs"),
-            F.count("*").alias("files"),
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()],
-        )
-    )
-    # A directory counts once for its parent and brings an empty row of its own.
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    per_dir = (
-        directories(files)
-        .select(
-            "repo",
-            F.explode(
-                F.array(
-                    F.struct(names.parent_path(path).alias("path"), one.alias("dirs")),
-                    F.struct(path.alias("path"), zero.alias("dirs")),
-                )
-            ).alias("d"),
+            F.count_if(~F.col("is_dir")).alias("files"),
+            *[F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col(c))), F.lit(0)).cast("bigint").alias(n) for n, c in sums.items()],
         )
-        .select("repo", "d.*", zero.alias("files"), *[zero.alias(n) for n in sums])
-    )
-    totals = [F.sum(m).alias(m) for m in ["dirs", "files", *sums]]
-    summed = per_parent.unionByName(per_dir).groupBy("repo", "path").agg(*totals)
-    upward = F.concat(names.ancestors(path), F.array(path))
-    return (
-        summed.select("repo", F.explode(upward).alias("path"), "dirs", "files", *sums)
-        .groupBy("repo", "path")
-        .agg(*totals)
     )
+    zero = F.lit(0).cast("bigint")
+    # Every directory counts itself once, wherever the ranges of the walk are cut.
+    every = tour.closed_directories(own).select("repo", "path", F.lit(1).cast("bigint").alias("dirs"), *[zero.alias(n) for n in ("files", *sums)])
+    rows = every.unionByName(own.select("repo", "path", zero.alias("dirs"), "files", *sums))
+    totals = tour.subtree_sums(rows, ["dirs", "files", *sums])
+    return totals.withColumn("dirs", F.col("dirs") - 1)
 
 
 def stats_rollup(files: DataFrame, with_lines: bool = True) -> DataFrame:
