@@ -1,17 +1,17 @@
 """Substring dedup by a compacted De Bruijn graph of word windows.
 
-A window of 20 words is an edge of the graph from its first to its last 19 words. Its identity is 128 bits of the SHA-256 of
-its words, joined by blanks; weaker hashes only choose what is looked at.
+A window of 20 words is an edge of the graph from its first to its last 19 words. Its identity is its minimizer's hash and 64 bits
+of the SHA-256 of its words, joined by blanks.
 
 1. Among the 5-word runs of a window the one with the least hash is its minimizer. Minimizers that occur only once can't belong
    to a repeated window; those that occur more often go into a filter of bounded size, which only spares rows.
-2. The windows that pass become edges with the place of their first occurrence (least key, then start), the number of
-   occurrences and two sums of places, by an aggregate that combines before it shuffles, so that a window in
-   very many documents is one row of each partition.
-3. Repeated edges are joined with their predecessors by the source coordinates. An edge goes on with the path of the one before it
-   exactly if all occurrences of one follow those of the other: numbers are equal and sums differ by one step each.
-   What has no such predecessor is the head of a path. A path has its source, its length and its edges' sum of identities.
-4. Occurrences of heads are joined with the paths and go to their documents. There the words of the whole span are compared
+2. Windows that pass are dealt by minimizer, in pieces of neighbouring windows with the same one, equal pieces of a batch as one; a
+   minimizer with very many occurrences is dealt window by window. There each window finds its first occurrence (least key,
+   then start), the number of its occurrences and two sums of their places. A window goes on with the path of the one before it exactly if all
+   occurrences of one follow those of the other: numbers are equal and sums differ by one step each.
+3. The pieces of paths so found are joined at their ends, by source coordinates, numbers and sums. A path has its source, its length
+   and its windows' identities combined.
+4. Occurrences of the paths' heads are joined with them and go to their documents. There the words of the whole span are compared
    with the source through the identities of all its windows, and go if they are equal and the span isn't the source itself.
 
 Defined cases: a null text has no words; texts shorter than a window lose none; a window that overlaps its
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -49,6 +50,11 @@ from srcatlas.session import materialize
 SEED_WORDS = 5
 #: Texts are hashed together up to this many bytes.
 GROUP_BYTES = 1 << 20
+#: Rows that are put in order together after the shuffle; more rows of one part are folded.
+ORDERED_ROWS = 50_000
+#: A minimizer with more occurrences than this, and than its share of all, is dealt by window.
+HOT_ROWS = 20_000
+HOT_SHARE = 1e-4
 
 _U = np.uint64
 _BYTE_STEP = _U(0x9FB21C651E98DF25)
@@ -175,87 +181,199 @@ def _seed_counts(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(docs, run, schema).groupBy("seed").agg(F.sum("n").alias("n"))
 
 
-#: What tells a document from all others: two hashes of its key and text.
-_DOC = ("doc", "twin")
-
-
-def _identities(words: list[bytes], starts: list[int], window: int) -> np.ndarray:
-    """128 bits of the SHA-256 of the windows that start at these words, as rows of two numbers."""
+def _identities(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
+    """64 bits of the SHA-256 of the windows that start at these words."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begin = np.concatenate([[0], ends[:-1] + 1])[starts].tolist()
     sha = hashlib.sha256
-    cut = [sha(joined[a:b]).digest()[:16] for a, b in zip(begin, ends[np.asarray(starts, np.int64) + window - 1].tolist(), strict=True)]
-    return np.frombuffer(b"".join(cut), "<i8").reshape(-1, 2)
+    return np.frombuffer(b"".join([sha(joined[a:b]).digest()[:8] for a, b in zip(begin, ends[starts + window - 1].tolist(), strict=True)]), "<i8")
+
+
+class _Taken:
+    """The windows of a group whose minimizer may be repeated, with their identities."""
+
+    def __init__(self, part: list[bytes], window: int, repeated):
+        group = Group(part, window)
+        taken = repeated.holds(group.seed)
+        self.owner, self.start, self.place, self.seed = group.owner[taken], group.start[taken], group.place[taken], group.seed[taken]
+        cuts = [*np.flatnonzero(np.diff(self.owner, prepend=-1)).tolist(), len(self.owner)]
+        found = [_identities(part[self.owner[a]].split(), self.start[a:b], window) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.edge = np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+_PIECE = ("copies", "m1", "m2")
 
 
-def _places(docs: DataFrame, window: int, repeated, heads=None) -> DataFrame:
-    """(e1, e2, id, start, doc, twin): the windows whose minimizer may be repeated; with ``heads`` those that may be one of them."""
-    number = [StructField(c, LongType()) for c in (*_DOC, "e1", "e2")]
-    schema = StructType([*number[2:], docs.schema["id"], StructField("start", IntegerType()), *number[:2]])
+def _marks(doc: np.ndarray) -> list[np.ndarray]:
+    """Two numbers of 31 bits for a document, so that sums of them can't overflow."""
+    return [(doc.view(_U) >> _U(33)).astype(np.int64), doc & 0x7FFFFFFF]
+
+
+def _summed(order: np.ndarray, first: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.add.reduceat(c[order], first) if len(first) else c[:0] for c in columns]
+
+
+def _pieces(docs: DataFrame, window: int, repeated, hot: np.ndarray) -> DataFrame:
+    """(part, seed, whole, id, start, doc, copies, m1, m2, windows): pieces of windows whose minimizer may be repeated."""
+    number = {c: StructField(c, LongType()) for c in ("part", "seed", "whole", "doc", *_PIECE)}
+    schema = StructType(
+        [
+            *[number[c] for c in ("part", "seed", "whole")],
+            docs.schema["id"],
+            StructField("start", IntegerType()),
+            *[number[c] for c in ("doc", *_PIECE)],
+            StructField("windows", ArrayType(LongType())),
+        ]
+    )
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
+            ids = batch.column(0).to_pylist()
+            # In the order of keys; rows with one key have one number.
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
+            key = np.cumsum([i > 0 and ids[order[i]] != ids[order[i - 1]] for i in range(len(order))])
+            docs = batch.column(2).to_numpy()[order]
             texts = texts_as_bytes(batch.column(1))
-            for at, part in _groups(texts):
-                group = Group(part, window)
-                taken = repeated.value.holds(group.seed)
-                owner, start = group.owner[taken], group.start[taken]
-                cuts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(owner)]
-                found = [_identities(part[owner[a]].split(), start[a:b], window) for a, b in zip(cuts, cuts[1:], strict=False)]
-                ids = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-                if heads is not None:
-                    some = heads.value.holds(ids[:, 0].astype(np.int64).view(_U))
-                    owner, start, ids = owner[some], start[some], ids[some]
-                rows = pa.array(at + owner)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.ascontiguousarray(ids[:, 0])),
-                        pa.array(np.ascontiguousarray(ids[:, 1])),
-                        batch.column(0).take(rows),
-                        pa.array(start.astype(np.int32)),
-                        batch.column(2).take(rows),
-                        batch.column(3).take(rows),
-                    ],
-                    names=schema.names,
-                )
+            for at, part in _groups([texts[i] for i in order]):
+                w = _Taken(part, window, repeated.value)
+                split = np.isin(w.seed, hot)
+                new = (np.diff(w.place, prepend=-1) != 0) | (np.diff(w.start, prepend=-2) != 1) | (np.diff(w.owner, prepend=-1) != 0) | split
+                begin = np.flatnonzero(new)
+                if not len(begin):
+                    continue
+                size = np.diff(np.append(begin, len(w.edge)))
+                within = np.arange(len(w.edge)) - np.repeat(begin, size)
+                whole = np.add.reduceat(_mix(w.edge.view(_U) + _mix(within.astype(_U) + _U(1))), begin).view(np.int64)
+                owner, start, seed = at + w.owner[begin], w.start[begin], w.seed[begin].view(np.int64)
+                # Of equal pieces the one with the least key and start counts.
+                by = np.lexsort((start, key[owner], whole, seed))
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(seed[by]) != 0) | (np.diff(whole[by]) != 0)]))
+                sums = _summed(by, first, [np.ones(len(by), np.int64), *[m + start for m in _marks(docs[owner])]])
+                pick = by[first]
+                listed = np.repeat(begin[pick] - np.cumsum(size[pick]) + size[pick], size[pick]) + np.arange(size[pick].sum())
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size[pick])).astype(np.int32), w.edge[listed])
+                deal = np.where(split[begin[pick]], _mix(seed[pick].view(_U)) + w.edge[begin[pick]].view(_U), seed[pick].view(_U)).view(np.int64)
+                columns = [deal, seed[pick], whole[pick], batch.column(0).take(pa.array([order[i] for i in owner[pick].tolist()], pa.int64()))]
+                columns += [start[pick].astype(np.int32), docs[owner[pick]], *sums, lists]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names)
 
     return map_batches(docs, run, schema)
 
 
-def _edges(places: DataFrame) -> DataFrame:
-    """(e1, e2, copies, m1, m2, id, start, doc, twin): repeated windows with the place of the first, by key, then start."""
-    first = F.min(F.struct("id", "start", *_DOC)).alias("first")
-    # Sums of 31 bits each, which can't overflow.
-    marks = [F.sum(F.shiftrightunsigned(d, 33) + F.col("start")).alias(m) for d, m in zip(_DOC, ("m1", "m2"), strict=True)]
-    return places.groupBy("e1", "e2").agg(F.count("*").alias("copies"), *marks, first).where("copies > 1").select("e1", "e2", "copies", "m1", "m2", "first.*")
-
+def _folded(table: pa.Table) -> pa.Table:
+    """Equal pieces of rows in the order of keys and starts as one row, that of the first."""
+    part, whole = table.column("part").to_numpy(), table.column("whole").to_numpy()
+    order = np.lexsort((whole, part))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(part[order]) != 0) | (np.diff(whole[order]) != 0)]))
+    sums = dict(zip(_PIECE, _summed(order, first, [table.column(c).to_numpy() for c in _PIECE]), strict=True))
+    back = np.argsort(order[first])
+    kept = table.take(pa.array(order[first][back]))
+    return pa.table({c: pa.array(sums[c][back]) if c in sums else kept.column(c) for c in table.column_names})
+
+
+def _fragments(pieces: DataFrame) -> DataFrame:
+    """(seed, edge, id, start, doc, length, copies, m1, m2, x): parts of paths inside of pieces, at their first occurrence."""
+    number = {c: StructField(c, LongType()) for c in ("seed", "edge", "doc", "length", *_PIECE, "x")}
+    front = [number["seed"], number["edge"], pieces.schema["id"], StructField("start", IntegerType())]
+    schema = StructType([*front, *[number[c] for c in ("doc", "length", *_PIECE, "x")]])
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        lists = table.column("windows").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        edge = lists.flatten().to_numpy()
+        part, seed = table.column("part").to_numpy()[row], table.column("seed").to_numpy()[row]
+        start = table.column("start").to_numpy().astype(np.int64)[row] + offset
+        copies = table.column("copies").to_numpy()[row]
+        marks = [table.column(m).to_numpy()[row] + copies * offset for m in _PIECE[1:]]
+        # Rows are in the order of keys; a key's rows have one number.
+        ids = table.column("id")
+        same = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)), False).to_numpy() | (ids.slice(1).is_null().to_numpy() & ids.slice(0, len(ids) - 1).is_null().to_numpy())
+        key = np.concatenate([[0], np.cumsum(~same)])[row]
+        order = np.lexsort((start, key, edge, seed, part))
+        new = np.concatenate([[True], *[np.diff(c[order]) != 0 for c in (edge,)]])
+        new[1:] |= (np.diff(seed[order]) != 0) | (np.diff(part[order]) != 0)
+        new = np.flatnonzero(new)
+        copies, *marks = _summed(order, new, [copies, *marks])
+        first = order[new]
+        # Repeated windows, in the order of their places; neighbours with equal occurrences are on one path.
+        keep = np.flatnonzero(copies > 1)
+        keep = keep[np.argsort(first[keep], kind="stable")]
+        first, copies, marks = first[keep], copies[keep], [m[keep] for m in marks]
+        ends = np.concatenate([[True], (np.diff(first) != 1) | (np.diff(row[first]) != 0) | (np.diff(copies) != 0)]) if len(first) else np.empty(0, bool)
+        for m in marks:
+            ends[1:] |= np.diff(m) != copies[1:]
+        head = np.flatnonzero(ends)
+        at = first[head]
+        columns = [seed[at], edge[at], table.column("id").combine_chunks().take(pa.array(row[at])), start[at].astype(np.int32)]
+        columns += [table.column("doc").to_numpy()[row[at]], np.diff(np.append(head, len(first))), copies[head], *[m[head] for m in marks]]
+        columns.append(np.bitwise_xor.reduceat(edge[first], head) if len(head) else edge[:0])
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=schema.names)
 
-def _paths(edges: DataFrame) -> DataFrame:
-    """(e1, e2, source, source_start, length, copies, x1, x2): paths without branches, by their first edge.
-
-    ``length`` counts windows, ``x1`` and ``x2`` combine the identities of all of them.
+    def run(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= ORDERED_ROWS:
+                table = pa.Table.from_batches(held)
+                part = table.column("part").to_numpy()
+                cut = int(np.flatnonzero(part != part[-1])[-1]) + 1 if part[0] != part[-1] else 0
+                if cut:
+                    yield settle(table.slice(0, cut))
+                held = _folded(table.slice(cut)).to_batches()
+                # Pieces that differ are more rows than are folded next time.
+                rows = min(sum(map(len, held)), ORDERED_ROWS // 2)
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    ordered = pieces.repartition("part").sortWithinPartitions("part", "id", "start")
+    return map_batches(ordered, run, schema)
+
+
+def _paths(fragments: DataFrame) -> DataFrame:
+    """(seed, edge, source, source_start, length, copies, x): paths without branches, by their first window.
+
+    ``length`` counts windows, ``x`` combines the identities of all of them.
     """
-    link = ["copies", "m1", "m2", "start", *_DOC]
-    step = edges.select("copies", *[(F.col(m) + F.col("copies")).alias(m) for m in ("m1", "m2")], (F.col("start") + 1).alias("start"), *_DOC, F.lit(True).alias("goes_on"))
-    linked = edges.join(step, link, "left")
-    # A document's own edges, bounded by its length.
-    along = Window.partitionBy(*_DOC).orderBy("start")
-    head = F.last(F.when(F.col("goes_on").isNull(), F.col("start")), ignorenulls=True).over(along)
-    own = linked.withColumn("head", head)
-    begins = F.col("start") == F.col("head")
+    end = [(F.col(m) + F.col("copies") * F.col("length")).alias(m) for m in _PIECE[1:]]
+    before = fragments.select("doc", (F.col("start") + F.col("length")).cast("int").alias("start"), "copies", *end, F.lit(True).alias("goes_on")).distinct()
+    linked = fragments.join(before, ["doc", "start", *_PIECE], "left")
+    # A document's own pieces, bounded by its length.
+    along = Window.partitionBy("doc").orderBy("start")
+    begins = F.col("goes_on").isNull()
+    own = linked.withColumn("head", F.last(F.when(begins, F.col("start")), ignorenulls=True).over(along))
     return (
-        own.groupBy(*_DOC, "head")
+        own.groupBy("doc", "head")
         .agg(
-            *[F.max(F.when(begins, F.col(c))).alias(c) for c in ("e1", "e2", "id", "copies")],
-            F.count("*").alias("length"),
-            F.bit_xor("e1").alias("x1"),
-            F.bit_xor("e2").alias("x2"),
+            *[F.max(F.when(begins, F.col(c))).alias(c) for c in ("seed", "edge", "id", "copies")],
+            F.sum("length").alias("length"),
+            F.bit_xor("x").alias("x"),
         )
-        .select("e1", "e2", F.col("id").alias("source"), F.col("head").alias("source_start"), "length", "copies", "x1", "x2")
+        .select("seed", "edge", F.col("id").alias("source"), F.col("head").alias("source_start"), "length", "copies", "x")
     )
 
 
+def _heads(docs: DataFrame, window: int, repeated, heads) -> DataFrame:
+    """(seed, edge, id, start, doc): the windows that may be the head of a path."""
+    schema = StructType([*[StructField(c, LongType()) for c in ("seed", "edge")], docs.schema["id"], StructField("start", IntegerType()), StructField("doc", LongType())])
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for at, part in _groups(texts_as_bytes(batch.column(1))):
+                w = _Taken(part, window, repeated.value)
+                some = heads.value.holds(w.edge.view(_U))
+                rows = pa.array(at + w.owner[some])
+                columns = [pa.array(w.seed[some].view(np.int64)), pa.array(w.edge[some]), batch.column(0).take(rows)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(w.start[some].astype(np.int32)), batch.column(2).take(rows)], names=schema.names)
+
+    return map_batches(docs, run, schema)
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept, removed, sources) for every row.
 
@@ -296,22 +414,25 @@ def _without_repeats(docs: DataFrame, texts: DataFrame, window: int, schema: Str
     if not SEED_WORDS <= window <= SEED_WORDS + 60:
         raise ValueError(f"a window has {SEED_WORDS} to {SEED_WORDS + 60} words")
     spark = docs.sparkSession
-    doc = [F.xxhash64("id", "text").alias("doc"), F.xxhash64("text", F.lit(1), "id").alias("twin")]
-    plain = texts.select("id", "text", *doc)
+    # What tells a document from all others: a hash of its key and text.
+    doc = F.xxhash64("id", F.lit(1), "text").alias("doc")
+    plain = texts.select("id", "text", doc)
     seeds = materialize(_seed_counts(plain, window).where("n > 1"), "seeds")
+    total = seeds.agg(F.sum("n")).first()[0] or 0
+    # At most 1 / HOT_SHARE of them.
+    hot = [r.seed for r in seeds.where(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select("seed").collect()]
     repeated = spark.sparkContext.broadcast(bloom.build(seeds, "seed"))
-    edges = materialize(_edges(_places(plain, window, repeated)), "edges")
-    paths = materialize(_paths(edges), "paths")
-    heads = spark.sparkContext.broadcast(bloom.build(paths, "e1"))
-    met = _places(plain, window, repeated, heads).join(paths, ["e1", "e2"])
+    pieces = _pieces(plain, window, repeated, np.array(hot, np.int64).view(_U))
+    paths = materialize(_paths(materialize(_fragments(pieces), "fragments")), "paths")
+    heads = spark.sparkContext.broadcast(bloom.build(paths, "edge"))
+    met = _heads(plain, window, repeated, heads).join(paths, ["seed", "edge"])
     first = F.col("id").eqNullSafe(F.col("source")) & (F.col("start") == F.col("source_start"))
-    span = F.struct("start", "length", first.alias("first"), "copies", "x1", "x2")
+    span = F.struct("start", "length", first.alias("first"), "copies", "x")
     # Bounded by the document's own length, also where rows are equal.
-    own = met.groupBy(*[F.col(d).alias(f"own_{d}") for d in _DOC]).agg(F.collect_set(span).alias("spans"))
-    rows = texts.select("*", *doc)
-    joined = rows.join(own.hint("shuffle_hash"), (rows["doc"] == own["own_doc"]) & (rows["twin"] == own["own_twin"]), "left")
+    own = met.groupBy(F.col("doc").alias("own")).agg(F.collect_set(span).alias("spans"))
+    rows = texts.select("*", doc)
+    joined = rows.join(own.hint("shuffle_hash"), rows["doc"] == own["own"], "left")
     joined = joined.select("id", "text", "spans", *[c for c in texts.columns if c == "others"])
-
     types = [to_arrow_type(f.dataType) for f in schema.fields if f.name != "others"][0 if "others" in schema.names else 1 :]
 
     def run(batches: Batches) -> Batches:
@@ -340,7 +461,7 @@ def _verified(words: list[bytes], spans: list[dict], window: int) -> tuple[list[
             continue
         part = own[at : at + s["length"]]
         at += len(part)
-        if len(part) == s["length"] and (np.bitwise_xor.reduce(part, axis=0) == [s["x1"], s["x2"]]).all():
+        if len(part) == s["length"] and (np.bitwise_xor.reduce(part) == s["x"]):
             if gone and gone[-1][1] >= s["start"]:
                 gone[-1][1] = max(gone[-1][1], end)
             else:

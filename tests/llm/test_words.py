@@ -79,7 +79,10 @@ def test_hits_of_random_texts(spark, make_docs, seed, pass_bytes):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_kept_words_of_random_texts(make_docs, monkeypatch, seed):
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_kept_words_of_random_texts(make_docs, monkeypatch, seed, hot):
+    monkeypatch.setattr(substring, "HOT_ROWS", hot)
+    monkeypatch.setattr(substring, "ORDERED_ROWS", 40)
     monkeypatch.setattr(substring, "GROUP_BYTES", 700)
     docs, _ = random_docs(seed + 10)
     docs.append((100, " ".join(["again"] * 70)))
@@ -121,8 +124,8 @@ def test_unequal_words_with_equal_hashes(make_docs):
 
 def test_spans_are_compared_before_they_go():
     words = [f"w{i}".encode() for i in range(30)]
-    x1, x2 = (int(x) for x in substring.np.bitwise_xor.reduce(substring._identities(words, list(range(3, 8)), 20), axis=0))
-    span = {"start": 3, "length": 5, "first": False, "copies": 2, "x1": x1, "x2": x2}
+    x = int(substring.np.bitwise_xor.reduce(substring._identities(words, substring.np.arange(3, 8), 20)))
+    span = {"start": 3, "length": 5, "first": False, "copies": 2, "x": x}
     assert substring._verified(words, [span], 20)[0] == [[3, 27]]
     assert substring._verified(words[::-1], [span], 20)[0] == []
     assert substring._verified(words[:20], [span], 20)[0] == []
