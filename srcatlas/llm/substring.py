@@ -1,7 +1,7 @@
 """Substring dedup by a compacted De Bruijn graph of word windows.
 
 A window of 20 words is an edge of the graph from its first to its last 19 words. Its identity is its minimizer's hash and 64 bits
-of the SHA-256 of its words, joined by blanks.
+of the BLAKE2b digest of its words, joined by blanks.
 
 1. Among the 5-word runs of a window the one with the least hash is its minimizer. Minimizers that occur only once can't belong
    to a repeated window; those that occur more often go into a filter of bounded size, which only spares rows.
@@ -182,20 +182,20 @@ def _seed_counts(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _identities(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
-    """64 bits of the SHA-256 of the windows that start at these words."""
+    """64 bits of the BLAKE2b digest of the windows that start at these words."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begin = np.concatenate([[0], ends[:-1] + 1])[starts].tolist()
-    sha = hashlib.sha256
-    return np.frombuffer(b"".join([sha(joined[a:b]).digest()[:8] for a, b in zip(begin, ends[starts + window - 1].tolist(), strict=True)]), "<i8")
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(joined[a:b], digest_size=8).digest() for a, b in zip(begin, ends[starts + window - 1].tolist(), strict=True)]), "<i8")
 
 
 class _Taken:
     """The windows of a group whose minimizer may be repeated, with their identities."""
 
-    def __init__(self, part: list[bytes], window: int, repeated):
+    def __init__(self, part: list[bytes], window: int, seeds):
         group = Group(part, window)
-        taken = repeated.holds(group.seed)
+        taken = seeds.holds(group.seed)
         self.owner, self.start, self.place, self.seed = group.owner[taken], group.start[taken], group.place[taken], group.seed[taken]
         cuts = [*np.flatnonzero(np.diff(self.owner, prepend=-1)).tolist(), len(self.owner)]
         found = [_identities(part[self.owner[a]].split(), self.start[a:b], window) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -358,14 +358,14 @@ def _paths(fragments: DataFrame) -> DataFrame:
     )
 
 
-def _heads(docs: DataFrame, window: int, repeated, heads) -> DataFrame:
+def _heads(docs: DataFrame, window: int, seeds, heads) -> DataFrame:
     """(seed, edge, id, start, doc): the windows that may be the head of a path."""
     schema = StructType([*[StructField(c, LongType()) for c in ("seed", "edge")], docs.schema["id"], StructField("start", IntegerType()), StructField("doc", LongType())])
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for at, part in _groups(texts_as_bytes(batch.column(1))):
-                w = _Taken(part, window, repeated.value)
+                w = _Taken(part, window, seeds.value)
                 some = heads.value.holds(w.edge.view(_U))
                 rows = pa.array(at + w.owner[some])
                 columns = [pa.array(w.seed[some].view(np.int64)), pa.array(w.edge[some]), batch.column(0).take(rows)]
@@ -424,8 +424,9 @@ def _without_repeats(docs: DataFrame, texts: DataFrame, window: int, schema: Str
     repeated = spark.sparkContext.broadcast(bloom.build(seeds, "seed"))
     pieces = _pieces(plain, window, repeated, np.array(hot, np.int64).view(_U))
     paths = materialize(_paths(materialize(_fragments(pieces), "fragments")), "paths")
+    begun = spark.sparkContext.broadcast(bloom.build(paths.select("seed").distinct(), "seed"))
     heads = spark.sparkContext.broadcast(bloom.build(paths, "edge"))
-    met = _heads(plain, window, repeated, heads).join(paths, ["seed", "edge"])
+    met = _heads(plain, window, begun, heads).join(paths, ["seed", "edge"])
     first = F.col("id").eqNullSafe(F.col("source")) & (F.col("start") == F.col("source_start"))
     span = F.struct("start", "length", first.alias("first"), "copies", "x")
     # Bounded by the document's own length, also where rows are equal.

@@ -83,6 +83,59 @@ def test_deep_and_long_pages():
     assert isinstance(htmltext.main_text("<a href='" * 500 + "x")[0], str)
 
 
+def labels(page):
+    """(text, label by the classifier alone, label after the cut) of every block."""
+    found = [(b, t) for b in htmltext.read_blocks(page) if (t := b.text())]
+    logits = [b.logit(t) for b, t in found]
+    cut = htmltext.minimum_cut(logits, htmltext.ties([b for b, _ in found]))
+    return [(t, v > 0, c) for (_, t), v, c in zip(found, logits, cut, strict=True)]
+
+
+LINKS = "<ul><li><a href=a>Home page</a><li><a href=b>All of it</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text", "content"),
+    [
+        (f"<div><p>{LONG}</p><div>Yes.</div><p>{LONG}</p></div>", "Yes.", True),
+        (f"<div><p>{LONG}</p><p>{LONG}</p><li>One</li><p>{LONG}</p></div>", "One", True),
+        (f"<div><p>{LONG}</p><p>So <a href=x>here</a>.</p><p>{LONG}</p></div>", "So here.", True),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div>{LINKS}<p>Write to us for more help</p>{LINKS}</div>", "Write to us for more help", False),
+        (f"<div>{LINKS}<p>Seen by 2,000 of you</p>{LINKS}</div><div><p>{LONG}</p><p>{LONG}</p></div>", "Seen by 2,000 of you", False),
+    ],
+)
+def test_cut_decides_what_the_classifier_gets_wrong(page, text, content):
+    by_text = {t: (alone, cut) for t, alone, cut in labels(page)}
+    assert by_text[text] == (not content, content)
+    assert htmltext.main_text(page)[0].count(LONG) == page.count(LONG) and "Home" not in htmltext.main_text(page)[0]
+
+
+def test_pages_in_one_form_and_small_forms():
+    fields = "<input type=hidden name=v><input type=hidden name=w>"
+    page = f"<body><form action='x'>{fields}<ul><li><a href=x>Home</a></ul><article><h1>Head of it</h1><p>{LONG}</p><p>{LONG}</p></article></form>"
+    assert htmltext.main_text(page)[0] == f"Head of it\n\n{LONG}\n\n{LONG}"
+    page = f"<article><p>{LONG}</p><form><p>Leave your name and your address here</p><input><input><textarea></textarea><button>Go</button></form></article>"
+    assert htmltext.main_text(page)[0] == LONG
+    page = f"<article><p>{LONG}</p></article><div class='wp-block-comments-query-loop'><p>{LONG} I like it.</p></div>"
+    assert htmltext.main_text(page)[0] == LONG
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "<div>word" * 100_000, "<b>" * 100_000 + "<p>x" * 50_000, "<div>" * 50_000 + "</x>" * 200_000, "<![CDATA[>" * 100_000,
+        "<script>" + "</script " * 100_000, "<a '>\"" * 100_000, "<!-- " * 200_000, "<p>a sentence with some words in it</p><li><a>x</a></li>" * 10_000,
+    ],
+    ids=["tags", "deep", "inline", "closers", "sections", "script", "quotes", "comments", "mixed"],
+)
+def test_long_pages_take_time_in_proportion(page):
+    import time
+
+    start = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - start < 8
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "", "y"), (None, "v", "<article><p>Some text here</p></article>", None)]
     pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, text STRING")
