@@ -583,7 +583,7 @@ for _kind in jobs.EXTRACTORS:
 def _stream_counts(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     target = _scratch(spark, "stream-counts")
     jobs.start_counts(_document_stream(spark, sf_dir), target, target + "-progress", by).awaitTermination()
-    return jobs.latest_counts(spark.read.parquet(target))
+    return jobs.latest_counts(spark, target)
 
 
 @query
@@ -596,6 +596,24 @@ def stream_language_counts(spark, sf_dir):
     return _stream_counts(spark, sf_dir, "language")
 
 
+@query
+def stream_changed_counts(spark, sf_dir):
+    """Every file arrives empty, then as it is; some are removed again."""
+    files = code_files(spark, sf_dir)
+    day, source = F.expr("INTERVAL 1 DAY"), _scratch(spark, "changes")
+    removed = F.length("path") % 7 == 0
+    columns = ["repo", "path", "size_bytes", "mtime", "is_dir", "content"]
+    first = files.select(*columns).withColumn("content", F.lit(b"")).withColumn("removed", F.lit(False))
+    second = files.select(*columns).withColumn("mtime", F.col("mtime") + day).withColumn("removed", F.lit(False))
+    third = second.where(removed).withColumn("mtime", F.col("mtime") + day).withColumn("removed", F.lit(True))
+    target = _scratch(spark, "changed-counts")
+    for versions in (first, second, third):
+        versions.write.mode("append").parquet(source)
+        changes = spark.readStream.schema(versions.schema).parquet(source)
+        jobs.start_file_counts(changes, target, target + "-progress", "ext").awaitTermination()
+    return jobs.latest_counts(spark, target)
+
+
 def _written_files(spark: SparkSession, sf_dir: str) -> str:
     """The derived files as real files, one folder for each repository."""
     root = _scratch(spark, "tree")

@@ -810,6 +810,7 @@ SQL["stream_signatures"] = with_(*FROM_CODE, SIGS) + "SELECT * FROM sigs"
 SQL["stream_todos"] = SQL["todos"]
 SQL["stream_imports"] = with_(*FROM_CODE, IMPORTS) + "SELECT * FROM imports"
 SQL["stream_extension_counts"] = SQL["extension_counts"]
+SQL["stream_changed_counts"] = with_(CODE_FILES, BY_EXT.replace("FROM code_files)", "FROM code_files WHERE length(path) % 7 <> 0)")) + "SELECT * FROM by_ext"
 SQL["stream_language_counts"] = with_(CODE_FILES, BY_EXT, LANGUAGE_STATS) + "SELECT repo, language, files, lines FROM language_stats"
 SQL["scanned_entries"] = with_(CODE_FILES, o.dirs_sql("code_files")) + (
     "SELECT repo, path, size_bytes, false AS is_dir, sha256(content) AS digest FROM code_files"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from srcatlas.functions import names
 from srcatlas.functions.text import count_lines
@@ -17,6 +19,7 @@ from srcatlas.operators.signatures import extract_signatures
 from srcatlas.operators.todos import extract_todos
 from srcatlas.sinks.writers import write_incrementally
 from srcatlas.sources.tables import from_binary_files
+from srcatlas.streaming import commits
 
 BINARY_FILE = T.StructType(
     [
@@ -76,20 +79,73 @@ def running_counts(files: DataFrame, by: str = "language") -> DataFrame:
 
 
 def start_counts(files: DataFrame, target: str, checkpoint: str, by: str = "language") -> StreamingQuery:
-    """Running counts per repository and language (or extension); a batch replaces the table of the batch before the last.
+    """Running counts per repository and language (or extension); each batch replaces the one before as a whole.
 
-    Counts only grow: a file that is delivered again counts again unless the
-    caller drops repeats of (repo, path, mtime) first. The state, and so a batch's table,
-    has a row for each repository and language, so two tables are all that is ever kept.
+    Counts only grow: a file that is delivered again counts again. Where files change or go, use ``start_file_counts``.
+    The state, and so a batch's table, has a row for each repository and language.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/turn={batch_id % 2}")
+        commits.commit(batch, target, batch_id)
 
     return write_incrementally(running_counts(files, by), write, checkpoint, "complete")
 
 
-def latest_counts(written: DataFrame) -> DataFrame:
-    """The counts after the last batch."""
-    last = written.agg(F.max("batch").alias("batch"))
-    return written.join(F.broadcast(last), "batch").drop("batch", "turn")
+def count_changes(files: DataFrame, by: str = "language") -> DataFrame:
+    """(repo, ``by``, files, lines): what each change of a file adds to and takes from the counts.
+
+    ``files`` is a stream of file rows, each a new version of (repo, path) or, with ``removed`` set, its end. A file's last
+    contribution is kept as state, so that a version takes back what the one before it added. Versions count by ``mtime``: one
+    that is not later than the last is passed over, of several in a batch the latest counts.
+    """
+    ext = names.file_ext(F.col("path"))
+    key = {"ext": ext, "language": names.language_of(ext)}[by]
+    removed = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in files.columns else F.lit(False)
+    lines = F.when(~removed, F.coalesce(count_lines(F.col("content"), F.col("size_bytes")), F.lit(0)))
+    # No content goes to the state.
+    versions = files.where(~F.coalesce(F.col("is_dir"), F.lit(False))).select(
+        "repo", "path", key.alias(by), F.unix_micros("mtime").alias("at"), lines.cast("bigint").alias("lines")
+    )
+
+    def change(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        latest = None
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                # At one time a removal comes last, then the longer version.
+                order = (int(row.at), pd.isna(row.lines), 0 if pd.isna(row.lines) else int(row.lines))
+                if latest is None or order > latest[0]:
+                    latest = (order, getattr(row, by))
+        (at, gone, lines_), value = latest
+        old_at, old_gone, old_lines = state.get if state.exists else (None, True, 0)
+        if old_at is not None and at <= old_at:
+            return
+        state.update((at, bool(gone), lines_))
+        moved = (int(not gone) - int(not old_gone), lines_ - old_lines)
+        if any(moved):
+            yield pd.DataFrame([(group[0], value, *moved)], columns=["repo", by, "files", "lines"])
+
+    return versions.groupBy("repo", "path").applyInPandasWithState(
+        change, f"repo string, {by} string, files bigint, lines bigint", "at bigint, gone boolean, lines bigint", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def start_file_counts(files: DataFrame, target: str, checkpoint: str, by: str = "language") -> StreamingQuery:
+    """Counts of the files as they are now, also where files are rewritten or removed; each batch is there whole or not at all."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last = commits.last_batch(target)
+        if last is not None and last >= batch_id:
+            # The rows are there already, the state of this batch isn't.
+            batch.write.format("noop").mode("overwrite").save()
+            return
+        before = commits.read_last(batch.sparkSession, target)
+        rows = batch if before is None else batch.unionByName(before)
+        counted = rows.groupBy("repo", by).agg(F.sum("files").alias("files"), F.sum("lines").alias("lines"))
+        commits.commit(counted.where("files > 0"), target, batch_id)
+
+    return write_incrementally(count_changes(files, by), write, checkpoint, "update")
+
+
+def latest_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The counts after the last whole batch."""
+    return commits.read_last(spark, target)
