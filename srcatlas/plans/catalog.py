@@ -21,7 +21,7 @@ from srcatlas.plans import bridge
 from srcatlas.plans.bridge import code_files, language_files, repository_files, url_files
 from srcatlas.session import shared_folder
 from srcatlas.sinks import writers
-from srcatlas.sources import dirscan, tables
+from srcatlas.sources import arrivals, dirscan, tables
 from srcatlas.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -640,6 +640,15 @@ def stream_scanned_files(spark, sf_dir):
     return spark.read.parquet(target)
 
 
+@query
+def stream_arrived_files(spark, sf_dir):
+    """Files per extension of the written trees, as a stream that sees every name counts them."""
+    root, target = _written_files(spark, sf_dir), _scratch(spark, "arrived")
+    files = arrivals.stream_arrivals(spark, root, "all", target + "-log")
+    jobs.start_file_counts(files, target, target + "-progress", "ext").awaitTermination()
+    return jobs.latest_counts(spark, target)
+
+
 # --- odd bytes, unknown times, empty directories, written tables, choices --------------
 
 

@@ -816,6 +816,7 @@ SQL["scanned_entries"] = with_(CODE_FILES, o.dirs_sql("code_files")) + (
     "SELECT repo, path, size_bytes, false AS is_dir, sha256(content) AS digest FROM code_files"
     " UNION ALL SELECT repo, path, 0, true, NULL FROM up"
 )
+SQL["stream_arrived_files"] = with_(CODE_FILES, BY_EXT) + "SELECT 'all' AS repo, ext, sum(files)::BIGINT AS files, sum(lines)::BIGINT AS lines FROM by_ext GROUP BY ext"
 SQL["stream_scanned_files"] = with_(*FROM_CODE, TODOS) + "SELECT 'all' AS repo, concat(repo, '/', path) AS path, line, marker, text FROM todos"
 
 # --- odd bytes, unknown times, empty directories, written tables, choices --------------
