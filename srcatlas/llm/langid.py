@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
@@ -167,14 +168,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(two_columns(docs, id_col, text_col), run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that ``predict`` does not reject."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``predict`` does not reject; where ``lang_col`` is null it gets the predicted language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
+    unnamed = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            rejected = sent.value.label(batch.column(place).to_pylist())[3]
+            names, _, _, rejected = sent.value.label(batch.column(place).to_pylist())
+            if unnamed is not None:
+                given = batch.column(unnamed)
+                batch = batch.set_column(unnamed, batch.schema.field(unnamed), pc.coalesce(given, pa.array(names, pa.string()).cast(given.type)))
             yield batch.filter(pa.array(~rejected))
 
     return map_batches(docs, run, docs.schema)

@@ -126,6 +126,8 @@ def test_language_of_odd_rows(make_docs, odd_rows, spark):
     assert (got[50].lang_pred, got[51].lang_pred) == ("en", "de")
     kept = langid.accepted(docs, model)
     assert kept.columns == docs.columns and {1, 2, 3, 52}.isdisjoint({r.doc_id for r in kept.collect()}) and kept.count() == len(rows) - 4
+    named = docs.withColumn("lang", F.when(F.col("doc_id") == 51, "xx"))
+    assert {r.doc_id: r.lang for r in langid.accepted(named, model).collect() if r.doc_id in (50, 51)} == {50: "en", 51: "xx"}
     none = langid.fit(train.where("false"), F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
     one = langid.fit(train.where("lang = 'en'"), F.lit(True))
