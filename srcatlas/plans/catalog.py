@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from srcatlas.functions import display, names, text as tx
+from srcatlas.functions import display, names, quoting, text as tx
 from srcatlas.operators import chunks, filters, ignore, metadata as md, reports, stats, tree
 from srcatlas.operators.comments import extract_comments
 from srcatlas.operators.corpus import source_lines, with_text
@@ -21,7 +21,7 @@ from srcatlas.plans import bridge
 from srcatlas.plans.bridge import code_files, language_files, repository_files, url_files
 from srcatlas.session import shared_folder
 from srcatlas.sinks import writers
-from srcatlas.sources import arrivals, dirscan, tables
+from srcatlas.sources import arrivals, dirscan, printed, tables
 from srcatlas.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -710,6 +710,27 @@ def tracked_from_tables(spark, sf_dir):
     return ignore.tracked_paths(tables.read_tracked(spark, at + "-index"), tables.read_status(spark, at + "-status"))
 
 
+@query
+def tracked_from_text(spark, sf_dir):
+    """Tracked paths from a printed index and a printed status; names hold whole texts, every third changed one was renamed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    odd = F.concat("path", F.lit("\t"), F.coalesce("text", F.lit("")))
+    files = repository_files(spark, sf_dir).select("repo", "path", _number().alias("doc_id")).join(docs, "doc_id").join(labels, "doc_id")
+    files = files.withColumn("path", odd)
+    code = F.when(F.col("toxic") == 1, printed.NEW).when(F.col("doc_id") % 2 == 0, printed.IGNORED)
+    renamed = F.when(code.isNull() & (F.col("doc_id") % 3 == 0), F.concat(F.lit("\0"), "path", F.lit(".old"))).otherwise("")
+    letters = F.coalesce(code, F.when(F.col("doc_id") % 3 == 0, "R ").otherwise(" M"))
+    at = _scratch(spark, "printed")
+    index = files.where("quality = 1").select("repo", quoting.quoted(F.col("path")).alias("value"))
+    index.write.partitionBy("repo").option("lineSep", "\n").text(at + "-index")
+    status = files.select("repo", F.concat(letters, F.lit(" "), "path", renamed).alias("value"))
+    status.write.partitionBy("repo").option("lineSep", "\0").text(at + "-status")
+    return ignore.tracked_paths(
+        printed.read_printed_index(spark, at + "-index"), printed.read_printed_status(spark, at + "-status", nul=True)
+    )
+
+
 def _long_lines(text: Column, lines: Column, canon_ext: Column) -> Column:
     return F.transform(
         F.filter(lines, lambda s: F.length(tx.trim(s)) > 60),

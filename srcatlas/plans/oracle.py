@@ -839,6 +839,13 @@ FROM (SELECT DISTINCT source AS repo, unnest(['void', 'void/deep']) AS path FROM
 SQL["filters_combined"] = SQL["gitignore_listing"].removesuffix(NODES) + "," + TIMED.strip() + f"""
 {NODES} WHERE depth <= 3 AND (node_type = 'dir' OR (repo, path) IN (SELECT (repo, path) FROM timed))"""
 SQL["tracked_from_tables"] = SQL["tracked_union"]
+NAMED_BY_TEXT = """
+named AS (
+  SELECT repo, concat(path, chr(9), coalesce(text, '')) AS path, doc_id, quality, NOT (toxic = 1) AND NOT (doc_id % 2 = 0) AS changed
+  FROM repo_files JOIN (SELECT doc_id, text FROM documents) USING (doc_id) JOIN labels USING (doc_id))"""
+SQL["tracked_from_text"] = with_(REPO_FILES, NAMED_BY_TEXT) + """
+SELECT repo, path FROM named WHERE quality = 1 OR changed
+UNION SELECT repo, concat(path, '.old') FROM named WHERE changed AND doc_id % 3 = 0"""
 SQL["own_extractor"] = with_(*FROM_CODE) + """
 SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS seq, left(t, 20) AS content, 'long' AS style,
        CAST(NULL AS VARCHAR) AS symbol, CAST(0 AS BIGINT) AS indent FROM ls WHERE length(t) > 60"""
