@@ -20,7 +20,7 @@ from srcatlas.operators.todos import extract_todos
 from srcatlas.plans import bridge
 from srcatlas.plans.bridge import code_files, language_files, repository_files, url_files
 from srcatlas.session import shared_folder
-from srcatlas.sinks import writers
+from srcatlas.sinks import documents, writers
 from srcatlas.sources import arrivals, dirscan, printed, tables
 from srcatlas.streaming import jobs
 
@@ -731,6 +731,16 @@ def tracked_from_text(spark, sf_dir):
     )
 
 
+@query
+def text_report_places(spark, sf_dir):
+    """Where every path's rows lie in its repository's written text report."""
+    files = code_files(spark, sf_dir)
+    rows = reports.text_report(tree.list_nodes(files), md.with_section_lines(_listed_sections(files)), show_size=True)
+    target = _scratch(spark, "documents")
+    documents.write_documents(rows, target)
+    return documents.path_places(spark, target)
+
+
 def _long_lines(text: Column, lines: Column, canon_ext: Column) -> Column:
     return F.transform(
         F.filter(lines, lambda s: F.length(tx.trim(s)) > 60),

@@ -846,6 +846,14 @@ named AS (
 SQL["tracked_from_text"] = with_(REPO_FILES, NAMED_BY_TEXT) + """
 SELECT repo, path FROM named WHERE quality = 1 OR changed
 UNION SELECT repo, concat(path, '.old') FROM named WHERE changed AND doc_id % 3 = 0"""
+# The two closing rows are the root's too; the root's first row is never empty.
+SQL["text_report_places"] = f"""
+WITH laid_out AS (
+  SELECT repo, path, strlen(text) + 1 AS bytes, coalesce(sum(strlen(text) + 1) OVER (
+           PARTITION BY repo ORDER BY path = '' AND (seq = 1 OR text = ''), CASE WHEN path = '' THEN [] ELSE string_split(path, '/') END, seq
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_byte
+  FROM ({SQL["text_report"]}))
+SELECT repo, path, CAST(min(first_byte) AS BIGINT) AS first_byte, CAST(sum(bytes) AS BIGINT) AS bytes FROM laid_out GROUP BY repo, path"""
 SQL["own_extractor"] = with_(*FROM_CODE) + """
 SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS seq, left(t, 20) AS content, 'long' AS style,
        CAST(NULL AS VARCHAR) AS symbol, CAST(0 AS BIGINT) AS indent FROM ls WHERE length(t) > 60"""
