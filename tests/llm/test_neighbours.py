@@ -26,6 +26,8 @@ def table(spark, rows):
 @pytest.mark.parametrize("block", [64, 10**6])
 def test_random_vectors_with_copies(spark, monkeypatch, block):
     monkeypatch.setattr(neighbours, "BLOCK_NUMBERS", block)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCKS", 3)
+    monkeypatch.setattr(neighbours, "ROW_BLOCKS", 2)
     monkeypatch.setattr(neighbours, "TILE_ROWS", 50)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 16))
@@ -92,6 +94,29 @@ def test_tiles_are_bounded_on_both_sides(monkeypatch):
         assert sorted(best.heaps[i], reverse=True) == want
 
 
+def test_blocks_are_joined_by_tasks(spark, monkeypatch):
+    """Several cells each way and lengths of vectors; no rows come to the driver."""
+    monkeypatch.setattr(neighbours, "BLOCK_NUMBERS", 96)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCKS", 2)
+    monkeypatch.setattr(neighbours, "ROW_BLOCKS", 1)
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 40)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=(6, 8, 16)[i % 3]).tolist()) for i in range(500)]
+    rows += [(1000 + i, rows[7][1]) for i in range(60)]
+
+    def refused(*_):
+        raise AssertionError("rows to the driver")
+
+    for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(spark.range(1)), name, refused)
+    frame = table(spark, rows[:1]).union(table(spark, rows[1:])).repartition(5)
+    found = neighbours.nearest(frame, F.col("vec_id") % 7 == 0)
+    monkeypatch.undo()
+    assert {tuple(r) for r in found.collect()} == brute(rows, 7)
+    plan = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     for scale in (1.0, 1e-150, 1e150):
