@@ -202,16 +202,32 @@ def _sent(spark, items: DataFrame, window: int, pass_bytes: int) -> Iterator:
         yield _send(spark, block, window)
 
 
+class Block:
+    """Keys and words of one bounded block of items, and the tables of their windows.
+
+    The tables aren't sent. A worker makes them for its first task and, since they hang on the broadcast value, keeps them
+    for its further tasks until it drops that value.
+    """
+
+    def __init__(self, window: int, keys: list[str | None], texts: list[list[bytes]]):
+        self.window, self.keys, self.texts = window, keys, texts
+        self.built: list[WuManber] | None = None
+
+    def searches(self) -> list[WuManber]:
+        if self.built is None:
+            self.built = searchers(list(enumerate(self.texts)), self.window)
+        return self.built
+
+
 def _send(spark, block: list[tuple], window: int):
     """Broadcast the keys and words of one bounded block."""
     keys = [None if key is None else str(key) for key, _ in block]
-    return spark.sparkContext.broadcast((window, keys, [words(text.encode()) for _, text in block]))
+    return spark.sparkContext.broadcast(Block(window, keys, [words(text.encode()) for _, text in block]))
 
 
 def _one_pass(docs: DataFrame, sent, schema: StructType, with_text: bool) -> DataFrame:
     def run(batches: Batches) -> Batches:
-        window, keys, texts = sent.value
-        searches = searchers(list(enumerate(texts)), window)
+        keys, searches = sent.value.keys, sent.value.searches()
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
             before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)

@@ -186,3 +186,27 @@ def test_queries_against_brute_force(spark, sf_dir, documents):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in queries.op3_decontamination(spark, sf_dir).collect()}
     want = {k: (n, hit, len(i), hashlib.sha256(",".join(i).encode()).hexdigest()) for k, n, hit, i in brute_hits(documents, items)}
     assert got == want and any(w[1] for w in want.values())
+
+
+def test_tables_are_made_once_in_a_worker(spark, tmp_path):
+    """Eight tasks on fewer workers: a worker that goes on keeps the tables of its broadcast block."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    item = [("q", "one two three four five six seven eight nine ten")]
+    sent = decontaminate._send(spark, item, 10)
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        new = sent.value.built is None
+        found = sent.value.searches()
+        assert found is sent.value.searches()
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([int(new)], pa.int64())], names=["pid", "new"])
+
+    schema = StructType([StructField("pid", LongType()), StructField("new", LongType())])
+    rows = spark.range(8).repartition(8).mapInArrow(run, schema).collect()
+    assert len(rows) == 8 and sum(r.new for r in rows) == len({r.pid for r in rows})
