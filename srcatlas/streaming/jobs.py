@@ -30,6 +30,10 @@ BINARY_FILE = T.StructType(
     ]
 )
 
+#: Files of one batch.
+BATCH_FILES = 100_000
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "comments": extract_comments,
     "signatures": extract_signatures,
@@ -42,15 +46,24 @@ def stream_corpus(spark: SparkSession, path: str, repo: str) -> DataFrame:
     """Files as they arrive in a folder.
 
     Uses the built-in binary file source, which leaves out names that start
-    with a dot or an underscore.
+    with a dot or an underscore. A batch has at most ``BATCH_FILES`` of them;
+    further ones come in further batches.
+
+    That source gives a task 32 small files at most, as it counts the opening of
+    one as 4 MB, and lists a batch's files again by up to 10,000 tasks. Both are
+    done by as many tasks here as a shuffle has; the setting for the listing stays in the session.
     """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    listing = int(spark.conf.get(LISTING_TASKS, "10000"))
+    spark.conf.set(LISTING_TASKS, str(min(listing, tasks)))
     found = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", BATCH_FILES)
         .load(path)
     )
-    return from_binary_files(found, path, repo)
+    return from_binary_files(found, path, repo).coalesce(tasks)
 
 
 def start_extraction(files: DataFrame, kind: str, target: str, checkpoint: str) -> StreamingQuery:
