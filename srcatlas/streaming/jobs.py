@@ -31,7 +31,7 @@ BINARY_FILE = T.StructType(
 )
 
 #: Files of one batch.
-BATCH_FILES = 100_000
+BATCH_FILES = 25_000
 LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
