@@ -30,6 +30,10 @@ BINARY_FILE = T.StructType(
     ]
 )
 
+#: Groups that files share for the state of their counts, and what a group keeps of each; a change of either needs a new checkpoint.
+STATE_GROUPS = 1 << 14
+FILE_STATE = "repos array<string>, paths array<string>, times array<bigint>, lines array<bigint>"
+
 #: Files of one batch.
 BATCH_FILES = 25_000
 LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
@@ -110,6 +114,10 @@ def count_changes(files: DataFrame, by: str = "language") -> DataFrame:
     ``files`` is a stream of file rows, each a new version of (repo, path) or, with ``removed`` set, its end. A file's last
     contribution is kept as state, so that a version takes back what the one before it added. Versions count by ``mtime``: one
     that is not later than the last is passed over, of several in a batch the latest counts.
+
+    Files share ``STATE_GROUPS`` groups by a hash of their names, as Python is called once a group, and a call costs as much as
+    some thousand files. A batch writes the groups anew in which it has files. Progress of a query with one group for
+    each file, as it was before, can't be gone on with.
     """
     ext = names.file_ext(F.col("path"))
     key = {"ext": ext, "language": names.language_of(ext)}[by]
@@ -117,31 +125,45 @@ def count_changes(files: DataFrame, by: str = "language") -> DataFrame:
     lines = F.when(~removed, F.coalesce(count_lines(F.col("content"), F.col("size_bytes")), F.lit(0)))
     # No content goes to the state.
     versions = files.where(~F.coalesce(F.col("is_dir"), F.lit(False))).select(
-        "repo", "path", key.alias(by), F.unix_micros("mtime").alias("at"), lines.cast("bigint").alias("lines")
+        "repo", "path", key.alias(by), F.unix_micros("mtime").alias("at"), lines.cast("bigint").alias("lines"),
+        F.pmod(F.xxhash64("repo", "path"), F.lit(STATE_GROUPS)).cast("int").alias("state_group"),
     )
 
     def change(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latest = None
+        latest: dict[tuple, tuple] = {}
         for frame in frames:
-            for row in frame.itertuples(index=False):
+            for repo, path, value, at, count in zip(frame["repo"], frame["path"], frame[by], frame["at"], frame["lines"], strict=True):
                 # At one time a removal comes last, then the longer version.
-                order = (int(row.at), pd.isna(row.lines), 0 if pd.isna(row.lines) else int(row.lines))
-                if latest is None or order > latest[0]:
-                    latest = (order, getattr(row, by))
-        (at, gone, lines_), value = latest
-        old_at, old_gone, old_lines = state.get if state.exists else (None, True, 0)
-        if old_at is not None and at <= old_at:
-            return
-        state.update((at, bool(gone), lines_))
-        moved = (int(not gone) - int(not old_gone), lines_ - old_lines)
-        if any(moved):
-            yield pd.DataFrame([(group[0], value, *moved)], columns=["repo", by, "files", "lines"])
-
-    return versions.groupBy("repo", "path").applyInPandasWithState(
-        change, f"repo string, {by} string, files bigint, lines bigint", "at bigint, gone boolean, lines bigint", "update", GroupStateTimeout.NoTimeout
+                order = (int(at), pd.isna(count), 0 if pd.isna(count) else int(count))
+                file = (_text(repo), _text(path))
+                if file not in latest or order > latest[file][0]:
+                    latest[file] = (order, _text(value))
+        repos, paths, times, counts = state.get if state.exists else ([], [], [], [])
+        # Time and lines of every file's last version; a file that is gone has no lines.
+        known = dict(zip(zip(repos, paths, strict=True), zip(times, counts, strict=True), strict=True))
+        new, moved = False, []
+        for file, ((at, gone, count), value) in latest.items():
+            old_at, old_count = known.get(file, (None, None))
+            if old_at is not None and at <= old_at:
+                continue
+            known[file], new = (at, None if gone else count), True
+            step = (int(not gone) - int(old_count is not None), count - (old_count or 0))
+            if any(step):
+                moved.append((file[0], value, *step))
+        if new:
+            state.update(([f[0] for f in known], [f[1] for f in known], [v[0] for v in known.values()], [v[1] for v in known.values()]))
+        if moved:
+            yield pd.DataFrame(moved, columns=["repo", by, "files", "lines"])
+
+    return versions.groupBy("state_group").applyInPandasWithState(
+        change, f"repo string, {by} string, files bigint, lines bigint", FILE_STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
+def _text(value: str | float | None) -> str | None:
+    return value if isinstance(value, str) else None
+
+
 def start_file_counts(files: DataFrame, target: str, checkpoint: str, by: str = "language") -> StreamingQuery:
     """Counts of the files as they are now, also where files are rewritten or removed; each batch is there whole or not at all."""
 
