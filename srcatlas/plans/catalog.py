@@ -635,7 +635,7 @@ def stream_scanned_files(spark, sf_dir):
     """Task markers of the written trees, read as files that arrive in a folder."""
     root = _written_files(spark, sf_dir)
     target = _scratch(spark, "stream-files")
-    arriving = jobs.stream_corpus(spark, root, "all")
+    arriving = jobs.stream_corpus(spark, root, "all", log=target + "-log")
     jobs.start_extraction(arriving, "todos", target, target + "-progress").awaitTermination()
     return spark.read.parquet(target)
 

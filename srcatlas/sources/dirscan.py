@@ -10,12 +10,12 @@ are read in a second step, only for the rows that are still wanted.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.globs import name_matches
@@ -32,10 +32,10 @@ BATCH_ROWS = 10_000
 BATCH_BYTES = 32 << 20
 
 
-def _children(root: str, path: str) -> Iterator[tuple]:
+def _children(root: str, path: str, follow: bool = False) -> Iterator[tuple]:
     """(path, size, time in microseconds, is_symlink, is_dir, error) of the entries of one directory.
 
-    Local folders are read with their links as links; stores have none.
+    Local folders are read with their links as links, or with ``follow`` as what they lead to; stores have none.
     """
     local = local_path(root)
     if local is None:
@@ -49,15 +49,15 @@ def _children(root: str, path: str) -> Iterator[tuple]:
         for entry in listing:
             rel = f"{path}/{entry.name}" if path else entry.name
             try:
-                stat = entry.stat(follow_symlinks=False)
-                link, folder = entry.is_symlink(), entry.is_dir(follow_symlinks=False)
+                stat = entry.stat(follow_symlinks=follow)
+                link, folder = not follow and entry.is_symlink(), entry.is_dir(follow_symlinks=follow)
             except OSError as error:
                 yield rel, None, None, False, False, str(error)
                 continue
             yield rel, 0 if folder else stat.st_size, stat.st_mtime_ns // 1000, link, folder, None
 
 
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_directories(batches: Iterator[pd.DataFrame], follow: bool = False) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
 
     def flush() -> pd.DataFrame:
@@ -70,7 +70,7 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for batch in batches:
         for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
             try:
-                for entry in _children(root, path):
+                for entry in _children(root, path, follow):
                     rows.append((repo, root, *entry))
                     if len(rows) >= BATCH_ROWS:
                         yield flush()
@@ -103,23 +103,31 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[start:].assign(error=errors, content=contents)
 
 
-def list_entries(roots: DataFrame, ignore_names: Sequence[str] = ()) -> DataFrame:
+def list_entries(
+    roots: DataFrame, ignore_names: Sequence[str] = (), hidden: Callable[[Column], Column] | None = None, follow: bool = False
+) -> DataFrame:
     """(repo, root, path, size_bytes, mtime, is_symlink, is_dir, error) without contents.
 
     ``roots`` holds (repo, root): folders that all executors reach, or addresses
     of stores. A root that can't be listed is an error; below, a path that can't be read has
     ``error`` set. ``.git`` and ignored names are pruned with
-    their subtrees while walking. Each level is written to the shared folder,
+    their subtrees while walking, and so are names of which ``hidden`` is true. With ``follow``, links are what they lead to. Each level is written to the shared folder,
     so a lost executor never repeats the levels before.
     """
     spark = roots.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     name = F.substring_index("path", "/", -1)
     wanted = (name != GIT_DIR) & ~name_matches(name, list(ignore_names))
+    if hidden is not None:
+        wanted &= ~hidden(name)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _list_directories(batches, follow)
+
     level = roots.select("repo", "root", F.lit("").alias("path"))
     levels = []
     while True:
-        found = level.repartition(tasks, "repo", "path").mapInPandas(_list_directories, ENTRY).where(wanted)
+        found = level.repartition(tasks, "repo", "path").mapInPandas(listed, ENTRY).where(wanted)
         levels.append(materialize(found, "scan"))
         level = levels[-1].where("is_dir AND error IS NULL").select("repo", "root", "path")
         if level.isEmpty():

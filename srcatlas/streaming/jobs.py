@@ -18,6 +18,7 @@ from srcatlas.operators.imports import extract_imports
 from srcatlas.operators.signatures import extract_signatures
 from srcatlas.operators.todos import extract_todos
 from srcatlas.sinks.writers import write_incrementally
+from srcatlas.sources import listings
 from srcatlas.sources.tables import from_binary_files
 from srcatlas.streaming import commits
 
@@ -34,8 +35,9 @@ BINARY_FILE = T.StructType(
 STATE_GROUPS = 1 << 14
 FILE_STATE = "repos array<string>, paths array<string>, times array<bigint>, lines array<bigint>"
 
-#: Files of one batch.
+#: Files of one batch, and those that are worth a task where the executors list them.
 BATCH_FILES = 25_000
+TASK_FILES = 250
 LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -46,18 +48,26 @@ EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def stream_corpus(spark: SparkSession, path: str, repo: str) -> DataFrame:
+def stream_corpus(spark: SparkSession, path: str, repo: str, log: str | None = None) -> DataFrame:
     """Files as they arrive in a folder.
 
     Uses the built-in binary file source, which leaves out names that start
     with a dot or an underscore. A batch has at most ``BATCH_FILES`` of them;
     further ones come in further batches.
 
-    That source gives a task 32 small files at most, as it counts the opening of
+    That source keeps the names of all files on the driver. With ``log``, a
+    folder for each query, the executors list the folder and read the files
+    instead, and the driver holds nothing for a single file (``sources/listings``). The folder is listed
+    when this is called; ``listings.log_listing`` adds what came since, also while the query runs.
+
+    The built-in source gives a task 32 small files at most, as it counts the opening of
     one as 4 MB, and lists a batch's files again by up to 10,000 tasks. Both are
     done by as many tasks here as a shuffle has; the setting for the listing stays in the session.
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if log is not None:
+        listings.log_listing(spark, path, log, BATCH_FILES)
+        return listings.stream_listed(spark, path, repo, log, min(tasks, -(-BATCH_FILES // TASK_FILES)))
     listing = int(spark.conf.get(LISTING_TASKS, "10000"))
     spark.conf.set(LISTING_TASKS, str(min(listing, tasks)))
     found = (
